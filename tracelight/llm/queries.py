@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelight.llm.common import table
+from tracelight.llm.embedding_dedup import embedding_links
+from tracelight.llm.ngram_jaccard import ngram_jaccard
 from tracelight.llm.suffix_dedup import suffix_dedup
 
 
@@ -12,6 +14,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_jaccard, op9_embedding_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -4,24 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelight.llm.bpe_duckdb import bpe_round_trip
 from tracelight.llm.common import table
 from tracelight.llm.embedding_dedup import embedding_links
 from tracelight.llm.ngram_jaccard import ngram_jaccard
+from tracelight.llm.packing import pack
+from tracelight.llm.sharding import label_propagation_shards
 from tracelight.llm.suffix_dedup import suffix_dedup
+from tracelight.llm.tiff_media import tiff_media
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_propagation_shards(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff_media(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_jaccard, op9_embedding_dedup)}
+_ALL = (op1_suffix_dedup, op2_sharding, op3_ngram_jaccard, op4_tiff_media, op5_packing, op7_byte_bpe, op9_embedding_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}

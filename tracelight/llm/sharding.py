@@ -4,7 +4,7 @@ Law ``rows``: shard sizes are at most one row apart.  Documents whose text occur
 and fill whatever space the linked ones leave, so only linked documents take part in the rounds:
 
 1. linked documents are dealt evenly; a *cell* is a group of equal texts in one starting shard;
-2. in each round a group prefers the shard with free space that holds most of it, and its other
+2. in each round a group prefers the shard with room for a cell that holds most of it, and its other
    cells ask to move there if more neighbours wait there than stay behind;
 3. asked sizes are added up by (shard, priority class), at most 40 x 1024 numbers, and the driver
    accepts classes, best gain first, while the quota of the shard lasts;
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tracelight.llm.common import cut, gapless_rank, keyed
 
 SHARDS = 40
-ROUNDS = 8
+ROUNDS = 16
 CLASSES = 1024
 BUCKETS = 256
 
@@ -44,7 +44,8 @@ def _round(cells: DataFrame, free: list[int], number: int) -> tuple[DataFrame, i
     """Cells after one round, and how many documents moved."""
     spark = cells.sparkSession
     held = cells.groupBy("g", "cur").agg(F.sum("n").alias("here"))
-    best = held.where(_pick(free, "cur") > 0).groupBy("g").agg(
+    largest = cells.groupBy("g").agg(F.max("n").alias("cell"))
+    best = held.join(largest, "g").where(_pick(free, "cur") >= F.col("cell")).groupBy("g").agg(
         F.max_by(F.struct(F.col("cur").alias("to"), F.col("here").alias("there")), F.struct("here", F.xxhash64("g", "cur"))).alias("best")
     )
     asked = cells.join(held, ["g", "cur"]).join(best, "g", "left").select("g", "s0", "cur", "n", "here", "best.*")

@@ -6,8 +6,8 @@ it covers are removed.  The work goes in four steps.
 1. *Anchors.*  A window of ``length`` bytes is named by the least hash of its ``ANCHOR``-byte strings.
    Equal windows have equal names, so only windows whose name occurs twice can repeat.  Names are
    counted over the whole corpus; about one position in eighty makes a row.
-2. *Segments.*  Neighbouring windows of one repeated name form a segment.  Equal segments are folded
-   into one with a count before and after the shuffle, so copies meet as counts, not as pairs.
+2. *Segments.*  Neighbouring windows of one repeated name form a segment.  Segments are shuffled by
+   name.  Of equal segments a task sends one, with a count, so copies meet as counts, not as pairs.
 3. *Suffix sort.*  The suffixes that start at the windows of the segments of one name are sorted by
    mergesort.  Two suffixes are compared by the length of their common extension, which a binary
    search over prefix polynomial hashes finds in a logarithm of its length.  Neighbours in the sorted
@@ -25,10 +25,12 @@ documents of their own and repeat each other; an empty table gives no rows.  Onl
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,8 @@ ANCHOR = 40
 #: Bytes of segments that are sorted together, and beyond which one name is counted window by window.
 SORT_BYTES = 1 << 20
 HOT_BYTES = 1 << 23
+#: Segments of which a task remembers that it has sent their bytes.
+SEEN = 100_000
 
 _TOP = np.uint64(2**64 - 1)
 
@@ -253,17 +257,41 @@ def _name_rows(length: int):
     return run
 
 
+def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames: what is shuffled is smaller than the shuffle's own compression leaves it."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        small = [press.compress(x.as_buffer()) for x in batch.column("text").cast(pa.binary())]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("_k"), batch.column("_h"), pa.array(small, pa.binary())], ["doc_id", "_k", "_h", "z"])
+
+
+def _loosened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of pressed texts."""
+    loose = zstandard.ZstdDecompressor()
+    texts = [loose.decompress(x.as_buffer()) for x in column]
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(x) for x in texts], out=offsets[1:])
+    return np.frombuffer(b"".join(texts), np.uint8), offsets
+
+
 def _digest(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in parts), np.int64)
     return np.ascontiguousarray(flat[::2]), np.ascontiguousarray(flat[1::2])
 
 
-def _segment_rows(length: int, with_bytes: bool):
-    """Segments of wanted names: folded, with their bytes; or one row for each place."""
+def _segment_rows(length: int):
+    """Segments of wanted names.
+
+    A task sends the bytes and the place of a segment when it meets it first, and once more a row that
+    only counts.  What it meets again is repeated for certain: those places need no sort, so they
+    travel under a scattered key with s1 null, and a passage that every document has does not heap up
+    under its name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_buffers(batch.column("text"))
+        seen: dict[tuple[int, int], bool] = {}
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
+            data, offsets = _loosened(batch.column("z"))
             k, h = batch.column("_k").to_numpy(), batch.column("_h").to_numpy()
             lists = batch.column("ms")
             for a, b in chunks(offsets):
@@ -273,19 +301,27 @@ def _segment_rows(length: int, with_bytes: bool):
                 whole = part.tobytes()
                 pieces = [whole[x : x + n + length - 1] for x, n in zip(at.tolist(), count.tolist())]
                 s1, s2 = _digest(pieces)
-                if with_bytes:
-                    _, first, number = np.unique(s1, return_index=True, return_counts=True)
-                    yield pa.record_batch(
-                        [_signed(name[first]), pa.array(s1[first]), pa.array(s2[first]), pa.array(number.astype(np.int64)), pa.array([pieces[i] for i in first.tolist()], pa.binary())],
-                        ["m", "s1", "s2", "n", "seg"],
-                    )
-                else:
-                    yield pa.record_batch([pa.array(s1), pa.array(s2), pa.array(k[row + a]), pa.array(h[row + a]), pa.array(start.astype(np.int64))], ["s1", "s2", "_k", "_h", "start"])
+                if len(seen) > SEEN:
+                    seen.clear()
+                places = zip(name.view(np.int64).tolist(), s1.tolist(), s2.tolist(), pieces, k[row + a].tolist(), h[row + a].tolist(), start.tolist(), count.tolist())
+                out = []
+                for m, x, y, piece, *place in places:
+                    counted = seen.get((x, y))
+                    if counted is None:
+                        seen[x, y] = False
+                        out.append((m, x, y, piece, *place))
+                        continue
+                    if not counted:
+                        seen[x, y] = True
+                        out.append((m, x, y, None, None, None, None, None))
+                    out.append((place[1] + place[2], None, None, None, *place))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SENT.types)] if out else [pa.array([], t) for t in _SENT.types], schema=_SENT)
 
     return run
 
 
-_SORTED = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64())), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())])
+_SENT = pa.schema([("m", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("seg", pa.binary()), ("_k", pa.int64()), ("_h", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
+_SORTED = pa.schema([("_k", pa.int64()), ("_h", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())])
 
 
 def _runs(found: np.ndarray) -> tuple[list[int], list[int]]:
@@ -293,58 +329,89 @@ def _runs(found: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
+class _Segment:
+    __slots__ = ("name", "key", "n", "seg", "k", "h", "start")
+
+    def __init__(self, name: int, key: tuple, seg: bytes, k: int, h: int, start: int):
+        self.name, self.key, self.n, self.seg, self.k, self.h, self.start = name, key, 1, seg, k, h, start
+
+
 def _sort_segments(length: int, sort_bytes: int, hot_bytes: int):
-    """Rows arrive by name.  Gives for each segment its repeated windows, or its windows' digests."""
-
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        pieces = [r[4] for r in rows]
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
-        found = repeated_windows(data, offsets, np.array([r[0] for r in rows], np.int64).view(np.uint64), length)
-        out, at = [], 0
-        for m, s1, s2, n, seg in rows:
-            windows = len(seg) - length + 1
-            lo, hi = ([0], [windows]) if n > 1 else _runs(found[at : at + windows])
+    """Rows arrive by name and segment, a segment's rows with bytes first.
+
+    Gives the repeated windows of each place, as starts lo .. hi - 1 of its document.  Windows of a
+    name with too many segments for one sort leave with their digests w1, w2 and a count n instead.
+    """
+
+    def settle(rows: list[_Segment]) -> Iterator[tuple]:
+        data = np.frombuffer(b"".join(r.seg for r in rows), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r.seg) for r in rows])]).astype(np.int64)
+        found = repeated_windows(data, offsets, np.array([r.name for r in rows], np.int64).view(np.uint64), length)
+        at = 0
+        for r in rows:
+            windows = len(r.seg) - length + 1
+            if r.n > 1:
+                yield r.k, r.h, r.start, r.start + windows, None, None, None
+            else:
+                for lo, hi in zip(*_runs(found[at : at + windows])):
+                    yield r.k, r.h, r.start + lo, r.start + hi, None, None, None
             at += windows
-            if lo:
-                out.append({"s1": s1, "s2": s2, "lo": lo, "hi": hi})
-        return pa.RecordBatch.from_pylist(out, schema=_SORTED)
 
-    def spelled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for m, s1, s2, n, seg in rows:
-            windows = len(seg) - length + 1
-            w1, w2 = _digest([seg[i : i + length] for i in range(windows)])
-            yield pa.RecordBatch.from_pylist([{"s1": s1, "s2": s2, "lo": [i], "hi": [i + 1], "w1": x, "w2": y, "n": n} for i, (x, y) in enumerate(zip(w1.tolist(), w2.tolist()))], schema=_SORTED)
+    def spelled(rows: list[_Segment]) -> Iterator[tuple]:
+        for r in rows:
+            windows = len(r.seg) - length + 1
+            w1, w2 = _digest([r.seg[i : i + length] for i in range(windows)])
+            for i, (x, y) in enumerate(zip(w1.tolist(), w2.tolist())):
+                yield r.k, r.h, r.start + i, r.start + i + 1, x, y, r.n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple] = []  # rows of whole names
-        group: list[tuple] = []  # rows of the name that is being read
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        ready: list[_Segment] = []  # of whole names
+        group: list[_Segment] = []  # of the name that is being read
         ready_size = group_size = 0
         name, hot = None, False
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("m", "s1", "s2", "n", "seg"))):
-                if row[0] != name:
+            for m, s1, s2, seg, k, h, start, windows in zip(*(batch.column(c).to_pylist() for c in _SENT.names)):
+                if s1 is None:  # known to be repeated
+                    yield k, h, start, start + windows, None, None, None
+                    continue
+                if group and m == name and group[-1].key == (s1, s2):
+                    group[-1].n += 1
+                    if seg is not None:
+                        yield k, h, start, start + windows, None, None, None
+                    continue
+                if m != name:
+                    if hot:
+                        yield from spelled(group)
+                        group, group_size = [], 0
                     ready, ready_size = ready + group, ready_size + group_size
-                    if ready_size >= sort_bytes:
-                        yield settle(ready)
+                    if ready and ready_size >= sort_bytes:
+                        yield from settle(ready)
                         ready, ready_size = [], 0
-                    name, hot, group, group_size = row[0], False, [], 0
-                group.append(row)
-                group_size += len(row[4])
+                    name, hot, group, group_size = m, False, [], 0
                 if hot or group_size > hot_bytes:
                     hot = True
                     yield from spelled(group)
                     group, group_size = [], 0
+                group.append(_Segment(m, (s1, s2), seg, k, h, start))
+                group_size += len(seg)
+        if hot:
+            yield from spelled(group)
+            group = []
         if ready or group:
-            yield settle(ready + group)
+            yield from settle(ready + group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = rows_of(batches)
+        while part := list(itertools.islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), _SORTED.types)], schema=_SORTED)
 
     return run
 
 
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_buffers(batch.column("text"))
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
+            data, offsets = _loosened(batch.column("z"))
             lows, highs = batch.column("lo"), batch.column("hi")
             doc_id = batch.column("doc_id")
             rows = {"removed": [], "spans": [], "sha": [], "kept": []}
@@ -371,31 +438,37 @@ def _remove(length: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, sort_bytes: int = SORT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """``_k, _h, lo, hi`` by document: the starts lo .. hi - 1 are those of repeated windows."""
+def pressed(docs: DataFrame) -> DataFrame:
+    """``doc_id, _k, _h, z``, the text pressed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed(docs).mapInArrow(_press, f"doc_id {kind}, _k long, _h long, z binary")
+
+
+def repeated_ranges(docs: DataFrame, small: DataFrame, length: int = LENGTH, sort_bytes: int = SORT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """``_k, _h, lo, hi`` by document: the starts lo .. hi - 1 are those of repeated windows.
+
+    ``small`` is ``pressed(docs)``.
+    """
     rows = keyed(docs).where(F.octet_length("text") >= length)
     repeated = cut(rows.select("text").mapInArrow(_count_names(length), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m"))
     named = rows.select("text", "_k", "_h").mapInArrow(_name_rows(length), "m long, _k long, _h long")
-    wanted = named.join(repeated, "m").groupBy("_k", "_h").agg(F.collect_set("m").alias("ms"))
-    # all texts, as in remove_repeats, so that one shuffle of the texts can serve both joins
-    marked = keyed(docs).select("text", "_k", "_h").join(wanted, ["_k", "_h"])
-    bytes_ = marked.mapInArrow(_segment_rows(length, True), "m long, s1 long, s2 long, n long, seg binary")
-    folded = bytes_.groupBy("m", "s1", "s2").agg(F.sum("n").alias("n"), F.first("seg").alias("seg"))
-    kind = "s1 long, s2 long, lo array<long>, hi array<long>, w1 long, w2 long, n long"
-    told = cut(folded.repartition("m").sortWithinPartitions("m").mapInArrow(_sort_segments(length, sort_bytes, hot_bytes), kind))
+    wanted = cut(named.join(repeated, "m").groupBy("_k", "_h").agg(F.collect_set("m").alias("ms")))
+    # all columns and rows, as in remove_repeats, so that one shuffle of the texts serves both joins
+    marked = small.join(wanted, ["_k", "_h"])
+    sent = marked.mapInArrow(_segment_rows(length), "m long, s1 long, s2 long, seg binary, _k long, _h long, start long, windows long")
+    ordered = sent.repartition("m").sortWithinPartitions("m", "s1", "s2", F.col("seg").isNull())
+    told = cut(ordered.mapInArrow(_sort_segments(length, sort_bytes, hot_bytes), "_k long, _h long, lo long, hi long, w1 long, w2 long, n long"))
     windows = told.where("w1 is not null")
     twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    found = told.where("w1 is null").select("s1", "s2", "lo", "hi").union(windows.join(twice, ["w1", "w2"]).select("s1", "s2", "lo", "hi"))
-    places = marked.mapInArrow(_segment_rows(length, False), "s1 long, s2 long, _k long, _h long, start long")
-    shifted = lambda c: F.transform(c, lambda x: x + F.col("start"))
-    hits = places.join(found, ["s1", "s2"]).select("_k", "_h", shifted("lo").alias("lo"), shifted("hi").alias("hi"))
-    return hits.groupBy("_k", "_h").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
+    hits = told.where("w1 is null").select("_k", "_h", "lo", "hi").union(windows.join(twice, ["w1", "w2"]).select("_k", "_h", "lo", "hi"))
+    return hits.groupBy("_k", "_h").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     """``doc_id, _k, _h, n_bytes, n_removed, n_spans, kept_sha256, kept`` for each row of ``docs``."""
-    hits = repeated_ranges(docs, length, **limits)
-    joined = keyed(docs).join(hits, ["_k", "_h"], "left").select("doc_id", "_k", "_h", "text", "lo", "hi")
+    small = pressed(docs)
+    hits = repeated_ranges(docs, small, length, **limits)
+    joined = small.join(hits, ["_k", "_h"], "left").select("doc_id", "_k", "_h", "z", "lo", "hi")
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _k long, _h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInArrow(_remove(length), kind)
 

@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tracelight.llm.bpe_duckdb import bpe_round_trip
 from tracelight.llm.common import table
 from tracelight.llm.embedding_dedup import embedding_links
+from tracelight.llm.langid import identify
 from tracelight.llm.ngram_jaccard import ngram_jaccard
 from tracelight.llm.packing import pack
+from tracelight.llm.pii import find_pii
+from tracelight.llm.quality import quality_model, quality_scores
 from tracelight.llm.sharding import label_propagation_shards
 from tracelight.llm.suffix_dedup import suffix_dedup
 from tracelight.llm.tiff_media import tiff_media
@@ -34,15 +37,28 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op1_suffix_dedup, op2_sharding, op3_ngram_jaccard, op4_tiff_media, op5_packing, op7_byte_bpe, op9_embedding_dedup)
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+
+
+_ALL = (op1_suffix_dedup, op2_sharding, op3_ngram_jaccard, op4_tiff_media, op5_packing, op6_language_id, op7_byte_bpe, op8_pii, op9_embedding_dedup, op10_quality)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -476,3 +476,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> Data
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     """One digest row for each document: sizes, maximal removed runs, and the hash of what remains."""
     return remove_repeats(docs, length, **limits).drop("_k", "_h", "kept")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
+    """``docs`` with the repeated passages cut out of ``text``, and ``n_chars`` to match, in all its columns.
+
+    Bytes left over from a character that was cut in two are dropped.  A null text stays null.
+    """
+    columns = docs.columns
+    kept = remove_repeats(docs, length, **limits).where("n_removed > 0").select("_k", "_h", "kept").dropDuplicates(["_k", "_h"])
+    own = keyed(docs, F.struct(*[docs[c] for c in columns]).alias("_row")).select("_k", "_h", "_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")]
+            yield pa.record_batch([batch.column("_k"), batch.column("_h"), pa.array(texts, pa.string())], ["_k", "_h", "_new"])
+
+    new = kept.mapInArrow(run, "_k long, _h long, _new string")
+    joined = own.join(new, ["_k", "_h"], "left")
+    out = {c: F.col("_row").getField(c) for c in columns}
+    out["text"] = F.coalesce("_new", out["text"])
+    if "n_chars" in out:
+        out["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), out["n_chars"])
+    return joined.select(*[out[c].alias(c) for c in columns])

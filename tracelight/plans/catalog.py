@@ -1,6 +1,4 @@
-"""Queries over the driver's tables, with the SQL that defines their results."""
+"""All queries of the library, the training-data operators apart."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tracelight.plans import key_queries, scan_queries, text_queries  # noqa: F401
+from tracelight.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

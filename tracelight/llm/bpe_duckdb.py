@@ -29,21 +29,22 @@ LONG = 64
 #: Words of one recursive query, words remembered by a worker, and documents whose words are looked up together.
 QUERY_WORDS = 20_000
 QUERY_BYTES = 400_000
-KNOWN_WORDS = 250_000
-DOCS = 256
+KNOWN_WORDS = 1_000_000
+DOCS = 1024
 
-_TAIL = "SELECT wid, list(tok ORDER BY pos) AS ids FROM (SELECT *, max(it) OVER (PARTITION BY wid) AS last FROM step) WHERE it = last GROUP BY wid"
+# every row of every round: a word's ids are its rows of its last round
+_TAIL = "SELECT wid, pos, tok, it FROM step"
 
 LEFTMOST = f"""
 WITH RECURSIVE step(wid, pos, tok, it) AS (
   SELECT wid, pos, tok, 0 FROM start
   UNION ALL
   (WITH near AS (
-     SELECT wid, pos, tok, it, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prv
-     FROM step WINDOW w AS (PARTITION BY wid ORDER BY pos)),
+     SELECT wid, pos, tok, it, lead(tok) OVER w AS nxt, lead(wid) OVER w AS nxt_wid, lag(pos) OVER w AS prv
+     FROM step WINDOW w AS (ORDER BY pos)),
    best AS (
      SELECT near.wid, min((m.made << 32) | near.pos) AS b
-     FROM near JOIN merges m ON m.pair = (near.tok << 24) | near.nxt GROUP BY near.wid)
+     FROM near JOIN merges m ON m.pair = (near.tok << 24) | near.nxt WHERE near.wid = near.nxt_wid GROUP BY near.wid)
    SELECT near.wid, pos, CASE WHEN pos = (b & 4294967295) THEN b >> 32 ELSE tok END, it + 1
    FROM near JOIN best USING (wid)
    WHERE prv IS NULL OR prv <> (b & 4294967295)))
@@ -88,7 +89,8 @@ class Bpe:
 
         self.ranks = _ranks(vocabulary)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, tuple[str, int, bytes]] = {"": ("", 0, b"")}
+        self.known: dict[str, str] = {}  # ids of a word, as text
+        self.odd: dict[str, bytes] = {}  # words that decode to other bytes than their own
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         made = [(a, b, r) for word, r in self.ranks.items() for k in range(1, len(word)) if (a := self.ranks.get(word[:k])) is not None and (b := self.ranks.get(word[k:])) is not None]
         unsafe = {t for a, b, r in made for t in (a, b) if r < t}
@@ -103,11 +105,16 @@ class Bpe:
         """Ids of each word; every word has at least one byte."""
         sizes = np.array([len(w) for w in words])
         wid = np.repeat(np.arange(len(words)), sizes)
-        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        pos = np.arange(sizes.sum())  # one line of positions for all words
         self.db.register("start", pa.table({"wid": wid, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]}))
         out = self.db.execute(query).to_arrow_table()
-        ids = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
-        return [ids[i] for i in range(len(words))]
+        wid, pos, tok, it = (c.to_numpy() for c in out.columns)
+        last = np.zeros(len(words), np.int64)
+        np.maximum.at(last, wid, it)
+        final = np.flatnonzero(it == last[wid])
+        final = final[np.argsort(pos[final], kind="stable")]  # positions rise from word to word
+        ends = np.cumsum(np.bincount(wid[final], minlength=len(words)))
+        return [x.tolist() for x in np.split(tok[final], ends[:-1])]
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -135,25 +142,28 @@ class Bpe:
                 for i, x in zip(rest[a:b], self.merged([raw[i] for i in rest[a:b]], query)):
                     ids[i] = x
                 a = b
-        for w, x, b in zip(words, ids, self.decode(ids)):
-            self.known[w] = (" ".join(map(str, x)), len(x), b)
+        for w, x, own, b in zip(words, ids, raw, self.decode(ids)):
+            self.known[w] = " ".join(map(str, x))
+            if b != own:
+                self.odd[w] = b
 
-    def words(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
-        """For each text, (ids as text, number of ids, decoded bytes) of each of its words."""
+    def spelled(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """For each text, its ids as text and the bytes that they decode to."""
         split = [self.pattern.findall(t) for t in texts]
         every = set()
         for ws in split:
             every.update(ws)
         new = every.difference(self.known)
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {"": ("", 0, b"")}
-            new = every
+            self.known, self.odd, new = {}, {}, every
         if new:
             self.learn(sorted(new))
-        return [[self.known[w] for w in ws] for ws in split]
+        known = self.known
+        back = lambda ws: b"".join([self.odd.get(w) or w.encode() for w in ws]) if self.odd else "".join(ws).encode()
+        return [(" ".join([known[w] for w in ws]), back(ws)) for ws in split]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for w in self.words([text])[0] for i in w[0].split()]
+        return [int(i) for i in self.spelled([text])[0][0].split()]
 
 
 @functools.cache
@@ -169,9 +179,8 @@ def _encode(vocabulary: str, with_ids: bool):
             for a in range(0, len(whole), DOCS):
                 batch = whole.slice(a, DOCS)
                 number, ids_sha, decoded_sha, ids, decoded = [], [], [], [], []
-                for ws in own.words(batch.column("text").to_pylist()):
-                    spelled, back = " ".join([w[0] for w in ws]), b"".join([w[2] for w in ws])
-                    number.append(sum([w[1] for w in ws]))
+                for spelled, back in own.spelled(batch.column("text").to_pylist()):
+                    number.append(spelled.count(" ") + 1 if spelled else 0)
                     ids_sha.append(hashlib.sha256(spelled.encode()).hexdigest())
                     decoded_sha.append(hashlib.sha256(back).hexdigest())
                     if with_ids:

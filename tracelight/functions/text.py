@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Names that mark a file as an archive, in a walk and inside an input.
-WALK_ARCHIVES = ("zip", "jar", "tar", "tgz", "gz", "bz2", "xz", "7z", "rar")
-INPUT_ARCHIVES = ("zip", "tar", "tgz", "gz")
+WALK_ARCHIVES = ("zip", "tar", "gz", "tgz", "bz2", "xz", "7z", "jar", "war", "whl", "vsix", "apk", "epub", "nupkg")
+INPUT_ARCHIVES = (".zip", ".jar", ".war", ".whl", ".egg", ".vsix", ".apk", ".tgz", ".crate", ".gem", ".tar.gz", ".tar.bz2", ".tar.xz")
 
 ELLIPSIS = "…"
 

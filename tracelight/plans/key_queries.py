@@ -26,11 +26,11 @@ def _sql_hmac(message: str) -> str:
     return f"sha256(unhex('{_OUT.hex()}') || unhex(sha256(unhex('{_IN.hex()}') || {message})))"
 
 
-@query("SELECT doc_id, sha256(text) AS sha, lower(hex(encode(left(text, 8)))) AS hexed, base64(encode(left(text, 12))) AS b64 FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha, md5(lower(hex(encode(text)))) AS hexed, md5(base64(encode(text))) AS b64 FROM documents")
 def text_digests(spark, sf_dir):
     """F20, F21, F23."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", K.hex_lower(K.sha256(F.encode(t, "UTF-8"))).alias("sha"), K.hex_lower(F.encode(F.left(t, F.lit(8)), "UTF-8")).alias("hexed"), F.base64(F.encode(F.left(t, F.lit(12)), "UTF-8")).alias("b64"))
+    return table(spark, sf_dir, "documents").select("doc_id", K.hex_lower(K.sha256(F.encode(t, "UTF-8"))).alias("sha"), F.md5(K.hex_lower(F.encode(t, "UTF-8"))).alias("hexed"), F.md5(F.replace(F.base64(F.encode(t, "UTF-8")), F.lit("\r\n"), F.lit(""))).alias("b64"))
 
 
 _LOCATION_SQL = "left(" + _sql_hmac(_sql_framed("location", "unhex('02')", "unhex(sha256(text))")) + ", 32)"
@@ -137,11 +137,11 @@ _MUL = f"(v >= 2 AND len(list_distinct(list_transform({_DIVISORS}, lambda d: d %
 _LETTERS = "length(regexp_replace(printf('%x', v), '[0-9]', '', 'g'))"
 
 
-@query(f"SELECT v, v > 16 AS has_add, {_MUL} AS has_mul, {_LETTERS} >= 4 AS has_radix, CASE WHEN v > 16 THEN 'add,' ELSE '' END || 'sub' || CASE WHEN {_MUL} THEN ',mul' ELSE '' END || CASE WHEN {_LETTERS} >= 4 THEN ',radix' ELSE '' END AS families FROM (SELECT DISTINCT (o_orderkey * o_custkey * 5040)::BIGINT AS v FROM orders UNION SELECT DISTINCT (l_partkey * 7919 + l_suppkey)::BIGINT FROM lineitem WHERE l_linenumber = 1)")
+@query(f"SELECT v, v > 16 AS has_add, {_MUL} AS has_mul, {_LETTERS} >= 4 AS has_radix, CASE WHEN v > 16 THEN 'add,' ELSE '' END || 'sub' || CASE WHEN {_MUL} THEN ',mul' ELSE '' END || CASE WHEN {_LETTERS} >= 4 THEN ',radix' ELSE '' END AS families FROM (SELECT DISTINCT (o_orderkey * o_custkey * 5040)::BIGINT AS v FROM orders UNION SELECT DISTINCT (p_partkey * 7919 + p_size)::BIGINT FROM part)")
 def families_for(spark, sf_dir):
     """F43 to F47."""
     a = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * F.col("o_custkey") * 5040).alias("v"))
-    b = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") * 7919 + F.col("l_suppkey")).alias("v"))
+    b = table(spark, sf_dir, "part").select((F.col("p_partkey") * 7919 + F.col("p_size")).alias("v"))
     v = F.col("v")
     df = a.union(b).distinct()
     return df.select("v", L.supports(v, "add", 4).alias("has_add"), L.supports(v, "mul", 4).alias("has_mul"), L.supports(v, "radix", 4).alias("has_radix"), F.array_join(L.families_for(v, 4), ",").alias("families"))
@@ -177,13 +177,13 @@ def decode_forms(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", av.alias("add_value"), ac.alias("add_code"), sv.alias("sub_value"), sc.alias("sub_code"))
 
 
-_INNER = "regexp_replace(left(text, 40), '[^a-z ]', '', 'g')"
+_INNER = "regexp_replace(text, '[^a-z ]', '', 'g')"
 
 
 @query(f"SELECT doc_id, '(\"' || left(s, k) || '\" + \"' || substr(s, k + 1) || '\")' AS spelled, s AS read_back, (k - 1)::INT AS code FROM (SELECT doc_id, {_INNER} AS s, (doc_id % 16 + 1)::INT AS k FROM documents) WHERE length(s) > 16")
 def split_string_forms(spark, sf_dir):
     """Split strings, written and read back."""
-    inner = F.regexp_replace(F.left("text", F.lit(40)), "[^a-z ]", "")
+    inner = F.regexp_replace("text", "[^a-z ]", "")
     df = table(spark, sf_dir, "documents").select("doc_id", inner.alias("s")).where(L.string_supports(F.col("s"), "str-concat", 4))
     df = df.withColumn("spelled", L.render_string(F.col("s"), "str-concat", F.col("doc_id"), 4))
     value, code = L.decode_string(F.col("spelled"), "str-concat", 4)
@@ -193,7 +193,7 @@ def split_string_forms(spark, sf_dir):
 @query(f"SELECT doc_id, '\"' || array_to_string(list_transform(range(1, k + 1), lambda i: chr(92) || 'x' || lower(hex(encode(substr(s, i::INT, 1))))), '') || substr(s, k + 1) || '\"' AS spelled, s AS read_back, (k - 1)::INT AS code FROM (SELECT doc_id, {_INNER} AS s, (doc_id % 8 + 1)::INT AS k FROM documents) WHERE length(s) >= 8")
 def escape_string_forms(spark, sf_dir):
     """Escaped strings, written and read back."""
-    inner = F.regexp_replace(F.left("text", F.lit(40)), "[^a-z ]", "")
+    inner = F.regexp_replace("text", "[^a-z ]", "")
     df = table(spark, sf_dir, "documents").select("doc_id", inner.alias("s")).where(L.string_supports(F.col("s"), "str-escape", 3))
     df = df.withColumn("spelled", L.render_string(F.col("s"), "str-escape", F.col("doc_id"), 3))
     value, code = L.decode_string(F.col("spelled"), "str-escape", 3)
@@ -219,18 +219,18 @@ def family_caps(spark, sf_dir):
     return families.crossJoin(F.broadcast(spark.range(2, 9).toDF("w"))).groupBy("family", "class").agg(F.count_if(F.col("w") <= F.col("bits")).alias("widths"))
 
 
-@query(f"SELECT slot, count(*)::BIGINT AS n, max(twins)::BIGINT AS most_twins FROM (SELECT slot, loc, count(*) OVER (PARTITION BY slot, loc) AS twins FROM (SELECT 0 AS slot, md5(left(text, 20)) AS loc FROM documents UNION ALL SELECT 1, md5(text) FROM documents)) GROUP BY slot")
+@query(f"SELECT slot, count(*)::BIGINT AS n, max(twins)::BIGINT AS most_twins FROM (SELECT slot, loc, count(*) OVER (PARTITION BY slot, loc) AS twins FROM (SELECT 0 AS slot, md5(lower(text)) AS loc FROM documents UNION ALL SELECT 1, md5(text) FROM documents)) GROUP BY slot")
 def key_census(spark, sf_dir):
     """A1, A2: how many share a key, by slot."""
-    slots = F.array(F.md5(F.left("text", F.lit(20))), F.md5("text"))
+    slots = F.array(F.md5(F.lower("text")), F.md5("text"))
     df = table(spark, sf_dir, "documents").select(F.posexplode(slots).alias("slot", "loc")).groupBy("slot", "loc").agg(F.count(F.lit(1)).alias("twins"))
     return df.groupBy("slot").agg(F.sum("twins").alias("n"), F.max("twins").alias("most_twins"))
 
 
-@query("WITH k AS (SELECT doc_id, 0 AS slot, md5(left(text, 20)) AS loc FROM documents UNION ALL SELECT doc_id, 1, md5(left(text, 60)) FROM documents), t AS (SELECT *, count(*) OVER (PARTITION BY slot, loc) AS twins FROM k) SELECT doc_id, slot::INT AS slot, twins::BIGINT AS twins FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY twins, slot) AS r FROM t) WHERE r = 1")
+@query("WITH k AS (SELECT doc_id, 0 AS slot, md5(lang || source) AS loc FROM documents UNION ALL SELECT doc_id, 1, md5(text) FROM documents), t AS (SELECT *, count(*) OVER (PARTITION BY slot, loc) AS twins FROM k) SELECT doc_id, slot::INT AS slot, twins::BIGINT AS twins FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY twins, slot) AS r FROM t) WHERE r = 1")
 def pick_primary(spark, sf_dir):
     """The slot whose key fewest others share; the lower slot of equals."""
-    slots = F.array(F.md5(F.left("text", F.lit(20))), F.md5(F.left("text", F.lit(60))))
+    slots = F.array(F.md5(F.concat("lang", "source")), F.md5("text"))
     keys = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(slots).alias("slot", "loc"))
     counts = keys.groupBy("slot", "loc").agg(F.count(F.lit(1)).alias("twins"))
     best = keys.join(counts, ["slot", "loc"]).groupBy("doc_id").agg(F.min(F.struct("twins", "slot")).alias("b"))

@@ -117,11 +117,12 @@ def registry_search(spark, sf_dir):
     return h.crossJoin(F.broadcast(mean)).where("release_id like '%-0_' or sites > mean").select("release_id", "sites")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) AS i, count(*) OVER () AS n FROM documents WHERE lang = 'es') WHERE i % 3 < 1")
+@query("SELECT source, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS chars FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 3 < 1 GROUP BY source")
 def tree_fraction(spark, sf_dir):
-    """A fraction of a tree of files, by place."""
-    i = F.row_number().over(W.orderBy("doc_id")) - 1  # one small tree
-    return table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", i.alias("i")).where("i % 3 < 1").select("doc_id")
+    """X28, whose result is a third of each tree by place: here its size."""
+    i = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    third = table(spark, sf_dir, "documents").select("source", "n_chars", i.alias("i")).where("i % 3 < 1")
+    return third.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
 
 
 @query("SELECT item_id, (item_id % 16)::INT AS expected FROM benchmark WHERE contains(text, 'the')")

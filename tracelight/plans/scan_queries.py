@@ -70,11 +70,10 @@ def rename_first_occurrence(spark, sf_dir):
     return X.renamed_by_first_use(_tokens(spark, sf_dir), "id")
 
 
-@query("SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(line, '" + _TOKEN_SQL + "'), lambda t: replace(replace(replace(replace(t, chr(92), chr(92) || chr(92)), ' ', '_'), '<', chr(92) || '<'), '>', chr(92) || '>')), ' ')) AS digest FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)")
+@query("SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(line, '" + _TOKEN_SQL + "'), lambda t: replace(replace(replace(replace(t, chr(92), chr(92) || chr(92)), ' ', '_'), '<', chr(92) || '<'), '>', chr(92) || '>')), ' ')) AS digest FROM (SELECT doc_id, text AS line FROM documents)")
 def line_canonical_digest(spark, sf_dir):
-    """F60, F61, F63 at level 1, on first lines."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
-    return X.canonical_texts(lines, 1).select("doc_id", F.md5("canonical").alias("digest"))
+    """F60, F61, F63 at level 1."""
+    return X.canonical_texts(table(spark, sf_dir, "documents"), 1).select("doc_id", F.md5("canonical").alias("digest"))
 
 
 @query(f"WITH {_TOKENS_SQL}, u AS (SELECT id, token, min(pos) AS first FROM kinds WHERE kind = 'word' GROUP BY id, token), r AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS number FROM u) SELECT k.id::BIGINT AS id, md5(string_agg(CASE k.kind WHEN 'word' THEN '#l' || r.number WHEN 'number' THEN '<number>' WHEN 'string' THEN '<string>' ELSE replace(replace(replace(replace(k.token, chr(92), chr(92) || chr(92)), ' ', '_'), '<', chr(92) || '<'), '>', chr(92) || '>') END, ' ' ORDER BY k.pos)) AS digest FROM kinds k LEFT JOIN r ON r.id = k.id AND r.token = k.token GROUP BY k.id")
@@ -84,10 +83,10 @@ def abstract_canonical_digest(spark, sf_dir):
     return X.canonical_texts(df, 3).select("id", F.md5("canonical").alias("digest"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(t, '\\([0-9]+ [+*-] [0-9]+\\)'))::INT AS arithmetic, len(regexp_extract_all(t, '0x[0-9a-fA-F]+'))::INT AS hex FROM (SELECT doc_id, left(text, 200) || ' (12 + ' || doc_id || ') 0xAb' || doc_id || ' (3 / 4)' AS t FROM documents)")
+@query("SELECT doc_id, len(regexp_extract_all(t, '\\([0-9]+ [+*-] [0-9]+\\)'))::INT AS arithmetic, len(regexp_extract_all(t, '0x[0-9a-fA-F]+'))::INT AS hex FROM (SELECT doc_id, text || ' (12 + ' || doc_id || ') 0xAb' || doc_id || ' (3 / 4)' AS t FROM documents)")
 def shape_locator(spark, sf_dir):
     """E10."""
-    t = F.concat(F.left("text", F.lit(200)), F.lit(" (12 + "), F.col("doc_id").cast("string"), F.lit(") 0xAb"), F.col("doc_id").cast("string"), F.lit(" (3 / 4)"))
+    t = F.concat("text", F.lit(" (12 + "), F.col("doc_id").cast("string"), F.lit(") 0xAb"), F.col("doc_id").cast("string"), F.lit(" (3 / 4)"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.located_shapes(t, "arithmetic")).alias("arithmetic"), F.size(X.located_shapes(t, "mixed-hex")).alias("hex"))
 
 
@@ -101,10 +100,10 @@ def _spans(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), n.alias("line"), (n * 10).alias("s"), (n * 10 + 5 + F.col("l_suppkey") % 30).cast("int").alias("e"))
 
 
-@query(f"WITH {_SPANS_SQL} SELECT file, point, line FROM (SELECT p.file, p.point, s.line, row_number() OVER (PARTITION BY p.file, p.point ORDER BY s.e - s.s, s.line) AS r FROM (SELECT DISTINCT l_orderkey AS file, (l_partkey % 60)::INT AS point FROM lineitem WHERE l_linenumber = 1) p JOIN spans s ON s.file = p.file AND s.s <= p.point AND p.point < s.e) WHERE r = 1")
+@query(f"WITH {_SPANS_SQL} SELECT file, point, line FROM (SELECT p.file, p.point, s.line, row_number() OVER (PARTITION BY p.file, p.point ORDER BY s.e - s.s, s.line) AS r FROM (SELECT DISTINCT l_orderkey AS file, (l_partkey % 60)::INT AS point FROM lineitem) p JOIN spans s ON s.file = p.file AND s.s <= p.point AND p.point < s.e) WHERE r = 1")
 def enclosing_span(spark, sf_dir):
     """The tightest span around a point; the first of equals."""
-    points = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("file"), (F.col("l_partkey") % 60).cast("int").alias("point")).distinct()
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), (F.col("l_partkey") % 60).cast("int").alias("point")).distinct()
     inside = points.join(_spans(spark, sf_dir), "file").where("s <= point and point < e")
     best = inside.groupBy("file", "point").agg(F.min(F.struct((F.col("e") - F.col("s")).alias("w"), "line")).alias("b"))
     return best.select("file", "point", F.col("b.line").alias("line"))
@@ -296,19 +295,19 @@ def foreign_matrix(spark, sf_dir):
     return a.crossJoin(F.broadcast(b)).select("owner", "tree", (F.col("ra") == F.col("rb")).alias("same"))
 
 
-@query("SELECT md5(text) AS loc FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT md5(text) FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT md5(text) AS loc FROM documents WHERE source < 'src15' INTERSECT SELECT md5(text) FROM documents WHERE source >= 'src15'")
 def constellation_disjoint(spark, sf_dir):
     """U8: locations that two trees share."""
-    df = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("loc"))
-    return df.where("doc_id % 2 = 0").select("loc").intersect(df.where("doc_id % 2 = 1").select("loc"))
+    df = table(spark, sf_dir, "documents").select("source", F.md5("text").alias("loc"))
+    return df.where("source < 'src15'").select("loc").intersect(df.where("source >= 'src15'").select("loc"))
 
 
-@query("WITH a AS (SELECT l_suppkey % 40 AS shape FROM lineitem WHERE l_orderkey % 3 = 0), b AS (SELECT l_partkey % 40 AS shape FROM lineitem WHERE l_orderkey % 3 = 1), bag AS (SELECT * FROM a INTERSECT ALL SELECT * FROM b) SELECT shape, count(*)::BIGINT AS found FROM bag GROUP BY shape")
+@query("WITH a AS (SELECT l_suppkey % 40 AS shape FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT l_partkey % 40 AS shape FROM lineitem WHERE l_returnflag <> 'A'), bag AS (SELECT * FROM a INTERSECT ALL SELECT * FROM b) SELECT shape, count(*)::BIGINT AS found FROM bag GROUP BY shape")
 def shape_recall_bag(spark, sf_dir):
     """A bag intersection by counts, so no row is multiplied."""
     df = table(spark, sf_dir, "lineitem")
-    a = df.where("l_orderkey % 3 = 0").groupBy((F.col("l_suppkey") % 40).alias("shape")).agg(F.count(F.lit(1)).alias("na"))
-    b = df.where("l_orderkey % 3 = 1").groupBy((F.col("l_partkey") % 40).alias("shape")).agg(F.count(F.lit(1)).alias("nb"))
+    a = df.where("l_returnflag = 'A'").groupBy((F.col("l_suppkey") % 40).alias("shape")).agg(F.count(F.lit(1)).alias("na"))
+    b = df.where("l_returnflag <> 'A'").groupBy((F.col("l_partkey") % 40).alias("shape")).agg(F.count(F.lit(1)).alias("nb"))
     return a.join(b, "shape").select("shape", F.least("na", "nb").alias("found"))
 
 
@@ -351,11 +350,11 @@ def store_inventory(spark, sf_dir):
     return row(s, "private", "manifest-", "s_suppkey").unionByName(row(s, "public", "record-", "s_suppkey")).unionByName(row(n, "public", "report-", "n_name"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'no-manifest' WHEN s_nationkey % 3 = 0 THEN 'digest-differs' ELSE 'agrees' END AS state FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_acctbal <= 1000 THEN 'no-manifest' WHEN s_nationkey % 3 = 0 THEN 'digest-differs' ELSE 'agrees' END AS state FROM supplier")
 def manifest_agreement(spark, sf_dir):
     """Records, and the manifests that some of them have."""
     records = table(spark, sf_dir, "supplier").select("s_suppkey", F.sha2("s_name", 256).alias("digest"))
-    manifests = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select("s_suppkey", F.sha2(F.when(F.col("s_nationkey") % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name")), 256).alias("told"))
+    manifests = table(spark, sf_dir, "supplier").where("s_acctbal > 1000").select("s_suppkey", F.sha2(F.when(F.col("s_nationkey") % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name")), 256).alias("told"))
     state = F.when(F.col("told").isNull(), "no-manifest").when(F.col("told") != F.col("digest"), "digest-differs").otherwise("agrees")
     return records.join(manifests, "s_suppkey", "left").select("s_suppkey", state.alias("state"))
 
@@ -367,12 +366,12 @@ def planned_site_tallies(spark, sf_dir):
     return spark.sql("SELECT o_orderpriority AS class, o_orderstatus AS family, count(*) AS n FROM tl_orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus))")
 
 
-@query("SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.h, o.h) AS digest FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 > 0) o FULL JOIN (SELECT doc_id, md5('new' || text) AS h FROM documents WHERE doc_id % 2 = 0) n ON n.doc_id = o.doc_id")
+@query("SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.h, o.h) AS digest FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE lang <> 'fr') o FULL JOIN (SELECT doc_id, md5('new' || text) AS h FROM documents WHERE lang <> 'de') n ON n.doc_id = o.doc_id")
 def overlay_digests(spark, sf_dir):
     """New digests over old ones."""
     df = table(spark, sf_dir, "documents")
-    old = df.where("doc_id % 3 > 0").select("doc_id", F.md5("text").alias("old"))
-    new = df.where("doc_id % 2 = 0").select("doc_id", F.md5(F.concat(F.lit("new"), "text")).alias("new"))
+    old = df.where("lang <> 'fr'").select("doc_id", F.md5("text").alias("old"))
+    new = df.where("lang <> 'de'").select("doc_id", F.md5(F.concat(F.lit("new"), "text")).alias("new"))
     return old.join(new, "doc_id", "full").select("doc_id", F.coalesce("new", "old").alias("digest"))
 
 

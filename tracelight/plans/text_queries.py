@@ -107,7 +107,7 @@ def archive_member_fault(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.member_fault(p).alias("fault"))
 
 
-@query(f"WITH {FILES_SQL} SELECT doc_id, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) AS ext, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) IN ('zip','jar','tar','tgz','gz','bz2','xz','7z','rar') AS archive FROM files")
+@query(f"WITH {FILES_SQL} SELECT doc_id, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) AS ext, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) IN ('zip','tar','gz','tgz','bz2','xz','7z','jar','war','whl','vsix','apk','epub','nupkg') AS archive FROM files")
 def archive_by_extension(spark, sf_dir):
     """F10."""
     p = F.col("path")
@@ -164,7 +164,7 @@ _ADMIT_SQL = f"""{FILES_SQL}, judged AS (
   SELECT doc_id, path, bytes, CASE
     WHEN path LIKE 'node_modules/%' OR lower(path) LIKE '%.min.js' THEN 'excluded'
     WHEN bytes = 0 THEN 'empty' WHEN bytes > 4000 THEN 'too-large'
-    WHEN lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) IN ('zip','jar','tar','tgz','gz','bz2','xz','7z','rar') THEN 'archive'
+    WHEN lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) IN ('zip','tar','gz','tgz','bz2','xz','7z','jar','war','whl','vsix','apk','epub','nupkg') THEN 'archive'
     WHEN lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) NOT IN ('js','mjs','cjs','jsx','ts','mts','cts','tsx','py','pyi') THEN 'no-adapter' END AS reason
   FROM files)"""
 
@@ -274,10 +274,10 @@ def artifact_class_of(path, store: str = ".store", config: str = "config.toml"):
     )
 
 
-@query("SELECT item_id, count(*)::BIGINT AS hits FROM benchmark b JOIN pages p ON contains(p.html, left(b.text, 12)) GROUP BY item_id")
+@query("SELECT item_id, count(*)::BIGINT AS hits FROM benchmark b JOIN pages p ON contains(p.html, regexp_extract(b.text, '[A-Za-z]+')) GROUP BY item_id")
 def needle_sweep(spark, sf_dir):
     """Pages that hold a needle; the needles, a bounded few, are broadcast."""
-    needles = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(12)).alias("needle"))
+    needles = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("needle"))
     pages = table(spark, sf_dir, "pages").select("html")
     return pages.join(F.broadcast(needles), F.contains("html", F.col("needle"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"))
 

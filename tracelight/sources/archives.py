@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import posixpath
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -96,7 +95,7 @@ def zip_members(content: bytes, limits: Limits) -> Iterator[tuple[str, bytes | N
             mode = e.external_attr >> 16
             if mode & 0o170000 != 0o100000:
                 yield e.filename, None, "non-regular entry"
-            elif posixpath.splitext(e.filename)[1].lower().lstrip(".") in T.INPUT_ARCHIVES:
+            elif e.filename.lower().endswith(T.INPUT_ARCHIVES):
                 yield e.filename, None, "nested archive"
             elif e.flag_bits & 1:
                 yield e.filename, None, "encrypted entry"
@@ -116,7 +115,7 @@ def tar_members(content: bytes, limits: Limits) -> Iterator[tuple[str, bytes | N
                 raise Refused(f"{e.name}: {fault}")
             if not e.isreg():
                 yield e.name, None, "non-regular entry"
-            elif posixpath.splitext(e.name)[1].lower().lstrip(".") in T.INPUT_ARCHIVES:
+            elif e.name.lower().endswith(T.INPUT_ARCHIVES):
                 yield e.name, None, "nested archive"
             else:
                 budget.charge(e.name, 0, e.size)

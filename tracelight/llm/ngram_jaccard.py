@@ -300,7 +300,8 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rec
     # texts of the classes that take part, one for each class
     needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(hot.select("c")).distinct()
     wanted = classes.join(needed, "c").select("c", "size", F.col("first._k").alias("_k"), F.col("first._h").alias("_h"))
-    texts = keyed(docs).select("text", "_k", "_h").join(wanted, ["_k", "_h"]).dropDuplicates(["c"]).select("c", "size", "text")
+    # the slim side is hashed, so that no text is sorted
+    texts = keyed(docs).select("text", "_k", "_h").join(wanted.hint("shuffle_hash"), ["_k", "_h"]).dropDuplicates(["c"]).select("c", "size", "text")
     texts = cut(texts)
     first_, second = (texts.select(F.col("c").alias(s), F.col("text").alias(f"t{s}")) for s in "ab")
     links = cut(pairs.join(first_, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(threshold, n), "a long, b long"))
@@ -334,7 +335,10 @@ def ngram_jaccard(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class of linked documents, in all columns of ``docs``."""
     columns = docs.columns
-    kept = jaccard_links(docs, **options).where("kept").select("_k", "_h").distinct()
+    marks = jaccard_links(docs, **options).where("kept").groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("rows"))
+    marks = cut(marks)
     own = keyed(docs, F.struct(*[docs[c] for c in columns]).alias("_row")).drop("doc_id", "text")
-    once = own.join(kept, ["_k", "_h"]).dropDuplicates(["_k", "_h"])
-    return once.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+    kept = own.join(marks.hint("shuffle_hash"), ["_k", "_h"])
+    if marks.where("rows > 1").limit(1).count():  # rows that agree in id and text: one of them
+        kept = kept.dropDuplicates(["_k", "_h"])
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in columns])

@@ -152,27 +152,33 @@ def quality_model(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL
     return train(*labelled_sample(rows, per_label, longest, own))
 
 
-def quality_scores(docs: DataFrame, model: QualityModel, *more: str) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` and the columns in ``more`` for each row of ``docs``."""
+def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for each row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c) for c in more])
-    names = ["doc_id", "held_out", "score", "predicted", *more]
-    kinds = [docs.schema["doc_id"].dataType.simpleString(), "boolean", "double", "int", *(rows.schema[c].dataType.simpleString() for c in more)]
+    rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    names = ["doc_id", "held_out", "score", "predicted"]
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), "boolean", "double", "int"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
             data, offsets = string_buffers(batch.column(2))
             scores = np.concatenate([np.zeros(0), *(own.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets))])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), *(batch.column(3 + i) for i in range(len(more)))], names)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names)
 
     return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, in all columns of ``docs``."""
-    model = quality_model(docs, labels)
-    columns = docs.columns
-    row = docs.select("doc_id", "text", F.struct(*[docs[c] for c in columns]).alias("_row"))
-    kept = quality_scores(row, model, "_row").where("predicted = 1")
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+    sent = docs.sparkSession.sparkContext.broadcast(quality_model(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
+            data, offsets = string_buffers(batch.column(at).fill_null(""))
+            scores = np.concatenate([np.zeros(0), *(own.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets))])
+            yield batch.filter(pa.array(scores >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

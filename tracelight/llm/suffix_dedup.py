@@ -31,8 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tracelight.llm.common import (
     chunks,
@@ -261,8 +262,10 @@ def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as zstd frames: what is shuffled is smaller than the shuffle's own compression leaves it."""
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        small = [press.compress(x.as_buffer()) for x in batch.column("text").cast(pa.binary())]
-        yield pa.record_batch([batch.column("doc_id"), batch.column("_k"), batch.column("_h"), pa.array(small, pa.binary())], ["doc_id", "_k", "_h", "z"])
+        for part in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
+            small = [press.compress(x.as_buffer()) for x in part.column("text").cast(pa.binary())]
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, "z", pa.array(small, pa.binary()))
 
 
 def _loosened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -408,40 +411,37 @@ def _sort_segments(length: int, sort_bytes: int, hot_bytes: int):
     return run
 
 
-def _remove(length: int):
+def _left_over(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes left, bytes removed, removed runs) of each row with z, lo and hi."""
+    data, offsets = _loosened(batch.column("z"))
+    lows, highs = batch.column("lo"), batch.column("hi")
+    for i in range(len(batch)):
+        text = data[offsets[i] : offsets[i + 1]]
+        if not lows[i].is_valid or not len(lows[i]):
+            yield text.tobytes(), 0, 0
+            continue
+        step = np.zeros(len(text) + 1, np.int32)
+        np.add.at(step, lows[i].values.to_numpy(), 1)
+        np.add.at(step, highs[i].values.to_numpy() + length - 1, -1)
+        gone = np.cumsum(step[:-1]) > 0
+        yield text[~gone].tobytes(), int(gone.sum()), len(_runs(gone)[0])
+
+
+def _digested(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
-            data, offsets = _loosened(batch.column("z"))
-            lows, highs = batch.column("lo"), batch.column("hi")
-            doc_id = batch.column("doc_id")
-            rows = {"removed": [], "spans": [], "sha": [], "kept": []}
-            for i in range(len(batch)):
-                text = data[offsets[i] : offsets[i + 1]]
-                if lows[i].is_valid and len(lows[i]):
-                    step = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(step, lows[i].values.to_numpy(), 1)
-                    np.add.at(step, highs[i].values.to_numpy() + length - 1, -1)
-                    gone = np.cumsum(step[:-1]) > 0
-                    rows["spans"].append(len(_runs(gone)[0]))
-                    text = text[~gone]
-                else:
-                    rows["spans"].append(0)
-                left = text.tobytes()
-                rows["removed"].append(int(offsets[i + 1] - offsets[i]) - len(left))
-                rows["sha"].append(hashlib.sha256(left).hexdigest())
-                rows["kept"].append(left)
-            yield pa.record_batch(
-                [doc_id, batch.column("_k"), batch.column("_h"), pa.array(np.diff(offsets)), pa.array(rows["removed"], pa.int64()), pa.array(rows["spans"], pa.int64()), pa.array(rows["sha"], pa.string()), pa.array(rows["kept"], pa.binary())],
-                ["doc_id", "_k", "_h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
+            rows = [(len(left) + gone, gone, spans, hashlib.sha256(left).hexdigest()) for left, gone, spans in _left_over(batch, length)]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
 
-def pressed(docs: DataFrame) -> DataFrame:
-    """``doc_id, _k, _h, z``, the text pressed."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed(docs).mapInArrow(_press, f"doc_id {kind}, _k long, _h long, z binary")
+def pressed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id, z, _k, _h``, the text pressed to ``z``, and the columns in ``more``."""
+    rows = keyed(docs, *more)
+    schema = StructType([StructField("z", BinaryType()) if f.name == "text" else f for f in rows.schema.fields])
+    return rows.mapInArrow(_press, schema)
 
 
 def repeated_ranges(docs: DataFrame, small: DataFrame, length: int = LENGTH, sort_bytes: int = SORT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -453,8 +453,8 @@ def repeated_ranges(docs: DataFrame, small: DataFrame, length: int = LENGTH, sor
     repeated = cut(rows.select("text").mapInArrow(_count_names(length), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m"))
     named = rows.select("text", "_k", "_h").mapInArrow(_name_rows(length), "m long, _k long, _h long")
     wanted = cut(named.join(repeated, "m").groupBy("_k", "_h").agg(F.collect_set("m").alias("ms")))
-    # all columns and rows, as in remove_repeats, so that one shuffle of the texts serves both joins
-    marked = small.join(wanted, ["_k", "_h"])
+    # joins of texts hash the slim side, so that no text is sorted
+    marked = small.join(wanted.hint("shuffle_hash"), ["_k", "_h"])
     sent = marked.mapInArrow(_segment_rows(length), "m long, s1 long, s2 long, seg binary, _k long, _h long, start long, windows long")
     ordered = sent.repartition("m").sortWithinPartitions("m", "s1", "s2", F.col("seg").isNull())
     told = cut(ordered.mapInArrow(_sort_segments(length, sort_bytes, hot_bytes), "_k long, _h long, lo long, hi long, w1 long, w2 long, n long"))
@@ -464,18 +464,13 @@ def repeated_ranges(docs: DataFrame, small: DataFrame, length: int = LENGTH, sor
     return hits.groupBy("_k", "_h").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
-    """``doc_id, _k, _h, n_bytes, n_removed, n_spans, kept_sha256, kept`` for each row of ``docs``."""
-    small = pressed(docs)
-    hits = repeated_ranges(docs, small, length, **limits)
-    joined = small.join(hits, ["_k", "_h"], "left").select("doc_id", "_k", "_h", "z", "lo", "hi")
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _k long, _h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(_remove(length), kind)
-
-
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     """One digest row for each document: sizes, maximal removed runs, and the hash of what remains."""
-    return remove_repeats(docs, length, **limits).drop("_k", "_h", "kept")
+    small = pressed(docs)
+    hits = repeated_ranges(docs, small, length, **limits)
+    joined = small.join(hits.hint("shuffle_hash"), ["_k", "_h"], "left").select("doc_id", "z", "lo", "hi")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return joined.mapInArrow(_digested(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
@@ -483,19 +478,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> Dat
 
     Bytes left over from a character that was cut in two are dropped.  A null text stays null.
     """
-    columns = docs.columns
-    kept = remove_repeats(docs, length, **limits).where("n_removed > 0").select("_k", "_h", "kept").dropDuplicates(["_k", "_h"])
-    own = keyed(docs, F.struct(*[docs[c] for c in columns]).alias("_row")).select("_k", "_h", "_row")
+    hits = repeated_ranges(docs, pressed(docs), length, **limits)
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(docs["text"].isNull().alias("_null"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(others)]).alias("_rest")
+    joined = pressed(docs, rest).join(hits.hint("shuffle_hash"), ["_k", "_h"], "left").select("_rest", "z", "lo", "hi")
+    schema = StructType([joined.schema["_rest"], StructField("_text", StringType()), StructField("_gone", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")]
-            yield pa.record_batch([batch.column("_k"), batch.column("_h"), pa.array(texts, pa.string())], ["_k", "_h", "_new"])
-
-    new = kept.mapInArrow(run, "_k long, _h long, _new string")
-    joined = own.join(new, ["_k", "_h"], "left")
-    out = {c: F.col("_row").getField(c) for c in columns}
-    out["text"] = F.coalesce("_new", out["text"])
-    if "n_chars" in out:
-        out["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), out["n_chars"])
-    return joined.select(*[out[c].alias(c) for c in columns])
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
+            rows = list(_left_over(batch, length))
+            texts = [left.decode("utf-8", "ignore") for left, _, _ in rows]
+            yield pa.record_batch([batch.column("_rest"), pa.array(texts, pa.string()), pa.array([n for _, n, _ in rows], pa.int64())], ["_rest", "_text", "_gone"])
+
+    new = joined.mapInArrow(run, schema)
+    own = {c: F.col("_rest").getField(f"_c{i}") for i, c in enumerate(others)}
+    own["text"] = F.when(~F.col("_rest._null"), F.col("_text"))
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("_gone") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return new.select(*[own[c].alias(c) for c in docs.columns])

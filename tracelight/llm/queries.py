@@ -61,4 +61,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_suffix_dedup, op2_sharding, op3_ngram_jaccard, op4_tiff_media, op5_packing, op6_language_id, op7_byte_bpe, op8_pii, op9_embedding_dedup, op10_quality)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+_COMPONENTS = """
+reach(node, root) AS (
+  SELECT id, id FROM nodes
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+answer AS (
+  SELECT n.id, (SELECT count(*) FROM links l WHERE l.a = n.id)::BIGINT AS n_links, c.root
+  FROM nodes n JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) c ON c.node = n.id)"""
+
+#: SQL for the rows, on tables whose ids are unique and not null.  What a model decides has none.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, gram FROM (
+    SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM words WHERE len(ws) > 0))),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common c JOIN sizes s ON s.doc_id = c.a JOIN sizes t ON t.doc_id = c.b WHERE 10 * c.n >= 8 * (s.n + t.n - c.n)),
+nodes AS (SELECT doc_id AS id FROM documents),{_COMPONENTS}
+SELECT id AS doc_id, n_links, root AS class_id, root = id AS kept FROM answer""",
+    "op9_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+nodes AS (SELECT vec_id AS id FROM embeddings),{_COMPONENTS}
+SELECT id AS vec_id, n_links, root AS component_id, root = id AS kept FROM answer""",
+}

@@ -34,12 +34,19 @@ def shingle_keys(df: DataFrame, *ids: str, k: int = SHINGLE) -> DataFrame:
 
 
 def observations(candidates: DataFrame, sites: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``release_id, site, file, hits, exact``: one row for each site and file that share a key."""
+    """``release_id, site, file, hits, exact``: one row for each site and file that share a key.
+
+    The hits are kept (they are few beside the candidates) and counted; up to ``BROADCAST_KEYS`` of them
+    travel to the texts for the word-for-word test, so that no text is shuffled.
+    """
     keys = shingle_keys(sites, "release_id", "site", k=k)
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     asked = shingle_keys(candidates, "file", k=k)
-    hits = asked.join(F.broadcast(keys) if few else keys, "key").groupBy("release_id", "site", "file").agg(F.count_distinct("key").alias("hits"))
-    whole = hits.join(candidates.select("file", F.col("text").alias("_c")), "file").join(sites.select("release_id", "site", F.col("text").alias("_s")), ["release_id", "site"])
+    hits = asked.join(F.broadcast(keys) if few else keys, "key").groupBy("release_id", "site", "file").agg(F.count_distinct("key").alias("hits")).persist()
+    passages = sites.select("release_id", "site", F.col("text").alias("_s"))
+    wanted = hits.join(F.broadcast(passages) if few else passages, ["release_id", "site"])
+    slim = hits.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    whole = candidates.select("file", F.col("text").alias("_c")).join(F.broadcast(wanted) if slim else wanted, "file")
     return whole.select("release_id", "site", "file", "hits", F.contains("_c", F.col("_s")).alias("exact"))
 
 

@@ -53,7 +53,7 @@ LENGTH = 200
 ANCHOR = 40
 #: Bytes of segments that are sorted together, and beyond which one name is counted window by window.
 SORT_BYTES = 1 << 20
-HOT_BYTES = 1 << 23
+HOT_BYTES = 1 << 21
 #: Segments of which a task remembers that it has sent their bytes.
 SEEN = 100_000
 

@@ -151,15 +151,21 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 # -- ranks without a global sort -------------------------------------------------------------------
 
 
+#: Rows that one task numbers at a time, about.
+RANK_ROWS = 500_000
+
+
 def gapless_rank(df: DataFrame, by: list[str], spread: Column, buckets: int, name: str) -> DataFrame:
     """Number the rows of each ``by`` from 0 without gaps.
 
-    Rows are dealt to ``buckets`` by ``spread``; rows are numbered inside a bucket and shifted by the
-    sizes of the buckets before, so that no task holds all rows of a ``by`` value.  ``df`` is used
-    twice and should be materialised.  The table of sizes has (values of ``by``) x ``buckets`` rows.
+    Rows are dealt by ``spread`` to ``buckets`` buckets, or more if they would hold over ``RANK_ROWS``
+    rows; rows are numbered inside a bucket and shifted by the sizes of the buckets before, so that no
+    task holds all rows of a ``by`` value.  ``df`` is used three times and should be materialised.  The
+    table of sizes has a row for each value of ``by`` and bucket.
     """
     from pyspark.sql import Window
 
+    buckets = max(buckets, df.count() // RANK_ROWS)
     dealt = df.withColumn("_b", F.pmod(spread, F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

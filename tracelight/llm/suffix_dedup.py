@@ -115,6 +115,10 @@ class Suffixes:
         self.data, self.length = data, length
         self.prefix = prefix_hash(data)
         self.whole = window_hash(self.prefix, length)
+        self.head = np.zeros(len(data), np.uint64)  # the first eight bytes, as a number
+        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        for i in range(8):
+            self.head = (self.head << np.uint64(8)) | padded[i : i + len(data)]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes that differ within ``length`` bytes."""
@@ -132,13 +136,18 @@ class Suffixes:
             high = np.where(open_ & ~same, middle, high)
 
     def order(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1 for each pair."""
+        """-1, 0 or 1 for each pair: by the whole hash, the first bytes, or what follows the common extension."""
         out = np.zeros(len(a), np.int8)
         differ = np.flatnonzero(self.whole[a] != self.whole[b])
         if len(differ):
             x, y = a[differ], b[differ]
-            n = self.common(x, y)
-            out[differ] = np.where(self.data[x + n] < self.data[y + n], -1, 1)
+            told = np.where(self.head[x] < self.head[y], -1, 1)
+            tied = np.flatnonzero(self.head[x] == self.head[y])
+            if len(tied):
+                x, y = x[tied], y[tied]
+                n = self.common(x, y)
+                told[tied] = np.where(self.data[x + n] < self.data[y + n], -1, 1)
+            out[differ] = told
         return out
 
     def sort(self, items: np.ndarray, group: np.ndarray) -> np.ndarray:

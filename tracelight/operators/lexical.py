@@ -126,20 +126,23 @@ def escaped(value: Column) -> Column:
     return out
 
 
-def canonical_texts(df: DataFrame, level: int, text: str = "text", name: str = "canonical") -> DataFrame:
-    """Adds token text at a level: 1 exact, 2 with words by first use, 3 with literals by class as well.
+def canonical_texts(df: DataFrame, key: str, level: int, text: str = "text") -> DataFrame:
+    """``key, canonical``: token text at a level.
 
-    Tokens and words are columns of their own, so that no lambda computes them again.
+    1 is exact; at 2 words are numbered by first use; at 3 literals are named by their class as well.
+    The exact level is a projection.  The others run over exploded tokens, whose kinds and numbers are
+    found once a token in generated code, and are put together again by ``key``, one row each in ``df``.
     """
-    t = F.col("_tokens")
-    df = df.withColumn("_tokens", token_texts(F.col(text)))
     if level == 1:
-        return df.withColumn(name, F.array_join(F.transform(t, escaped), " ")).drop("_tokens")
-    df = df.withColumn("_words", F.array_distinct(F.filter(t, lambda x: token_kind(x) == "word")))
-    renamed = lambda x: F.concat(F.lit("#l"), (F.array_position("_words", x) - 1).cast("string"))
-    by_class = lambda x: (F.lit(level) == 3) & token_kind(x).isin("number", "string")
-    as_level = lambda x: F.when(token_kind(x) == "word", renamed(x)).when(by_class(x), F.concat(F.lit("<"), token_kind(x), F.lit(">"))).otherwise(escaped(x))
-    return df.withColumn(name, F.array_join(F.transform(t, as_level), " ")).drop("_tokens", "_words")
+        own = df.select(key, token_texts(F.col(text)).alias("_tokens"))
+        return own.select(key, F.array_join(F.transform("_tokens", escaped), " ").alias("canonical"))
+    t = tokens(df, key, text)
+    numbers = renamed_by_first_use(t, key).select(key, "token", "number")
+    literal = F.lit(level == 3) & F.col("kind").isin("number", "string")
+    piece = F.when(F.col("number").isNotNull(), F.concat(F.lit("#l"), F.col("number").cast("string"))).when(literal, F.concat(F.lit("<"), "kind", F.lit(">"))).otherwise(escaped(F.col("token")))
+    pieces = t.join(numbers, [key, "token"], "left").select(key, F.struct("pos", piece.alias("piece")).alias("p"))
+    lines = pieces.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), " ").alias("canonical"))
+    return df.select(key).join(lines, key, "left").select(key, F.coalesce("canonical", F.lit("")).alias("canonical"))
 
 
 def located_shapes(text: Column, shape: str) -> Column:

@@ -73,14 +73,14 @@ def rename_first_occurrence(spark, sf_dir):
 @query("SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(line, '" + _TOKEN_SQL + "'), lambda t: replace(replace(replace(replace(t, chr(92), chr(92) || chr(92)), ' ', '_'), '<', chr(92) || '<'), '>', chr(92) || '>')), ' ')) AS digest FROM (SELECT doc_id, text AS line FROM documents)")
 def line_canonical_digest(spark, sf_dir):
     """F60, F61, F63 at level 1."""
-    return X.canonical_texts(table(spark, sf_dir, "documents"), 1).select("doc_id", F.md5("canonical").alias("digest"))
+    return X.canonical_texts(table(spark, sf_dir, "documents"), "doc_id", 1).select("doc_id", F.md5("canonical").alias("digest"))
 
 
 @query(f"WITH {_TOKENS_SQL}, u AS (SELECT id, token, min(pos) AS first FROM kinds WHERE kind = 'word' GROUP BY id, token), r AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS number FROM u) SELECT k.id::BIGINT AS id, md5(string_agg(CASE k.kind WHEN 'word' THEN '#l' || r.number WHEN 'number' THEN '<number>' WHEN 'string' THEN '<string>' ELSE replace(replace(replace(replace(k.token, chr(92), chr(92) || chr(92)), ' ', '_'), '<', chr(92) || '<'), '>', chr(92) || '>') END, ' ' ORDER BY k.pos)) AS digest FROM kinds k LEFT JOIN r ON r.id = k.id AND r.token = k.token GROUP BY k.id")
 def abstract_canonical_digest(spark, sf_dir):
     """F60 at level 3: words by first use, literals by class."""
     df = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat("text", F.lit(_EXTRA)).alias("text"))
-    return X.canonical_texts(df, 3).select("id", F.md5("canonical").alias("digest"))
+    return X.canonical_texts(df, "id", 3).select("id", F.md5("canonical").alias("digest"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(t, '\\([0-9]+ [+*-] [0-9]+\\)'))::INT AS arithmetic, len(regexp_extract_all(t, '0x[0-9a-fA-F]+'))::INT AS hex FROM (SELECT doc_id, text || ' (12 + ' || doc_id || ') 0xAb' || doc_id || ' (3 / 4)' AS t FROM documents)")
@@ -196,7 +196,7 @@ def coincidence_lambda(spark, sf_dir):
     return t.select("release_id", F.round("mean", 9).alias("mean"), F.round(G.union_bound(F.col("probes"), 4), 9).alias("union_bound"))
 
 
-_TAIL_SQL = "greatest(0, least(1, CASE WHEN n <= 0 THEN 1.0 WHEN m <= 0 THEN 0.0 ELSE 1 - exp(-m) * list_sum(list_transform(range(0, n), lambda i: pow(m, i) / factorial(i::INT))) END))"
+_TAIL_SQL = "greatest(0, least(1, CASE WHEN n <= 0 THEN 1.0 WHEN m <= 0 THEN 0.0 ELSE 1 - exp(-m) * list_sum(list_transform(range(0, n), lambda i: pow(m, i) / gamma(i + 1))) END))"
 
 
 @query(f"SELECT l_linenumber AS n, k, round({_TAIL_SQL}, 9) AS tail FROM (SELECT DISTINCT l_linenumber, l_linenumber::BIGINT AS n, (l_quantity / 10)::DOUBLE AS m, l_quantity AS k FROM lineitem)")

@@ -1,7 +1,8 @@
+import random
 import zlib
 from collections import Counter
 
-from tracelight.llm.sharding import label_propagation_shards
+from tracelight.llm.sharding import label_propagation_shards, placement
 
 SCHEMA = "doc_id long, text string, shard int, slot string"
 
@@ -33,3 +34,47 @@ def test_law_and_links(spark):
 
 def test_empty(spark):
     assert label_propagation_shards(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def shards_by_text(got, rows):
+    """The law holds and no row is lost; gives the rows of each text by shard."""
+    assert sorted(r.doc_id for r in got) == [d for d, *_ in rows]
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 1
+    text, at = {d: t for d, t, *_ in rows}, {}
+    for r in got:
+        at.setdefault(text[r.doc_id], Counter())[r.shard] += 1
+    return at
+
+
+def test_no_unique_texts(spark):
+    for copies, groups, most in ((2, 800, 0), (2, 820, 20), (3, 400, 40), (400, 3, 3)):
+        rows = [(i, f"text {i // copies}", 1, "x") for i in range(copies * groups)]
+        at = shards_by_text(label_propagation_shards(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect(), rows)
+        assert sum(len(s) > 1 for s in at.values()) <= most
+        if copies == 400:  # 30 rows a shard: 14 shards at least
+            assert [len(s) for s in at.values()] == [14] * 3
+
+
+def test_placement_uses_every_room():
+    rng = random.Random(5)
+    for _ in range(300):
+        shards = rng.choice([1, 2, 7, 40])
+        sizes = {m: n for m, n in Counter(rng.choice([2, 2, 3, 5, 9, 60, 400]) for _ in range(rng.randint(0, 120))).items()}
+        total = sum(m * n for m, n in sizes.items()) + rng.choice([0, 0, 1, 50])
+        room = [total // shards + (s < total % shards) for s in range(shards)]
+        inside, split, free = placement(dict(sizes), room)
+        used, seen = [sum(m * n for m, n in x.items()) for x in inside], Counter()
+        for x in inside:
+            seen.update(x)
+        for m, pieces in split:
+            seen[m] += 1
+            assert sum(n for _, n in pieces) == m and all(n > 0 for _, n in pieces)
+            for s, n in pieces:
+                used[s] += n
+        assert {m: n for m, n in seen.items() if n} == sizes and min(free) >= 0
+        assert [u + f for u, f in zip(used, free)] == room
+        assert sum(m <= max(room) for m, _ in split) < shards
+    # first fit puts both of 4 together and leaves one of 3 over; an exchange of 4 and 3 makes its room
+    inside, split, free = placement({4: 2, 3: 4}, [10, 10])
+    assert not split and free == [0, 0] and inside == [{4: 1, 3: 2}] * 2

@@ -1,73 +1,132 @@
 """Balanced label propagation: documents with equal texts move together under capacity quotas.
 
 Law ``rows``: shard sizes are at most one row apart.  Documents whose text occurs once have no links
-and fill whatever space the linked ones leave, so only linked documents take part in the rounds:
-
-1. linked documents are dealt evenly; a *cell* is a group of equal texts in one starting shard;
-2. in each round a group prefers the shard with room for a cell that holds most of it, and its other
-   cells ask to move there if more neighbours wait there than stay behind;
-3. asked sizes are added up by (shard, priority class), at most 40 x 1024 numbers, and the driver
-   accepts classes, best gain first, while the quota of the shard lasts;
-4. rounds end when nothing moves, or after ``ROUNDS``.
-
-No task holds a group: cells are counts, and a group of any size has at most 40 of them.  A null text
-is empty with size 16; repeated rows are placed one by one; an empty table gives no rows; further
-columns are not read.
+and fill whatever space the linked ones leave, so only linked documents are placed by their links.
+
+Equal texts are all linked with one another, so a label reaches its whole group in one step and groups
+do not reach each other: what is left to settle is which groups the quota of a shard grants.  That
+only depends on how many groups of each size there are, and the driver settles it from these counts
+(``placement``):
+
+1. size by size, the largest first, groups go whole into the first shards with room; a group larger
+   than any room fills whole shards and its rest counts as a group of that size;
+2. groups that then fit nowhere are tried again, after an exchange of a group of one shard with a
+   smaller one of another (or with its free room) that makes the room, until a pass gains nothing;
+3. what still fits nowhere is cut over the largest rooms.  The room left is then less than the size of
+   each of these groups, so at most ``shards - 1`` groups are cut besides those larger than a shard.
+
+No task holds a group: members of a cut group are numbered in buckets.  The driver holds a number for
+each size of group, of which n rows have less than the root of 2n, and each shard that it goes to.  A
+null text is empty with size 16; repeated rows are placed one by one; an empty table gives no rows;
+further columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_left
+from collections import Counter
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracelight.llm.common import cut, gapless_rank, keyed
 
 SHARDS = 40
-ROUNDS = 16
-CLASSES = 1024
 BUCKETS = 256
 
 
-def _pick(values: list[int], at: str) -> Column:
-    return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col(at) + 1)
-
-
-def _loads(cells: DataFrame, shards: int) -> list[int]:
-    out = [0] * shards
-    for r in cells.groupBy("cur").agg(F.sum("n").alias("n")).collect():  # one row for each shard
-        out[r["cur"]] = r["n"]
-    return out
-
-
-def _round(cells: DataFrame, free: list[int], number: int) -> tuple[DataFrame, int]:
-    """Cells after one round, and how many documents moved."""
-    spark = cells.sparkSession
-    held = cells.groupBy("g", "cur").agg(F.sum("n").alias("here"))
-    largest = cells.groupBy("g").agg(F.max("n").alias("cell"))
-    best = held.join(largest, "g").where(_pick(free, "cur") >= F.col("cell")).groupBy("g").agg(
-        F.max_by(F.struct(F.col("cur").alias("to"), F.col("here").alias("there")), F.struct("here", F.xxhash64("g", "cur"))).alias("best")
-    )
-    asked = cells.join(held, ["g", "cur"]).join(best, "g", "left").select("g", "s0", "cur", "n", "here", "best.*")
-    moves = (F.col("to") != F.col("cur")) & (F.col("there") > F.col("here") - F.col("n"))
-    gain = F.least(F.lit(31), F.floor(F.log2(F.col("there").cast("double"))))
-    level = (31 - gain) * 32 + F.pmod(F.xxhash64("g", "s0", F.lit(number)), F.lit(32))
-    asked = cut(asked.withColumn("p", F.when(moves, level.cast("int"))))
-    sums = asked.where("p is not null").groupBy("to", "p").agg(F.sum("n").alias("n")).collect()  # at most shards x classes
-    left, accepted = list(free), []
-    for r in sorted(sums, key=lambda r: (r["p"], r["to"])):
-        if r["n"] <= left[r["to"]]:
-            left[r["to"]] -= r["n"]
-            accepted.append((r["to"], r["p"], True))
-    if not accepted:
-        return cells, 0
-    kind = T.StructType([T.StructField("to", T.IntegerType()), T.StructField("p", T.IntegerType()), T.StructField("ok", T.BooleanType())])
-    granted = F.broadcast(spark.createDataFrame(accepted, kind))  # bounded by shards x classes
-    after = asked.join(granted, ["to", "p"], "left").select("g", "s0", F.when(F.col("ok"), F.col("to")).otherwise(F.col("cur")).alias("cur"), "n")
-    return cut(after), sum(free) - sum(left)
-
-
-def label_propagation_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def _make_room(size: int, free: list[int], inside: list[Counter]) -> int | None:
+    """A shard that has room for ``size`` after one exchange, which is carried out; None if none helps."""
+    for s in sorted(range(len(free)), key=lambda s: -free[s]):
+        lack = size - free[s]
+        for t in range(len(free)):
+            if t == s or free[t] < lack:
+                continue
+            there = sorted([0, *(m for m, n in inside[t].items() if n)])
+            for a in sorted(m for m, n in inside[s].items() if n):
+                i = bisect_left(there, a - free[t])
+                if i < len(there) and there[i] <= a - lack:
+                    b = there[i]
+                    for m, x, y in ((a, s, t), (b, t, s)):
+                        if m:
+                            inside[x][m] -= 1
+                            inside[y][m] += 1
+                    free[s] += a - b
+                    free[t] -= a - b
+                    return s
+    return None
+
+
+def placement(sizes: dict[int, int], room: list[int]) -> tuple[list[Counter], list[tuple[int, list[tuple[int, int]]]], list[int]]:
+    """Where groups go of which there are ``sizes[m]`` of size m; they fit into ``room`` together.
+
+    Gives for each shard how many whole groups of each size it takes, then the groups that are cut, each
+    with its size and (shard, rows), and the room that is left.
+    """
+    free, inside = list(room), [Counter() for _ in room]
+    split: list[tuple[int, list[tuple[int, int]]]] = []
+    larger = []
+    for m in sorted((m for m in sizes if m > max(room)), reverse=True):
+        larger += [m] * sizes[m]
+    rests: dict[int, list[list[tuple[int, int]]]] = {}
+    for m in larger:
+        pieces, rest = [], m
+        for s in sorted(range(len(free)), key=lambda s: -free[s]):
+            if free[s] == room[s] and 0 < free[s] <= rest:
+                pieces.append((s, free[s]))
+                rest -= free[s]
+                free[s] = 0
+        split.append((m, pieces))
+        if rest:
+            rests.setdefault(rest, []).append(pieces)
+    #: Rests stay where they are put: only whole groups are exchanged.
+    late: list[tuple[int, list[tuple[int, int]] | None]] = []
+    for m in sorted({*rests, *(m for m in sizes if m <= max(room))}, reverse=True):
+        for pieces in rests.get(m, []):
+            fits = [s for s in range(len(free)) if free[s] >= m]
+            if fits:
+                s = min(fits, key=lambda s: free[s])
+                pieces.append((s, m))
+                free[s] -= m
+            else:
+                late.append((m, pieces))
+        n = sizes.get(m, 0) if m <= max(room) else 0
+        for s in range(len(free)):
+            k = min(n, free[s] // m)
+            if k:
+                inside[s][m] += k
+                free[s] -= k * m
+                n -= k
+        late += [(m, None)] * n
+    gained = True
+    while gained and late:
+        gained, still = False, []
+        for m, pieces in late:
+            fits = [s for s in range(len(free)) if free[s] >= m]
+            s = min(fits, key=lambda s: free[s]) if fits else _make_room(m, free, inside)
+            if s is None:
+                still.append((m, pieces))
+                continue
+            gained = True
+            free[s] -= m
+            if pieces is None:
+                inside[s][m] += 1
+            else:
+                pieces.append((s, m))
+        late = still
+    for m, pieces in late:
+        if pieces is None:
+            split.append((m, pieces := []))
+        while m:
+            s = max(range(len(free)), key=lambda s: free[s])
+            k = min(m, free[s])
+            pieces.append((s, k))
+            free[s] -= k
+            m -= k
+    return inside, split, free
+
+
+def label_propagation_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for each row of ``docs``."""
     text = F.col("text")
     skinny = keyed(docs).select(
@@ -80,26 +139,50 @@ def label_propagation_shards(docs: DataFrame, shards: int = SHARDS, rounds: int
     total = skinny.count()
     room = [total // shards + (s < total % shards) for s in range(shards)]
     groups = cut(skinny.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    linked = cut(skinny.join(groups, "g"))
-    single = skinny.join(groups, "g", "left_anti")
+    spark = docs.sparkSession
+    sizes = {r["members"]: r["n"] for r in groups.groupBy("members").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each size
+    inside, split, free = placement(sizes, room)
     own = F.xxhash64("_h", "_k")
-    linked = gapless_rank(linked.drop("members"), [], own, BUCKETS, "r")
-    linked = cut(linked.withColumn("s0", (F.col("r") % shards).cast("int")).drop("r"))
-    cells = cut(linked.groupBy("g", "s0").agg(F.count(F.lit(1)).alias("n")).select("g", "s0", F.col("s0").alias("cur"), "n"))
-    loads = _loads(cells, shards)
-    for number in range(rounds):
-        cells, moved = _round(cells, [r - x for r, x in zip(room, loads)], number)
-        if not moved:
-            break
-        loads = _loads(cells, shards)
-    placed = linked.join(cells.select("g", "s0", F.col("cur").alias("shard")), ["g", "s0"]).drop("s0")
-    bounds, at = [], 0
-    for r, x in zip(room, loads):
-        at += r - x
-        bounds.append(at)
+    # groups of a size are numbered; shards take them from 0 on, and those that are cut come last
+    bounds: dict[int, tuple[list[int], list[int]]] = {m: ([], []) for m in sizes}
+    for s in range(shards):
+        for m, n in inside[s].items():
+            if n:
+                ends, places = bounds[m]
+                ends.append((ends[-1] if ends else 0) + n)
+                places.append(s)
+    cuts = []
+    for m, pieces in split:
+        ends, taken = [], 0
+        for _, n in pieces:
+            taken += n
+            ends.append(taken)
+        sizes[m] -= 1
+        cuts.append((m, sizes[m], ends, [s for s, _ in pieces]))
+    numbered = gapless_rank(groups, ["members"], F.col("g"), BUCKETS, "_rank")
+    whole = F.broadcast(spark.createDataFrame([(m, *b) for m, b in bounds.items()], "members long, _ends array<long>, _places array<int>"))  # one row for each size
+    few = F.broadcast(spark.createDataFrame(cuts, "members long, _rank long, _cut_ends array<long>, _cut_places array<int>"))  # under 2 x shards
+    placed = cut(
+        numbered.join(whole, "members").join(few, ["members", "_rank"], "left")
+        .withColumn("_place", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
+        .select("g", F.when(F.col("_cut_ends").isNull(), F.get("_places", F.col("_place"))).alias("shard"), "_cut_ends", "_cut_places")
+    )
+    dealt = cut(skinny.join(placed.select("g", "shard", F.lit(True).alias("_linked")), "g", "left"))
+    together = dealt.where("shard is not null").drop("_linked")
+    parts = dealt.where("_linked and shard is null").drop("_linked", "shard")
+    single = dealt.where("_linked is null").drop("_linked", "shard")
+    if cuts:
+        members = gapless_rank(cut(parts), ["g"], own, BUCKETS, "r")
+        pieces = F.broadcast(placed.where("_cut_ends is not null").drop("shard"))  # under 2 x shards
+        spread = members.join(pieces, "g").withColumn("_place", F.size(F.filter("_cut_ends", lambda e: e <= F.col("r"))))
+        together = together.unionByName(spread.withColumn("shard", F.get("_cut_places", F.col("_place"))).select(together.columns))
+    bounds_left, at = [], 0
+    for x in free:
+        at += x
+        bounds_left.append(at)
     ranked = gapless_rank(cut(single), [], own, BUCKETS, "r")
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
+    edges = F.array(*[F.lit(b).cast("long") for b in bounds_left])
     rest = ranked.withColumn("shard", F.size(F.filter(edges, lambda e: e <= F.col("r"))).cast("int")).drop("r")
-    everyone = cut(placed.unionByName(rest))
+    everyone = cut(together.unionByName(rest))
     slotted = gapless_rank(everyone, ["shard"], own, BUCKETS, "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

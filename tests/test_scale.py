@@ -42,3 +42,24 @@ def test_selection_spreads_and_never_overlaps(spark):
                 if a.file == b.file and a.start != b.start:
                     assert not (a.st_start <= b.start < a.st_end or a.sc_start <= b.start < a.sc_end)
         assert judged.where("reason is not null").count() >= 0
+
+
+def _chosen(spark, tree, target):
+    files = spark.createDataFrame([(f, "javascript", text) for f, text in tree.items()], "file string, language string, text string")
+    candidates = E.usable(E.harvest(files, KEY, KEY), 4).cache()
+    judged = E.choose(candidates, target).collect()
+    assert len(judged) == len({(r.file, r.start) for r in judged}) == candidates.count()
+    return [r for r in judged if r.reason is None]
+
+
+def test_selection_looks_past_many_copies(spark):
+    tree = {f"copy{i}.js": "function a() { return 5005; }\n" for i in range(40)}
+    tree["own.js"] = "// stands later than the copies\nfunction b(x) { return x + 7007; }\n"
+    assert {r.file == "own.js" for r in _chosen(spark, tree, 2)} == {True, False}
+
+
+def test_selection_looks_past_a_long_table(spark):
+    table = ", ".join(str(5040 * i + 1009) for i in range(1, 201))
+    text = f"function table() {{ return [{table}]; }}\nfunction b(x) {{ return x + 7007; }}\n"
+    chosen = _chosen(spark, {"a.js": text}, 2)
+    assert len(chosen) == 2 and max(r.start for r in chosen) > text.index("function b")

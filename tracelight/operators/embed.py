@@ -1,14 +1,16 @@
 """Writing codes into literals: harvest, selection, respelling, and reading them back.
 
 Everything up to the choice of sites runs in parallel by file.  The choice itself depends on all
-choices before it; each file's queue and the number of files are cut to a multiple of the wanted number
-of sites first, so the one task that chooses reads a bounded table.
+choices before it, so one task makes it.  It reads the first files and the first places of each, a
+multiple of the wanted number of sites; where these run out before the target is met it is made again
+over eight times as many, up to all, so that the outcome is that of the whole queues.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,21 +88,24 @@ def usable(candidates: DataFrame, width: int, strings: bool = True) -> DataFrame
 def choose(candidates: DataFrame, target: int) -> DataFrame:
     """Up to ``target`` candidates that do not disturb one another, spread over the files.
 
-    Gives ``file, start, primary`` and, for those passed over, ``reason``.
+    Gives ``file, start, primary`` and, for those passed over, ``reason``; every candidate has a row.
     """
     reach = F.greatest("st_end", "sc_end")
     queue = W.partitionBy("file").orderBy(reach, "priority")
-    ranked = candidates.withColumn("reach", reach).withColumn("place", F.row_number().over(queue))
+    ranked = candidates.withColumn("reach", reach).withColumn("place", F.row_number().over(queue)).withColumn("queued", F.count(F.lit(1)).over(W.partitionBy("file")))
     counted = candidates.select(F.posexplode("locations").alias("slot", "loc")).groupBy("slot", "loc").agg(F.count(F.lit(1)).alias("twins"))
     twins = candidates.select("file", "start", F.posexplode("locations").alias("slot", "loc")).join(counted, ["slot", "loc"])
     twins = twins.groupBy("file", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "twins"))), lambda x: x["twins"]).alias("twins"))
-    first = candidates.groupBy("file").agg(F.min(F.struct(reach.alias("reach"), "priority")).alias("best"))
-    order = first.orderBy("best", "file").limit(QUEUE_FACTOR * target).select("file", "best")
-    bounded = ranked.where(F.col("place") <= QUEUE_FACTOR * max(8, target)).join(F.broadcast(order), "file").join(twins, ["file", "start"])
+    first = candidates.groupBy("file").agg(F.min(F.struct(reach.alias("reach"), "priority")).alias("best")).cache()
+    count = first.count()
+    share = -(-target // max(1, count))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        more_files = bool(pdf["more"].iloc[0])
         pdf = pdf.sort_values(["best_reach", "best_priority", "file", "place"], kind="stable")
-        queues = {f: list(g.to_dict("records")) for f, g in pdf.groupby("file", sort=False)}
+        pdf["key"] = [tuple(x) for x in pdf["locations"]]
+        queues = {f: deque(g.to_dict("records")) for f, g in pdf.groupby("file", sort=False)}
+        cut_short = set(pdf.loc[pdf["queued"] > pdf.groupby("file")["place"].transform("max"), "file"])
         chosen, taken, held, out = [], set(), dict.fromkeys(queues, 0), []
         covers = lambda r, a, b: r[0] <= a < r[1] or r[0] <= b - 1 < r[1]
 
@@ -111,30 +116,52 @@ def choose(candidates: DataFrame, target: int) -> DataFrame:
                     or covers((o["st_start"], o["st_end"]), c["start"], c["end"]) or covers((o["sc_start"], o["sc_end"]), c["start"], c["end"])
                 ):
                     return None, "overlapping-radius"
-                if list(o["locations"]) == list(c["locations"]):
+                if o["key"] == c["key"]:
                     return None, "indistinguishable"
             free = [k for k in range(4) if c["locations"][k] not in taken]
             return (min(free, key=lambda k: (c["twins"][k], k)), None) if free else (None, "identity-taken")
 
-        share = -(-target // max(1, len(queues)))
-        for allowed in dict.fromkeys((max(1, share), target)):
-            moved = True
-            while moved and len(chosen) < target:
-                moved = False
-                for f, q in queues.items():
-                    while q and held[f] < allowed and len(chosen) < target:
-                        c, moved = q.pop(0), True
-                        primary, reason = judge(c)
-                        out.append((c["file"], c["start"], primary, reason))
-                        if reason is None:
-                            taken.add(c["locations"][primary])
-                            chosen.append(c)
-                            held[f] += 1
-                            break
-        return pd.DataFrame(out, columns=["file", "start", "primary", "reason"]).astype({"primary": "Int32"})
-
-    flat = bounded.withColumn("best_reach", F.col("best.reach")).withColumn("best_priority", F.col("best.priority")).drop("best", "families")
-    return flat.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda pdf: greedy(pdf.drop(columns="_one")), "file string, start int, primary int, reason string")
+        def ran_out() -> bool:
+            for allowed in dict.fromkeys((max(1, share), target)):
+                moved = True
+                while moved and len(chosen) < target:
+                    moved = False
+                    for f, q in queues.items():
+                        while held[f] < allowed and len(chosen) < target:
+                            if not q:
+                                if f in cut_short:
+                                    return True
+                                break
+                            c, moved = q.popleft(), True
+                            primary, reason = judge(c)
+                            out.append((c["file"], c["start"], primary, reason))
+                            if reason is None:
+                                taken.add(c["locations"][primary])
+                                chosen.append(c)
+                                held[f] += 1
+                                break
+                    if more_files and len(chosen) < target:
+                        return True
+            return False
+
+        if ran_out():
+            out = [(None, None, None, "ran-out")]
+        return pd.DataFrame(out, columns=["file", "start", "primary", "reason"]).astype({"start": "Int32", "primary": "Int32"})
+
+    files, places = QUEUE_FACTOR * target, QUEUE_FACTOR * max(8, target)
+    while True:
+        more = files < count
+        order = F.broadcast(first.orderBy("best", "file").limit(files)) if more else first
+        bounded = ranked.where(F.col("place") <= places).join(order.select("file", "best"), "file").join(twins, ["file", "start"])
+        flat = bounded.withColumn("best_reach", F.col("best.reach")).withColumn("best_priority", F.col("best.priority")).drop("best", "families")
+        tried = flat.withColumn("more", F.lit(more)).groupBy("more").applyInPandas(greedy, "file string, start int, primary int, reason string").cache()
+        if not tried.where("reason = 'ran-out'").limit(1).count():
+            break
+        tried.unpersist()
+        files, places = QUEUE_FACTOR * files, QUEUE_FACTOR * places
+    first.unpersist()
+    rest = candidates.select("file", "start").join(tried, ["file", "start"], "left_anti")
+    return tried.unionByName(rest.select("file", "start", F.lit(None).cast("int").alias("primary"), F.lit("constellation-full").alias("reason")))
 
 
 def rendered(sites: DataFrame, width: int) -> DataFrame:

@@ -228,3 +228,24 @@ def test_spellings_of_a_secret():
 def test_sweep(spark):
     df = spark.createDataFrame([("a", bytearray(b"xx\x01\x02yy")), ("b", bytearray(b"none"))], "file string, content binary")
     assert [(r.file, r.needles) for r in transforms.sweep(df, [b"\x01\x02", b"zz"]).collect()] == [("a", [0])]
+
+
+def test_addresses_are_digests_of_the_canonical_text():
+    texts = {"python": "def f(a, b=3):\n    x = a + (1 + 2)\n    return [x, 'q', b, 5 * a]\n", "javascript": "function f(a) { const b = (7 + 1); return g(b, 'x y') - 0x1F; }\nlet c = [1, 2];\n"}
+    for language, text in texts.items():
+        a = S.analyse(text, language)
+        spans = S.lone_literals(a) + S.windows(a) + [(i, j) for i in range(0, len(text), 3) for j in range(i + 1, min(len(text), i + 20))]
+        for start, end, *_ in spans:
+            digests, statement, scope = S.addresses(a, start, end)
+            whole = (0, max(t.end for t in a.tokens) + 1)
+            assert statement == S.tightest([s for s in a.statements if s[1] >= end], start, whole) and scope == S.tightest([s for s in a.scopes if s[1] >= end], start, whole)
+            assert digests == [hashlib.sha256(S.canonical(a.within(*span), abstract, (start, end)).encode()).digest() for abstract in (True, False) for span in (statement, scope)]
+
+
+def test_caps_of_a_file_are_said():
+    a = S.analyse("const t = [" + "1, " * 21_000 + "9];\nconst z = (1 + 2);", "javascript")
+    assert len(S.lone_literals(a)) == 21_003 and len(S.windows(a)) == S.MOST_WINDOWS and a.capped == {"windows"}
+    a = S.analyse("x = 1;\n" * (S.MOST_SITES + 1), "javascript")
+    assert len(S.sites(a)) == S.MOST_SITES and a.capped == {"sites"} and a.refusals[-1][2] == "site-limit"
+    a = S.analyse("const z = (1 + 2);", "javascript")
+    assert S.windows(a) and S.sites(a) and not a.capped

@@ -171,3 +171,13 @@ def test_configs():
             Config.parse(bad)
     with pytest.raises(DocumentError):
         Store.discover("/")
+
+
+def test_a_file_with_too_many_windows_makes_an_answer_partial(protected, tmp_path):
+    tree = read_tree(protected.store.root)
+    write_tree(tmp_path / "copy", {f: t for f, t in tree.items() if f in PROJECT})
+    assert not protected.verify("rel-a", tmp_path / "copy")["partial"]
+    write_tree(tmp_path / "copy", {"src/data.js": "const t = [" + "1, " * 11_000 + "9];\n"})
+    report = protected.scan(tmp_path / "copy")
+    assert report["partial"] and report["omissions"] >= 1 and protected.verify("rel-a", tmp_path / "copy")["partial"]
+    assert report["releases"][0]["fragments"] == report["releases"][0]["sites"]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tracelight.functions import literals as L
 from tracelight.functions.keys import framed_bytes
 from tracelight.operators import source_code as S
+from tracelight.sources.archives import NOT_EXAMINED
 
 QUEUE_FACTOR = 8
 NUMBER_FAMILIES = ("add", "sub", "mul", "radix")
@@ -65,7 +66,7 @@ def hypotheses(files: DataFrame, site_key: bytes) -> DataFrame:
             rows = []
             for file, language, text in zip(part["file"], part["language"], part["text"]):
                 analysis = S.analyse(text, language)
-                for start, end, n in S.windows(analysis):
+                for start, end, n in S.lone_literals(analysis) + S.windows(analysis):
                     if len(text[start:end].encode()) > 2 * S.LONGEST_LITERAL:
                         continue
                     digests, _, _ = S.addresses(analysis, start, end)
@@ -75,6 +76,25 @@ def hypotheses(files: DataFrame, site_key: bytes) -> DataFrame:
     return files.select("file", "language", "text").mapInPandas(run, HYPOTHESES)
 
 
+def not_probed(files: DataFrame, what: str = "windows") -> DataFrame:
+    """``file, reason, kind``: files of which only the first ``windows``, or ``sites``, are looked at, since there are too many."""
+    ask, most = {"windows": (S.windows, S.MOST_WINDOWS), "sites": (S.sites, S.MOST_SITES)}[what]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for file, language, text in zip(part["file"], part["language"], part["text"]):
+                analysis = S.analyse(text, language)
+                ask(analysis)
+                if what in analysis.capped:
+                    rows.append((file, f"too-many-{what}", NOT_EXAMINED))
+            yield pd.DataFrame(rows, columns=["file", "reason", "kind"])
+
+    # a token starts fewer windows than MOST_FORM_TOKENS, so shorter texts have too few tokens
+    long = F.length("text") * S.MOST_FORM_TOKENS > most
+    return files.where(long).select("file", "language", "text").mapInPandas(run, "file string, reason string, kind string")
+
+
 def usable(candidates: DataFrame, width: int, strings: bool = True) -> DataFrame:
     """Candidates with the families that can carry ``width`` bits; those with none are left out."""
     number = L.families_for(L.integer_value(F.col("original")), width)

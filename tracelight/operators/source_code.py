@@ -17,7 +17,7 @@ import hashlib
 import io
 import re
 import tokenize
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 MOST_SITES = 4_000
@@ -25,6 +25,7 @@ MOST_REFUSALS = 256
 MOST_WINDOWS = 20_000
 MOST_FORM_TOKENS = 6
 LONGEST_LITERAL = 240
+BLOCK = 4_096
 
 # Words that are no identifiers.
 KEYWORDS = {
@@ -61,6 +62,24 @@ class Analysis:
 
     def __post_init__(self):
         self._starts: list[int] | None = None
+        self._blocks: dict[str, dict[int, list[tuple[int, int]]] | None] = {}
+        self._bodies: dict[tuple, tuple[list[Token], list[int], list[int], bytes]] = {}
+        self.capped: set[str] = set()  # what stopped at its cap: "sites", "windows"
+
+    def near(self, kind: str, at: int) -> list[tuple[int, int]]:
+        """``statements`` or ``scopes`` of which some may hold a position, in their order; all that do are in it."""
+        spans = getattr(self, kind)
+        if kind not in self._blocks:
+            runs = [range(a // BLOCK, max(a, b - 1) // BLOCK + 1) for a, b in spans]
+            blocks = None
+            if sum(map(len, runs)) <= 8 * len(spans) + 50_000:  # nested deep, they are looked through one by one
+                blocks = {}
+                for span, run in zip(spans, runs):
+                    for i in run:
+                        blocks.setdefault(i, []).append(span)
+            self._blocks[kind] = blocks
+        blocks = self._blocks[kind]
+        return spans if blocks is None else blocks.get(at // BLOCK, [])
 
     def within(self, start: int, end: int) -> list[Token]:
         if self._starts is None:
@@ -213,16 +232,48 @@ def canonical(tokens: list[Token], abstract: bool, hidden: tuple[int, int]) -> s
     return " ".join(out)
 
 
-def addresses(analysis: Analysis, start: int, end: int, cache: dict | None = None) -> tuple[list[bytes], tuple[int, int], tuple[int, int]]:
+def _digest(analysis: Analysis, abstract: bool, span: tuple[int, int], hidden: tuple[int, int]) -> bytes:
+    """SHA-256 of ``canonical``, from text that is put together once for a span."""
+    body = analysis._bodies.get((abstract, span))
+    if body is None:
+        if len(analysis._bodies) >= 64:
+            analysis._bodies.clear()
+        tokens = analysis.within(*span)
+        names: dict[str, int] = {}
+        pieces, offsets, at = [], [], 0
+        for t in tokens:
+            piece = f"#l{names.setdefault(t.text, len(names))}" if abstract and t.kind == "word" else canonical([t], abstract, (-1, -1))
+            pieces.append(piece.encode())
+            offsets.append(at)
+            at += len(pieces[-1]) + 1
+        body = analysis._bodies[abstract, span] = tokens, [t.start for t in tokens], offsets, b" ".join(pieces)
+    tokens, starts, offsets, whole = body
+    i = j = bisect_left(starts, hidden[0])
+    while j < len(tokens) and starts[j] < hidden[1]:
+        t = tokens[j]
+        if t.end > hidden[1] or t.end <= t.start or t.kind == "word":  # not one run, or it would change the names
+            return hashlib.sha256(canonical(tokens, abstract, hidden).encode()).digest()
+        j += 1
+    view = memoryview(whole)
+    if i == j:
+        return hashlib.sha256(view).digest()
+    out = hashlib.sha256(view[: offsets[i]])
+    out.update(b"<site>")
+    if j < len(tokens):
+        out.update(b" ")
+        out.update(view[offsets[j] :])
+    return out.digest()
+
+
+def addresses(analysis: Analysis, start: int, end: int) -> tuple[list[bytes], tuple[int, int], tuple[int, int]]:
     """Four digests (statement and scope, abstract; statement and scope, exact) and both spans."""
     whole = (0, max((t.end for t in analysis.tokens), default=0) + 1)
-    statement = tightest([s for s in analysis.statements if s[1] >= end], start, whole)
-    scope = tightest([s for s in analysis.scopes if s[1] >= end], start, whole)
+    statement = tightest([s for s in analysis.near("statements", start) if s[1] >= end], start, whole)
+    scope = tightest([s for s in analysis.near("scopes", start) if s[1] >= end], start, whole)
     out = []
     for abstract in (True, False):
         for span in (statement, scope):
-            tokens = analysis.within(*span)
-            out.append(hashlib.sha256(canonical(tokens, abstract, (start, end)).encode()).digest())
+            out.append(_digest(analysis, abstract, span, (start, end)))
     return out, statement, scope
 
 
@@ -236,30 +287,41 @@ def literal_kind(token: Token) -> str | None:
 
 
 def sites(analysis: Analysis) -> list[dict]:
-    """Literals that may be respelled, with what surrounds them."""
+    """Literals that may be respelled, with what surrounds them.
+
+    At most ``MOST_SITES`` of a file; with more, ``analysis.capped`` has ``sites``.
+    """
     out = []
     for t in analysis.tokens:
         if t.kind not in ("number", "string"):
             continue
         kind, why = literal_kind(t), analysis.unsafe.get(t.start)
-        if kind and not why and len(t.text.encode()) <= LONGEST_LITERAL and len(out) < MOST_SITES:
-            digests, statement, scope = addresses(analysis, t.start, t.end)
-            out.append({"start": t.start, "end": t.end, "kind": kind, "original": t.text, "digests": digests, "statement": statement, "scope": scope})
-        elif len(analysis.refusals) < MOST_REFUSALS:
+        if kind and not why and len(t.text.encode()) <= LONGEST_LITERAL:
+            if len(out) < MOST_SITES:
+                digests, statement, scope = addresses(analysis, t.start, t.end)
+                out.append({"start": t.start, "end": t.end, "kind": kind, "original": t.text, "digests": digests, "statement": statement, "scope": scope})
+                continue
+            analysis.capped.add("sites")
+            why = "site-limit"
+        if len(analysis.refusals) < MOST_REFUSALS:
             analysis.refusals.append((t.start, t.end, why or "not-a-plain-literal"))
     return out
 
 
+def lone_literals(analysis: Analysis) -> list[tuple[int, int, int]]:
+    """(start, end, 1) of every literal."""
+    return [(t.start, t.end, 1) for t in analysis.tokens if t.kind in ("number", "string")]
+
+
 def windows(analysis: Analysis) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of single literals and of balanced runs of up to six that could spell one."""
+    """(start, end, tokens) of balanced runs of two to six tokens that could spell a literal.
+
+    At most ``MOST_WINDOWS`` of a file; with more, ``analysis.capped`` has ``windows``.
+    """
     tokens, out = analysis.tokens, set()
     material = ("number", "string", "operator", "punct")
     literal = ("number", "string")
     for i, t in enumerate(tokens):
-        if len(out) >= MOST_WINDOWS:
-            break
-        if t.kind in literal:
-            out.add((t.start, t.end, 1))
         if t.kind not in literal and t.text not in "([{":
             continue
         depth = 0
@@ -271,5 +333,8 @@ def windows(analysis: Analysis) -> list[tuple[int, int, int]]:
             if depth < 0:
                 break
             if j > i and depth == 0 and (u.kind in literal or u.text in (")", "]", "}")):
+                if len(out) >= MOST_WINDOWS:
+                    analysis.capped.add("windows")
+                    return sorted(out)
                 out.add((t.start, u.end, j - i + 1))
     return sorted(out)

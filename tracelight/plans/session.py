@@ -81,6 +81,7 @@ class Session:
         for t in config.targets:
             inside = inside | F.lit(t == ".") | F.col("file").startswith(t.rstrip("/") + "/")
         files = files.cache()
+        omissions = omissions.unionByName(E.not_probed(files.where(inside), "sites"))
         candidates = E.usable(E.harvest(files.where(inside), keys["site"], keys["selection"]), config.tag_bits, config.embed_strings).cache()
         judged = E.choose(candidates, config.target_sites).cache()
         chosen = judged.where("reason is null").join(candidates, ["file", "start"])
@@ -153,6 +154,7 @@ class Session:
         """The graded report of a candidate, strongest release first."""
         files, omissions = self.files(path, limits)
         files = files.cache()
+        omissions = omissions.unionByName(E.not_probed(files)).cache()
         ids = release_ids or self.store.releases()
         status = self.detection(files, ids).cache()
         marks = {r["release_id"]: r["fingerprint"] for _, r in self._authentic(ids)}
@@ -173,14 +175,15 @@ class Session:
         }
         if save:
             report["saved"] = self.store.save_report(save, report)
-        status.unpersist()
-        files.unpersist()
+        for df in (status, files, omissions):
+            df.unpersist()
         return report
 
     def verify(self, release_id: str | None = None, path: str | Path | None = None) -> dict:
         """Whether one release still stands in the project's own tree."""
         chosen = release_id or self.release_history()[-1]["release_id"]
         files, omissions = self.files(path or self.store.root)
+        omissions = omissions.unionByName(E.not_probed(files))
         status = self.detection(files, [chosen])
         t = status.agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("rank") >= 2).alias("confirmed"), F.count_if(F.col("rank") == 3).alias("exact"), F.count_if(F.col("rank") == 1).alias("stripped"), F.count_if(F.col("rank") == 0).alias("absent"))
         partial = omissions.where("kind = 'not-examined'").limit(1).count() > 0

@@ -249,3 +249,9 @@ def test_caps_of_a_file_are_said():
     assert len(S.sites(a)) == S.MOST_SITES and a.capped == {"sites"} and a.refusals[-1][2] == "site-limit"
     a = S.analyse("const z = (1 + 2);", "javascript")
     assert S.windows(a) and S.sites(a) and not a.capped
+
+
+def test_all_windows_of_a_long_text(spark):
+    df = spark.createDataFrame([(1, "1 + " * 11_000 + "1")], "id int, text string")
+    got = X.form_windows(X.tokens(df, "id"), "id").groupBy("n").count().collect()
+    assert {r.n: r["count"] for r in got} == {3: 11_000, 5: 10_999}

@@ -23,7 +23,6 @@ TOKEN = (
 )
 #: The widest spelling has five tokens; one more is allowed.
 MOST_FORM_TOKENS = 6
-MOST_WINDOWS = 20_000
 
 
 def token_texts(text: Column) -> Column:
@@ -73,8 +72,7 @@ def form_windows(tokens_: DataFrame, key: str) -> DataFrame:
     """``key, pos, n``: windows of 2 to 6 material tokens that could be a spelled literal.
 
     A window begins with a literal or an opening bracket, ends with a literal or a closing one, never
-    closes more than it opened and is balanced at its end.  Up to ``MOST_WINDOWS`` of a key are kept, the
-    first ones.
+    closes more than it opened and is balanced at its end.
     """
     w = W.partitionBy(key).orderBy("pos").rowsBetween(0, MOST_FORM_TOKENS - 1)
     here = F.struct("pos", "token", "kind")
@@ -92,9 +90,7 @@ def form_windows(tokens_: DataFrame, key: str) -> DataFrame:
         & F.forall(F.sequence(F.lit(1), n), lambda k: depth(k) >= 0)
     )
     sizes = F.filter(F.array(*[F.lit(n) for n in range(2, MOST_FORM_TOKENS + 1)]), good)
-    out = ahead.where(head & is_material(F.col("kind"))).select(key, "pos", F.explode(sizes).alias("n"))
-    first = W.partitionBy(key).orderBy("pos", "n")
-    return out.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= MOST_WINDOWS).drop("_r")
+    return ahead.where(head & is_material(F.col("kind"))).select(key, "pos", F.explode(sizes).alias("n"))
 
 
 def number_hazards(tokens_: DataFrame, key: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -63,3 +64,12 @@ def test_empty(spark):
 def test_bands_reach_the_recall():
     bands, rows = choose_bands(0.8, 0.99999, 160)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99999 and bands * rows <= 160
+
+
+def test_rows_without_words_all_stay(spark):
+    columns = "doc_id long, text string, lang string"
+    bare = [(None, None, "en"), (None, "", "de"), (None, "", "de"), (7, "!?", "en"), (7, "!?", "fr")]
+    rows = bare + [(8, "one and the same text", "en"), (8, "one and the same text", "en"), (9, "one and the same text", "en")]
+    kept = [tuple(r) for r in one_of_each(spark.createDataFrame(rows, columns)).collect()]
+    assert Counter(r for r in kept if r[0] not in (8, 9)) == Counter(bare)
+    assert [r for r in kept if r[0] in (8, 9)] == [(8, "one and the same text", "en")]

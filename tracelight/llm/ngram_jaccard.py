@@ -277,9 +277,9 @@ def in_blocks(members: DataFrame, block: int) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """``doc_id, _k, _h, n_links, class_id, kept`` for each row; kept marks one document of each class.
+    """``doc_id, _k, _h, n_links, class_id, kept, worded`` for each row; kept marks one document of each class.
 
-    Rows that agree in id and text are all kept or all not kept.
+    ``worded`` is false for texts without words, which are in no class.  Rows that agree in id and text are all kept or all not kept.
     """
     bands, rows = choose_bands(threshold, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -324,21 +324,25 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rec
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("kept_first.id")).alias("class_id"),
         F.coalesce((F.col("kept_first._k") == F.col("_k")) & (F.col("kept_first._h") == F.col("_h")), F.lit(True)).alias("kept"),
+        F.col("c").isNotNull().alias("worded"),
     )
 
 
 def ngram_jaccard(docs: DataFrame, **options) -> DataFrame:
     """One row for each document: the smallest id of its class, and how many documents it is linked with."""
-    return jaccard_links(docs, **options).drop("_k", "_h")
+    return jaccard_links(docs, **options).drop("_k", "_h", "worded")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class of linked documents, in all columns of ``docs``."""
+    """``docs`` with one row of each class of linked documents, in all columns of ``docs``.
+
+    Texts without words are linked with nothing, so all their rows stay, even those that agree.
+    """
     columns = docs.columns
-    marks = jaccard_links(docs, **options).where("kept").groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("rows"))
+    marks = jaccard_links(docs, **options).where("kept").groupBy("_k", "_h").agg((F.bool_or("worded") & (F.count(F.lit(1)) > 1)).alias("repeated"))
     marks = cut(marks)
     own = keyed(docs, F.struct(*[docs[c] for c in columns]).alias("_row")).drop("doc_id", "text")
     kept = own.join(marks.hint("shuffle_hash"), ["_k", "_h"])
-    if marks.where("rows > 1").limit(1).count():  # rows that agree in id and text: one of them
-        kept = kept.dropDuplicates(["_k", "_h"])
+    if marks.where("repeated").limit(1).count():  # rows that agree in id and text: one of them
+        kept = kept.where("not repeated").unionByName(kept.where("repeated").dropDuplicates(["_k", "_h"]))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in columns])

@@ -38,12 +38,36 @@ def corpus():
 def test_against_brute_force(spark):
     rows = corpus()
     want = brute(rows, 200)
-    for limits in ({}, {"sort_bytes": 1000}, {"hot_bytes": 600, "sort_bytes": 1}):
+    for limits in ({}, {"sort_bytes": 1000}, {"part": 3, "sort_bytes": 1}, {"part": 1, "widths": (41, 3, 1)}):
         docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
         got = sorted((tuple(r) for r in suffix_dedup(docs, **limits).collect()), key=str)
         assert got == want
 
 
+def test_passage_of_every_document(spark):
+    """A passage that stands in all texts, with other bytes around it or nearly the same ones, is dealt again."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefg ") for _ in range(330))
+    words = ["".join(rng.choice("hijklm") for _ in range(rng.randint(1, 3))) for _ in range(4)]
+    text = lambda n: " ".join(rng.choice(words) + str(rng.randint(0, 9) if rng.random() < 0.3 else "") for _ in range(n))
+    texts = [text(rng.randint(0, 40)) + passage[rng.randint(0, 9) :] + text(rng.randint(0, 40)) for _ in range(120)]
+    texts += texts[:30] + [passage] * 20 + ["ab" * rng.randint(100, 300) + text(5) for _ in range(12)]
+    rows = [(i, t, i, "s", 1) for i, t in enumerate(texts)]
+    want = brute(rows, 200)
+    for limits in ({}, {"part": 20}, {"part": 4, "widths": (64, 8, 1)}):
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+        assert sorted((tuple(r) for r in suffix_dedup(docs, **limits).collect()), key=str) == want
+
+
+def test_long_text(spark):
+    """A text of a megabyte of one letter, and one of noise that holds a piece of itself."""
+    rng = np.random.default_rng(2)
+    noise = "".join(map(chr, rng.integers(97, 123, 900_000)))
+    rows = [(1, "q" * 1_000_000, 0, "", 0), (2, noise + noise[5000:5400], 0, "", 0)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1_000_000, 1_000_000, 1), 2: (900_400, 800, 2)}
+
+
 def test_empty(spark):
     assert suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 

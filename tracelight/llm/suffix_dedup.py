@@ -7,15 +7,18 @@ it covers are removed.  The work goes in four steps.
    Equal windows have equal names, so only windows whose name occurs twice can repeat.  Names are
    counted over the whole corpus; about one position in eighty makes a row.
 2. *Segments.*  Neighbouring windows of one repeated name form a segment.  Segments are shuffled by
-   name.  Of equal segments a task sends one, with a count, so copies meet as counts, not as pairs.
+   name.  Of equal segments a task sends two at most, so copies meet as counts, not as pairs.
 3. *Suffix sort.*  The suffixes that start at the windows of the segments of one name are sorted by
    mergesort.  Two suffixes are compared by the length of their common extension, which a binary
    search over prefix polynomial hashes finds in a logarithm of its length.  Neighbours in the sorted
    order that agree in ``length`` bytes by hash are compared byte by byte.
 4. *Removal.*  Repeated windows go back to their documents, whose remaining bytes are put together.
 
-A name with more than ``HOT_BYTES`` of different segments is not sorted in one task: its windows are
-sent out one by one under a 128-bit digest and counted, which gives the same answer.
+A name that stands at more than ``PART`` places is dealt again before its segments are sent.  Equal
+windows hold the anchor at the same offset, so a segment is sliced by that offset, ``WIDTHS[0]`` windows
+to a slice, and a slice is named by the bytes that all windows of its offsets have in common.  Slices
+whose new name still has more than ``PART`` rows are sliced finer, down to single windows, where rows of
+one name are equal and meet as counts.  Slices of every width go through the same sort.
 
 Null texts are empty; texts shorter than ``length`` keep every byte; rows with equal id and text are
 documents of their own and repeat each other; an empty table gives no rows.  Only ``doc_id`` and
@@ -33,29 +36,34 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from tracelight.llm.common import (
     chunks,
     cut,
     inverse_powers,
     keyed,
+    mix,
     powers,
     BASE,
     prefix_hash,
     ranges,
     sliding_min,
+    small_side,
     string_buffers,
     window_hash,
 )
 
 LENGTH = 200
 ANCHOR = 40
-#: Bytes of segments that are sorted together, and beyond which one name is counted window by window.
+#: Windows in a slice of a name that is dealt again, level by level.
+WIDTHS = (64, 16, 4, 1)
+#: Places of one name that are sorted together.
+PART = 2000
+#: Bytes of segments that one sort takes from several names.
 SORT_BYTES = 1 << 20
-HOT_BYTES = 1 << 21
-#: Segments of which a task remembers that it has sent their bytes.
-SEEN = 100_000
+#: Bytes of segments that a task remembers as sent; beyond it forgets them and may send them again.
+SEEN_BYTES = 1 << 25
 
 _TOP = np.uint64(2**64 - 1)
 
@@ -105,6 +113,34 @@ def segments(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, length:
     return least[first], row, first - offsets[row], count, first
 
 
+def slices(anchors: np.ndarray, prefix: np.ndarray, name: np.ndarray, at: np.ndarray, count: np.ndarray, width: int, length: int = LENGTH):
+    """(segment, start in data, windows, slice name) for the slices of segments.
+
+    A segment has ``count`` windows from ``at`` on whose least anchor is ``name``.  Windows of a slice
+    have that anchor at the same place and at offsets of one multiple of ``width``.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(at):
+        return none, none, none, np.zeros(0, np.uint64)
+    span = length - ANCHOR + 1
+    wide = count + span - 1
+    hits = np.flatnonzero(anchors[ranges(at, wide)] == np.repeat(name, wide))
+    starts = ranges(at, count)
+    segment = np.repeat(np.arange(len(at)), count)
+    flat = starts + np.repeat(np.cumsum(wide) - wide - at, count)  # where a start stands in the line of all anchors
+    offset = hits[np.searchsorted(hits, flat)] - flat
+    place, part = starts + offset, offset // width
+    change = np.ones(len(starts), bool)
+    change[1:] = (segment[1:] != segment[:-1]) | (place[1:] != place[:-1]) | (part[1:] != part[:-1])
+    first = np.flatnonzero(change)
+    windows = np.diff(np.append(first, len(starts)))
+    place, part = place[first], part[first]
+    low = place - part * width
+    high = place - np.minimum((part + 1) * width - 1, span - 1) + length
+    shared = (prefix[high] - prefix[low]) * inverse_powers(len(prefix))[low]
+    return segment[first], starts[first], windows, mix(mix(shared) + part.astype(np.uint64))
+
+
 # -- the sort --------------------------------------------------------------------------------------
 
 
@@ -239,44 +275,35 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _count_names(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_buffers(batch.column("text"))
-            for a, b in chunks(offsets):
-                part = data[offsets[a] : offsets[b]]
-                names, _ = anchor_names(part, offsets[a : b + 1] - offsets[a], length)
-                values, counts = np.unique(names, return_counts=True)
-                yield pa.record_batch([_signed(values), pa.array(counts.astype(np.int64))], ["m", "n"])
-
-    return run
-
+def _prepare(length: int):
+    """Texts as zstd frames in ``z``, and the distinct names of each with the number of their places."""
 
-def _name_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_buffers(batch.column("text"))
-            k, h = batch.column("_k").to_numpy(), batch.column("_h").to_numpy()
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
+            text = batch.column("text")
+            data, offsets = string_buffers(text)
+            lists, sizes = [], np.zeros(len(batch), np.int64)
             for a, b in chunks(offsets):
-                part = data[offsets[a] : offsets[b]]
-                names, row = anchor_names(part, offsets[a : b + 1] - offsets[a], length)
-                pairs = np.unique(np.stack([row.astype(np.uint64), names], 1), axis=0) if len(names) else np.zeros((0, 2), np.uint64)
-                row = pairs[:, 0].astype(np.int64) + a
-                yield pa.record_batch([_signed(np.ascontiguousarray(pairs[:, 1])), pa.array(k[row]), pa.array(h[row])], ["m", "_k", "_h"])
+                names, row = anchor_names(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
+                order = np.lexsort((names, row))
+                names, row = names[order], row[order] + a
+                first = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (row[1:] != row[:-1]))) if len(names) else np.zeros(0, np.int64)
+                lists.append((names[first], np.diff(np.append(first, len(names)))))
+                np.add.at(sizes, row[first], 1)
+            ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            names, places = (np.concatenate(x) for x in zip(*lists)) if lists else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            new = {
+                "text": ("z", pa.array([press.compress(x.as_buffer()) for x in text.cast(pa.binary())], pa.binary())),
+                "_m": ("_m", pa.ListArray.from_arrays(ends, _signed(names))),
+                "_p": ("_p", pa.ListArray.from_arrays(ends, pa.array(places.astype(np.int64)))),
+            }
+            columns = [new.get(c, (c, batch.column(c) if c in batch.schema.names else None)) for c in [*batch.schema.names, "_m", "_p"]]
+            yield pa.record_batch([x for _, x in columns], [c for c, _ in columns])
 
     return run
 
 
-def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstd frames: what is shuffled is smaller than the shuffle's own compression leaves it."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        for part in (batch.slice(i, 1000) for i in range(0, len(batch), 1000)):
-            small = [press.compress(x.as_buffer()) for x in part.column("text").cast(pa.binary())]
-            at = part.schema.get_field_index("text")
-            yield part.set_column(at, "z", pa.array(small, pa.binary()))
-
-
 def _loosened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of pressed texts."""
     loose = zstandard.ZstdDecompressor()
@@ -286,54 +313,111 @@ def _loosened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), offsets
 
 
-def _digest(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in parts), np.int64)
-    return np.ascontiguousarray(flat[::2]), np.ascontiguousarray(flat[1::2])
+#: A segment or slice: what it is shuffled by, its least anchor, its bytes, and where its windows stand.
+_SENT = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("seg", pa.binary()), ("_k", pa.int64()), ("_h", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
+_SENT_DDL = "key long, m long, seg binary, _k long, _h long, start long, windows long"
+_HITS = pa.schema([("_k", pa.int64()), ("_h", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
-def _segment_rows(length: int):
-    """Segments of wanted names.
+def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    A task sends the bytes and the place of a segment when it meets it first, and once more a row that
-    only counts.  What it meets again is repeated for certain: those places need no sort, so they
-    travel under a scattered key with s1 null, and a passage that every document has does not heap up
-    under its name.
+
+class _Sender:
+    """Rows of one task.
+
+    The bytes of a segment are sent with its place when it is met first, and without a place when it is
+    met again.  What was met before, byte for byte, is repeated for certain: such places need no sort and
+    travel without bytes, neighbours as one row and under a scattered key, so that a passage that every
+    document has does not heap up under its name.
     """
 
+    def __init__(self):
+        self.seen: dict[bytes, bool] = {}
+        self.size = 0
+
+    def rows(self, pieces: Iterator[tuple]) -> Iterator[tuple]:
+        """``pieces``: key, name, bytes, _k, _h, start and windows; those of a document in order."""
+        known: list[int] | None = None
+        for key, m, seg, k, h, start, windows in pieces:
+            again = self.seen.get(seg)
+            if again is None:
+                if self.size > SEEN_BYTES:
+                    self.seen, self.size = {}, 0
+                self.seen[seg] = False
+                self.size += len(seg)
+                yield key, m, seg, k, h, start, windows
+                continue
+            if not again:
+                self.seen[seg] = True
+                yield key, m, seg, None, None, None, None
+            if k is None:  # a copy whose place is known already
+                continue
+            if known and known[:2] == [k, h] and known[2] <= start <= known[2] + known[3]:
+                known[3] = max(known[3], start + windows - known[2])
+                continue
+            if known:
+                yield known[1] + known[2], None, None, *known
+            known = [k, h, start, windows]
+        if known:
+            yield known[1] + known[2], None, None, *known
+
+
+def _scattered(row: tuple) -> tuple:
+    return ((row[0] + 2**63) % 2**64 - 2**63, *row[1:])
+
+
+def _send(length: int, column: str, width: int = 0):
+    """Segments of the names in ``column`` of each document; slices of them if ``width`` is given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], bool] = {}
+        sender = _Sender()
         for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
             data, offsets = _loosened(batch.column("z"))
             k, h = batch.column("_k").to_numpy(), batch.column("_h").to_numpy()
-            lists = batch.column("ms")
+            lists = batch.column(column)
             for a, b in chunks(offsets):
                 part = data[offsets[a] : offsets[b]]
                 wanted = np.unique(lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
                 name, row, start, count, at = segments(part, offsets[a : b + 1] - offsets[a], wanted, length)
+                key = name
+                if width:
+                    prefix = prefix_hash(part)
+                    own, begin, windows, key = slices(window_hash(prefix, ANCHOR), prefix, name, at, count, width, length)
+                    name, row, start, count, at = name[own], row[own], start[own] + begin - at[own], windows, begin
                 whole = part.tobytes()
-                pieces = [whole[x : x + n + length - 1] for x, n in zip(at.tolist(), count.tolist())]
-                s1, s2 = _digest(pieces)
-                if len(seen) > SEEN:
-                    seen.clear()
-                places = zip(name.view(np.int64).tolist(), s1.tolist(), s2.tolist(), pieces, k[row + a].tolist(), h[row + a].tolist(), start.tolist(), count.tolist())
-                out = []
-                for m, x, y, piece, *place in places:
-                    counted = seen.get((x, y))
-                    if counted is None:
-                        seen[x, y] = False
-                        out.append((m, x, y, piece, *place))
-                        continue
-                    if not counted:
-                        seen[x, y] = True
-                        out.append((m, x, y, None, None, None, None, None))
-                    out.append((place[1] + place[2], None, None, None, *place))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SENT.types)] if out else [pa.array([], t) for t in _SENT.types], schema=_SENT)
+                pieces = (whole[x : x + n + length - 1] for x, n in zip(at.tolist(), count.tolist()))
+                rows = sender.rows(zip(key.view(np.int64).tolist(), name.view(np.int64).tolist(), pieces, k[row + a].tolist(), h[row + a].tolist(), start.tolist(), count.tolist()))
+                while some := [_scattered(x) for x in itertools.islice(rows, 10_000)]:
+                    yield _as_batch(some, _SENT)
 
     return run
 
 
-_SENT = pa.schema([("m", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("seg", pa.binary()), ("_k", pa.int64()), ("_h", pa.int64()), ("start", pa.int64()), ("windows", pa.int64())])
-_SORTED = pa.schema([("_k", pa.int64()), ("_h", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())])
+def _send_finer(length: int, width: int):
+    """Slices of slices.  A row without a place stands for a second copy of its bytes, and so do its slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _Sender()
+        for batch in (whole.slice(i, 2000) for whole in batches for i in range(0, len(whole), 2000)):
+            if not len(batch):
+                continue
+            data, offsets = string_buffers(batch.column("seg"))
+            prefix = prefix_hash(data)
+            name = batch.column("m").to_numpy().view(np.uint64)
+            own, begin, windows, key = slices(window_hash(prefix, ANCHOR), prefix, name, offsets[:-1], np.diff(offsets) - length + 1, width, length)
+            k, h, start = (batch.column(c).to_pylist() for c in ("_k", "_h", "start"))
+            whole, ends = data.tobytes(), offsets.tolist()
+            pieces = (
+                (to, int(m), whole[x : x + n + length - 1], k[i], h[i], None if k[i] is None else start[i] + x - ends[i], None if k[i] is None else n)
+                for i, x, n, to, m in zip(own.tolist(), begin.tolist(), windows.tolist(), key.view(np.int64).tolist(), name[own].view(np.int64).tolist())
+            )
+            rows = sender.rows(pieces)
+            while some := [_scattered(x) for x in itertools.islice(rows, 10_000)]:
+                yield _as_batch(some, _SENT)
+
+    return run
 
 
 def _runs(found: np.ndarray) -> tuple[list[int], list[int]]:
@@ -342,96 +426,82 @@ def _runs(found: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 class _Segment:
-    __slots__ = ("name", "key", "n", "seg", "k", "h", "start")
+    """Equal segments: how many, and where those stand whose place is known."""
 
-    def __init__(self, name: int, key: tuple, seg: bytes, k: int, h: int, start: int):
-        self.name, self.key, self.n, self.seg, self.k, self.h, self.start = name, key, 1, seg, k, h, start
+    __slots__ = ("name", "n", "places")
 
+    def __init__(self, name: int):
+        self.name, self.n, self.places = name, 0, []
 
-def _sort_segments(length: int, sort_bytes: int, hot_bytes: int):
-    """Rows arrive by name and segment, a segment's rows with bytes first.
 
-    Gives the repeated windows of each place, as starts lo .. hi - 1 of its document.  Windows of a
-    name with too many segments for one sort leave with their digests w1, w2 and a count n instead.
-    """
+def _sort_segments(length: int, sort_bytes: int):
+    """Rows arrive by key.  Gives the repeated windows of each place, as starts lo .. hi - 1 of its document."""
 
-    def settle(rows: list[_Segment]) -> Iterator[tuple]:
-        data = np.frombuffer(b"".join(r.seg for r in rows), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(r.seg) for r in rows])]).astype(np.int64)
-        found = repeated_windows(data, offsets, np.array([r.name for r in rows], np.int64).view(np.uint64), length)
+    def settle(group: list[tuple[bytes, _Segment]]) -> Iterator[tuple]:
+        data = np.frombuffer(b"".join(seg for seg, _ in group), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(seg) for seg, _ in group])]).astype(np.int64)
+        found = repeated_windows(data, offsets, np.array([r.name for _, r in group], np.int64).view(np.uint64), length)
         at = 0
-        for r in rows:
-            windows = len(r.seg) - length + 1
-            if r.n > 1:
-                yield r.k, r.h, r.start, r.start + windows, None, None, None
-            else:
+        for seg, r in group:
+            windows = len(seg) - length + 1
+            for k, h, start in r.places:
                 for lo, hi in zip(*_runs(found[at : at + windows])):
-                    yield r.k, r.h, r.start + lo, r.start + hi, None, None, None
+                    yield k, h, start + lo, start + hi
             at += windows
 
-    def spelled(rows: list[_Segment]) -> Iterator[tuple]:
-        for r in rows:
-            windows = len(r.seg) - length + 1
-            w1, w2 = _digest([r.seg[i : i + length] for i in range(windows)])
-            for i, (x, y) in enumerate(zip(w1.tolist(), w2.tolist())):
-                yield r.k, r.h, r.start + i, r.start + i + 1, x, y, r.n
-
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        ready: list[_Segment] = []  # of whole names
-        group: list[_Segment] = []  # of the name that is being read
-        ready_size = group_size = 0
-        name, hot = None, False
+        ready: list[tuple[bytes, _Segment]] = []  # of whole keys
+        group: dict[bytes, _Segment] = {}  # of the key that is being read
+        size, name = 0, None
         for batch in batches:
-            for m, s1, s2, seg, k, h, start, windows in zip(*(batch.column(c).to_pylist() for c in _SENT.names)):
-                if s1 is None:  # known to be repeated
-                    yield k, h, start, start + windows, None, None, None
-                    continue
-                if group and m == name and group[-1].key == (s1, s2):
-                    group[-1].n += 1
-                    if seg is not None:
-                        yield k, h, start, start + windows, None, None, None
+            for key, m, seg, k, h, start, windows in zip(*(batch.column(c).to_pylist() for c in _SENT.names)):
+                if seg is None:  # known to be repeated
+                    yield k, h, start, start + windows
                     continue
-                if m != name:
-                    if hot:
-                        yield from spelled(group)
-                        group, group_size = [], 0
-                    ready, ready_size = ready + group, ready_size + group_size
-                    if ready and ready_size >= sort_bytes:
+                if key != name:
+                    ready += group.items()
+                    if size >= sort_bytes:
                         yield from settle(ready)
-                        ready, ready_size = [], 0
-                    name, hot, group, group_size = m, False, [], 0
-                if hot or group_size > hot_bytes:
-                    hot = True
-                    yield from spelled(group)
-                    group, group_size = [], 0
-                group.append(_Segment(m, (s1, s2), seg, k, h, start))
-                group_size += len(seg)
-        if hot:
-            yield from spelled(group)
-            group = []
-        if ready or group:
-            yield from settle(ready + group)
+                        ready, size = [], 0
+                    name, group = key, {}
+                held = group.get(seg)
+                if held is None:
+                    held = group[seg] = _Segment(m)
+                    size += len(seg)
+                held.n += 1
+                if held.n > 1:  # equal in all bytes: repeated throughout
+                    for x, y, z in held.places:
+                        yield x, y, z, z + len(seg) - length + 1
+                    held.places = []
+                    if k is not None:
+                        yield k, h, start, start + windows
+                elif k is not None:
+                    held.places.append((k, h, start))
+        ready += group.items()
+        if ready:
+            yield from settle(ready)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows_of(batches)
         while part := list(itertools.islice(rows, 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), _SORTED.types)], schema=_SORTED)
+            yield _as_batch(part, _HITS)
 
     return run
 
 
 def _left_over(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, int, int]]:
-    """(bytes left, bytes removed, removed runs) of each row with z, lo and hi."""
+    """(bytes left, bytes removed, removed runs) of each row with z and hits."""
     data, offsets = _loosened(batch.column("z"))
-    lows, highs = batch.column("lo"), batch.column("hi")
+    hits = batch.column("hits")
     for i in range(len(batch)):
         text = data[offsets[i] : offsets[i + 1]]
-        if not lows[i].is_valid or not len(lows[i]):
+        if not hits[i].is_valid or not len(hits[i]):
             yield text.tobytes(), 0, 0
             continue
         step = np.zeros(len(text) + 1, np.int32)
-        np.add.at(step, lows[i].values.to_numpy(), 1)
-        np.add.at(step, highs[i].values.to_numpy() + length - 1, -1)
+        lo, hi = (x.to_numpy() for x in hits[i].values.flatten())
+        np.add.at(step, lo, 1)
+        np.add.at(step, hi + length - 1, -1)
         gone = np.cumsum(step[:-1]) > 0
         yield text[~gone].tobytes(), int(gone.sum()), len(_runs(gone)[0])
 
@@ -446,51 +516,69 @@ def _digested(length: int):
     return run
 
 
-def pressed(docs: DataFrame, *more: Column) -> DataFrame:
-    """``doc_id, z, _k, _h``, the text pressed to ``z``, and the columns in ``more``."""
+def prepared(docs: DataFrame, length: int = LENGTH, *more: Column) -> DataFrame:
+    """``doc_id, z, _k, _h``, the columns in ``more``, and the names ``_m`` of each text with their places ``_p``; materialised."""
     rows = keyed(docs, *more)
-    schema = StructType([StructField("z", BinaryType()) if f.name == "text" else f for f in rows.schema.fields])
-    return rows.mapInArrow(_press, schema)
+    fields = [StructField("z", BinaryType()) if f.name == "text" else f for f in rows.schema.fields]
+    schema = StructType([*fields, StructField("_m", ArrayType(LongType())), StructField("_p", ArrayType(LongType()))])
+    return cut(rows.mapInArrow(_prepare(length), schema))
 
 
-def repeated_ranges(docs: DataFrame, small: DataFrame, length: int = LENGTH, sort_bytes: int = SORT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """``_k, _h, lo, hi`` by document: the starts lo .. hi - 1 are those of repeated windows.
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, sort_bytes: int = SORT_BYTES, part: int = PART, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """``_k, _h, hits`` by document: starts ``lo .. hi - 1`` of each hit are those of repeated windows.
 
-    ``small`` is ``pressed(docs)``.
+    ``rows`` is ``prepared(docs)``.
     """
-    rows = keyed(docs).where(F.octet_length("text") >= length)
-    repeated = cut(rows.select("text").mapInArrow(_count_names(length), "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m"))
-    named = rows.select("text", "_k", "_h").mapInArrow(_name_rows(length), "m long, _k long, _h long")
-    wanted = cut(named.join(repeated, "m").groupBy("_k", "_h").agg(F.collect_set("m").alias("ms")))
+    named = rows.select("_k", "_h", F.explode(F.arrays_zip("_m", "_p")).alias("x")).select("_k", "_h", F.col("x._m").alias("m"), F.col("x._p").alias("p"))
+    counted = cut(named.groupBy("m").agg(F.sum("p").alias("n")).where("n > 1"))
+    wanted = cut(
+        named.join(counted, "m")
+        .groupBy("_k", "_h")
+        .agg(F.collect_set(F.when(F.col("n") <= part, F.col("m"))).alias("few"), F.collect_set(F.when(F.col("n") > part, F.col("m"))).alias("many"))
+    )
     # joins of texts hash the slim side, so that no text is sorted
-    marked = small.join(wanted.hint("shuffle_hash"), ["_k", "_h"])
-    sent = marked.mapInArrow(_segment_rows(length), "m long, s1 long, s2 long, seg binary, _k long, _h long, start long, windows long")
-    ordered = sent.repartition("m").sortWithinPartitions("m", "s1", "s2", F.col("seg").isNull())
-    told = cut(ordered.mapInArrow(_sort_segments(length, sort_bytes, hot_bytes), "_k long, _h long, lo long, hi long, w1 long, w2 long, n long"))
-    windows = told.where("w1 is not null")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    hits = told.where("w1 is null").select("_k", "_h", "lo", "hi").union(windows.join(twice, ["w1", "w2"]).select("_k", "_h", "lo", "hi"))
-    return hits.groupBy("_k", "_h").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-
-
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
+    texts = rows.select("_k", "_h", "z")
+
+    def marked(column: str) -> DataFrame:
+        return texts.join(wanted.where(F.size(column) > 0).select("_k", "_h", column).hint("shuffle_hash"), ["_k", "_h"])
+
+    def sorted_out(sent: DataFrame) -> DataFrame:
+        return sent.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_segments(length, sort_bytes), "_k long, _h long, lo long, hi long")
+
+    hits = sorted_out(marked("few").mapInArrow(_send(length, "few"), _SENT_DDL))
+    if not counted.where(F.col("n") > part).isEmpty():
+        sent = cut(marked("many").mapInArrow(_send(length, "many", widths[0]), _SENT_DDL))
+        for width in (*widths[1:], 0):
+            big = cut(sent.where("seg is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("key"))
+            if not width or big.isEmpty():
+                hits = hits.union(sorted_out(sent))
+                break
+            told = sent.join(small_side(big.withColumn("big", F.lit(True))), "key", "left")
+            hits = hits.union(sorted_out(told.where("seg is null or big is null").select(*_SENT.names)))
+            sent = cut(told.where("seg is not null and big").select(*_SENT.names).mapInArrow(_send_finer(length, width), _SENT_DDL))
+    # rows that agree in id and text have the same hits, which are held once
+    return hits.groupBy("_k", "_h").agg(F.collect_set(F.struct("lo", "hi")).alias("hits"))
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, **limits) -> DataFrame:
     """One digest row for each document: sizes, maximal removed runs, and the hash of what remains."""
-    small = pressed(docs)
-    hits = repeated_ranges(docs, small, length, **limits)
-    joined = small.join(hits.hint("shuffle_hash"), ["_k", "_h"], "left").select("doc_id", "z", "lo", "hi")
+    rows = prepared(docs, length)
+    hits = repeated_ranges(rows, length, **limits)
+    joined = rows.join(hits.hint("shuffle_hash"), ["_k", "_h"], "left").select("doc_id", "z", "hits")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_digested(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, **limits) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``, and ``n_chars`` to match, in all its columns.
 
     Bytes left over from a character that was cut in two are dropped.  A null text stays null.
     """
-    hits = repeated_ranges(docs, pressed(docs), length, **limits)
     others = [c for c in docs.columns if c != "text"]
     rest = F.struct(docs["text"].isNull().alias("_null"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(others)]).alias("_rest")
-    joined = pressed(docs, rest).join(hits.hint("shuffle_hash"), ["_k", "_h"], "left").select("_rest", "z", "lo", "hi")
+    rows = prepared(docs, length, rest)
+    hits = repeated_ranges(rows, length, **limits)
+    joined = rows.join(hits.hint("shuffle_hash"), ["_k", "_h"], "left").select("_rest", "z", "hits")
     schema = StructType([joined.schema["_rest"], StructField("_text", StringType()), StructField("_gone", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
-from tracelight.llm.bpe_duckdb import EVERY, LEFTMOST, VOCABULARY, _ranks, bpe_decode, bpe_round_trip, shared
+from tracelight.llm.bpe_duckdb import VOCABULARY, _ranks, bpe_decode, bpe_round_trip, shared
 from tracelight.llm.common import table
 
 SCHEMA = "doc_id long, text string, ids string, n_tokens int"
@@ -41,8 +43,25 @@ def test_table(spark, sf_dir):
     check(bpe_round_trip(docs).collect(), [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
-def test_both_queries_agree():
+def test_pieces_and_seams_agree_with_one_query():
     own = shared(VOCABULARY)
     rng = random.Random(1)
-    words = ["".join(rng.choice("aabcde") for _ in range(rng.randint(1, 40))).encode() for _ in range(400)]
-    assert own.merged(words, LEFTMOST) == own.merged(words, EVERY)
+    for letters in ("aabcde", "ab", "ACGT", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 260))).encode() for _ in range(60)]
+        assert own.long_words(words) == own.merged(words)
+
+
+def test_very_long_words():
+    own, other = shared(VOCABULARY), library()
+    rng = random.Random(4)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "q", "aA"):
+        word = "".join(rng.choice(letters) for _ in range(200_000))
+        began = time.time()
+        ids = own.encode(word)
+        assert time.time() - began < 60 and own.decode([np.array(ids)]) == [word.encode()]
+        if len(letters) > 1:
+            assert ids == other.encode_ordinary(word)
+
+
+def test_decoding_is_of_the_ids():
+    assert shared(VOCABULARY).decode([np.array([64, 65]), np.array([], int), np.array([64])]) == [b"ab", b"", b"a"]

@@ -3,10 +3,16 @@
 A text is split by the vocabulary's pattern.  The different words of a batch that are not known yet
 become token-position rows (word, position, token), one byte each.  A recursive query joins
 neighbouring rows with the merge table and contracts the leftmost pair of least rank in every word,
-until no word has a pair.  Words of over ``LONG`` bytes take a second form of the query, which contracts
-all non-overlapping occurrences of the least pair in one step where that gives the same ids: where no
-pair with the token it makes has a lower rank, so that the leftmost pair of least rank would stay this
-one until all its occurrences are gone.  Decoding is an aggregation of token bytes ordered by position.
+until no word has a pair.
+
+A word of over ``PIECE`` bytes is cut into pieces that the query contracts as words of their own, and the
+seams are settled by the same query: a row of tokens is what the whole word contracts to exactly if
+every two neighbours, contracted alone, stay these two (a contraction that crosses a seam would be the
+first to do so in those two alone as well).  Where two do not, the tokens around the seam are contracted
+again as one stretch, a wider one each time, until all seams hold.  The work grows with the length.
+
+Decoding takes the ids of the documents, not their words: token bytes are joined to each position and
+aggregated in the order of positions.  DuckDB stays in memory and writes no files.
 
 Null texts are empty; an empty text has no ids; repeated rows are encoded each by itself; an empty
 table gives no rows; other columns than ``doc_id`` and ``text`` are not read.
@@ -25,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LONG = 64
-#: Words of one recursive query, words remembered by a worker, and documents whose words are looked up together.
-QUERY_WORDS = 20_000
-QUERY_BYTES = 400_000
-KNOWN_WORDS = 1_000_000
+PIECE = 64
+#: Rows that one recursive query may come to hold, bytes of words remembered by a worker, documents whose
+#: words are looked up together, and ids that are decoded together.
+QUERY_ROWS = 3_000_000
+KNOWN_BYTES = 1 << 27
 DOCS = 1024
+DECODE_IDS = 2_000_000
 
 # every row of every round: a word's ids are its rows of its last round
 _TAIL = "SELECT wid, pos, tok, it FROM step"
@@ -50,24 +57,6 @@ WITH RECURSIVE step(wid, pos, tok, it) AS (
    WHERE prv IS NULL OR prv <> (b & 4294967295)))
 {_TAIL}"""
 
-EVERY = f"""
-WITH RECURSIVE step(wid, pos, tok, it) AS (
-  SELECT wid, pos, tok, 0 FROM start
-  UNION ALL
-  (WITH near AS (
-     SELECT wid, pos, tok, it, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prv, row_number() OVER w AS rn
-     FROM step WINDOW w AS (PARTITION BY wid ORDER BY pos)),
-   pairs AS (SELECT near.wid, pos, rn, m.made, m.safe FROM near JOIN merges m ON m.pair = (near.tok << 24) | near.nxt),
-   best AS (SELECT wid, min(made) AS made FROM pairs GROUP BY wid),
-   hits AS (SELECT wid, pos, rn, made, safe, min(rn) OVER (PARTITION BY wid) AS first, rn - row_number() OVER (PARTITION BY wid ORDER BY rn) AS island FROM pairs JOIN best USING (wid, made)),
-   taken AS (SELECT wid, pos, made FROM (SELECT *, rn - min(rn) OVER (PARTITION BY wid, island) AS k FROM hits) WHERE k % 2 = 0 AND (safe OR rn = first))
-   SELECT near.wid, near.pos, coalesce(here.made, near.tok), it + 1
-   FROM near JOIN best USING (wid)
-   LEFT JOIN taken here ON here.wid = near.wid AND here.pos = near.pos
-   LEFT JOIN taken gone ON gone.wid = near.wid AND gone.pos = near.prv
-   WHERE gone.wid IS NULL))
-{_TAIL}"""
-
 DECODE = "SELECT wid, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM ids JOIN tokens USING (tok) GROUP BY wid"
 
 
@@ -90,25 +79,24 @@ class Bpe:
         self.ranks = _ranks(vocabulary)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.known: dict[str, str] = {}  # ids of a word, as text
-        self.odd: dict[str, bytes] = {}  # words that decode to other bytes than their own
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.size = 0
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         made = [(a, b, r) for word, r in self.ranks.items() for k in range(1, len(word)) if (a := self.ranks.get(word[:k])) is not None and (b := self.ranks.get(word[k:])) is not None]
-        unsafe = {t for a, b, r in made for t in (a, b) if r < t}
         pair = pa.array([(a << 24) | b for a, b, _ in made], pa.int64())
-        self.db.register("made", pa.table({"pair": pair, "made": pa.array([r for *_, r in made], pa.int64()), "safe": [r not in unsafe for *_, r in made]}))
+        self.db.register("made", pa.table({"pair": pair, "made": pa.array([r for *_, r in made], pa.int64())}))
         self.db.execute("CREATE TABLE merges AS FROM made")
         self.db.register("words", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int64()), "hex": [w.hex() for w in self.ranks]}))
         self.db.execute("CREATE TABLE tokens AS FROM words")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.token = {i: w for w, i in self.ranks.items()}
 
-    def merged(self, words: list[bytes], query: str) -> list[list[int]]:
-        """Ids of each word; every word has at least one byte."""
+    def contracted(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, in one recursive query; every word has at least one byte."""
         sizes = np.array([len(w) for w in words])
         wid = np.repeat(np.arange(len(words)), sizes)
         pos = np.arange(sizes.sum())  # one line of positions for all words
         self.db.register("start", pa.table({"wid": wid, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]}))
-        out = self.db.execute(query).to_arrow_table()
-        wid, pos, tok, it = (c.to_numpy() for c in out.columns)
+        wid, pos, tok, it = (c.to_numpy() for c in self.db.sql(LEFTMOST).to_arrow_table().columns)
         last = np.zeros(len(words), np.int64)
         np.maximum.at(last, wid, it)
         final = np.flatnonzero(it == last[wid])
@@ -116,54 +104,127 @@ class Bpe:
         ends = np.cumsum(np.bincount(wid[final], minlength=len(words)))
         return [x.tolist() for x in np.split(tok[final], ends[:-1])]
 
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
+    def merged(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, in as many queries as keep each in its bounds."""
+        out: list[list[int]] = []
+        a = 0
+        while a < len(words):
+            b, rows = a, 0
+            while b < len(words) and (b == a or rows < QUERY_ROWS):
+                rows += len(words[b]) * (len(words[b]) + 1) // 2  # rows of all rounds, at most
+                b += 1
+            out += self.contracted(words[a:b])
+            a = b
+        return out
+
+    def _stays(self, pairs: set[tuple[int, int]], held: dict[tuple[int, int], bool]) -> None:
+        """Adds to ``held`` whether two neighbouring tokens stay these two when they are contracted alone."""
+        new = sorted(pairs.difference(held))
+        for (a, b), ids in zip(new, self.merged([self.token[a] + self.token[b] for a, b in new])):
+            held[a, b] = ids == [a, b]
+
+    def long_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words of any length, by pieces and seams."""
+        pieces = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+        different = sorted(set(pieces))
+        ids_of = dict(zip(different, self.merged(different)))
+        held: dict[tuple[int, int], bool] = {}
+        out: list[list[int]] = []
+        seams: list[list[int]] = []  # by word, tokens before each seam that is open, rising
+        for w in words:
+            ids, open_ = [], []
+            for i in range(0, len(w), PIECE):
+                if i:
+                    open_.append(len(ids))
+                ids += ids_of[w[i : i + PIECE]]
+            out.append(ids)
+            seams.append(open_)
+        reach = 4
+        while any(seams):
+            self._stays({(ids[x - 1], ids[x]) for ids, open_ in zip(out, seams) for x in open_}, held)
+            bad = [[x for x in open_ if not held[ids[x - 1], ids[x]]] for ids, open_ in zip(out, seams)]
+            jobs: list[tuple[int, int, int]] = []  # word, and the tokens from .. to of a stretch
+            for k, xs in enumerate(bad):
+                for x in xs:
+                    low, high = max(0, x - reach), min(len(out[k]), x + reach)
+                    if jobs and jobs[-1][0] == k and low <= jobs[-1][2]:
+                        jobs[-1] = (k, jobs[-1][1], high)
+                    else:
+                        jobs.append((k, low, high))
+            stretches = [b"".join(self.token[t] for t in out[k][low:high]) for k, low, high in jobs]
+            # a stretch is longer than a piece only where wider and wider ones did not settle
+            anew = self.merged(stretches)
+            seams = [[] for _ in words]
+            parts: dict[int, list[tuple[int, int, list[int]]]] = {}
+            for (k, low, high), ids in zip(jobs, anew):
+                parts.setdefault(k, []).append((low, high, ids))
+            for k, changes in parts.items():
+                new, at = [], 0
+                for low, high, ids in changes:
+                    new += out[k][at:low]
+                    if low:
+                        seams[k].append(len(new))
+                    new += ids
+                    if high < len(out[k]):
+                        seams[k].append(len(new))
+                    at = high
+                out[k] = new + out[k][at:]
+            reach *= 2
+        return out
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids."""
-        sizes = np.array([len(x) for x in ids], np.int64)
-        wid = np.repeat(np.arange(len(ids)), sizes)
-        flat = np.array([i for x in ids for i in x], np.int64)
-        self.db.register("ids", pa.table({"wid": wid, "pos": np.arange(len(flat)), "tok": flat}))
-        out = self.db.execute(DECODE).to_arrow_table()
-        found = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
-        return [found.get(i, b"") for i in range(len(ids))]
+        out: list[bytes] = []
+        a = 0
+        while a < len(ids):
+            b, n = a, 0
+            while b < len(ids) and (b == a or n + len(ids[b]) <= DECODE_IDS):
+                n += len(ids[b])
+                b += 1
+            sizes = np.array([len(x) for x in ids[a:b]], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *ids[a:b]]).astype(np.int64)
+            self.db.register("ids", pa.table({"wid": np.repeat(np.arange(b - a), sizes), "pos": np.arange(len(flat)), "tok": flat}))
+            table = self.db.sql(DECODE).to_arrow_table()
+            found = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+            out += [found.get(i, b"") for i in range(b - a)]
+            a = b
+        return out
 
     def learn(self, words: list[str]) -> None:
-        """Encode and decode words that are not known yet."""
+        """Encode words that are not known yet."""
         raw = [w.encode() for w in words]
-        ids: list[list[int] | None] = [[r] if (r := self.ranks.get(b)) is not None else None for b in raw]
-        for long in (False, True):
-            rest = [i for i, x in enumerate(ids) if x is None and (len(raw[i]) > LONG) == long]
-            query = EVERY if long else LEFTMOST
-            a = 0
-            while a < len(rest):
-                b, size = a, 0
-                while b < len(rest) and b - a < QUERY_WORDS and (b == a or size < QUERY_BYTES):
-                    size += len(raw[rest[b]])
-                    b += 1
-                for i, x in zip(rest[a:b], self.merged([raw[i] for i in rest[a:b]], query)):
-                    ids[i] = x
-                a = b
-        for w, x, own, b in zip(words, ids, raw, self.decode(ids)):
-            self.known[w] = " ".join(map(str, x))
-            if b != own:
-                self.odd[w] = b
-
-    def spelled(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """For each text, its ids as text and the bytes that they decode to."""
+        short, long = [], []
+        for w, b in zip(words, raw):
+            rank = self.ranks.get(b)
+            if rank is not None:
+                self.known[w] = str(rank)
+            else:
+                (long if len(b) > PIECE else short).append((w, b))
+        for kind, query in ((short, self.merged), (long, self.long_words)):
+            for (w, _), x in zip(kind, query([b for _, b in kind])):
+                self.known[w] = " ".join(map(str, x))
+
+    def spelled(self, texts: list[str]) -> list[str]:
+        """For each text, its ids as text."""
         split = [self.pattern.findall(t) for t in texts]
         every = set()
         for ws in split:
             every.update(ws)
         new = every.difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, self.odd, new = {}, {}, every
+        if self.size > KNOWN_BYTES:
+            self.known, self.size, new = {}, 0, every
+        self.size += sum(150 + 4 * len(w) for w in new)  # with what a dictionary takes for each
         if new:
             self.learn(sorted(new))
         known = self.known
-        back = lambda ws: b"".join([self.odd.get(w) or w.encode() for w in ws]) if self.odd else "".join(ws).encode()
-        return [(" ".join([known[w] for w in ws]), back(ws)) for ws in split]
+        return [" ".join([known[w] for w in ws]) for ws in split]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.spelled([text])[0][0].split()]
+        return [int(i) for i in self.spelled([text])[0].split()]
+
+
+def _numbers(spelled: str) -> np.ndarray:
+    return np.fromstring(spelled, np.int64, sep=" ") if spelled else np.zeros(0, np.int64)
 
 
 @functools.cache
@@ -178,14 +239,12 @@ def _encode(vocabulary: str, with_ids: bool):
         for whole in batches:
             for a in range(0, len(whole), DOCS):
                 batch = whole.slice(a, DOCS)
-                number, ids_sha, decoded_sha, ids, decoded = [], [], [], [], []
-                for spelled, back in own.spelled(batch.column("text").to_pylist()):
-                    number.append(spelled.count(" ") + 1 if spelled else 0)
-                    ids_sha.append(hashlib.sha256(spelled.encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(back).hexdigest())
-                    if with_ids:
-                        ids.append([int(i) for i in spelled.split()])
-                        decoded.append(back)
+                every = own.spelled(batch.column("text").to_pylist())
+                ids = [_numbers(x) for x in every]
+                decoded = own.decode(ids)
+                number = [len(x) for x in ids]
+                ids_sha = [hashlib.sha256(x.encode()).hexdigest() for x in every]
+                decoded_sha = [hashlib.sha256(x).hexdigest() for x in decoded]
                 columns = [batch.column("doc_id"), pa.array(number, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
@@ -212,7 +271,7 @@ def bpe_decode(df: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", ke
             for a in range(0, len(whole), DOCS):
                 batch = whole.slice(a, DOCS)
                 lists = batch.column(1).to_pylist()
-                out = own.decode([x or [] for x in lists])
+                out = own.decode([np.array(x or [], np.int64) for x in lists])
                 yield pa.record_batch([batch.column(0), pa.array([None if x is None else b for x, b in zip(lists, out)], pa.binary())], [key, "decoded"])
 
     return df.select(key, F.col(ids).cast("array<long>").alias(ids)).mapInArrow(run, f"`{key}` {kind}, decoded binary")

@@ -10,9 +10,10 @@ from tracelight.llm.packing import pack, piece_lengths
 SCHEMA = "doc_id long, text string, length int, start string"
 
 
-def brute(rows):
+def brute(rows, ordinary=False):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
+    if ordinary:
+        own.encode_special_tokens = True
     out = []
     for doc_id, text, *_ in rows:
         ids = own.encode(text or "", add_special_tokens=False).ids + [0]
@@ -23,9 +24,9 @@ def brute(rows):
     return out
 
 
-def check(got, rows):
+def check(got, rows, ordinary=False):
     key = lambda r: tuple((x is None, x or 0) for x in r)
-    assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(brute(rows), key=key)
+    assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(brute(rows, ordinary), key=key)
     assert sorted(r.sequence_id for r in got) == list(range(len(got)))  # one piece each
     assert all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 1024 for r in got)
     ordered = [r.length for r in sorted(got, key=lambda r: r.sequence_id)]
@@ -35,7 +36,11 @@ def check(got, rows):
 def test_small_cases(spark):
     texts = ["", None, "a", "Hello, wörld!  \n\n it's <|endoftext|> 123", "word " * 5000, "x" * 3000, "日本語   ​ ok", "\x00\x01"]
     rows = [(i, t, 1, "s") for i, t in enumerate(texts)] + [(0, "", 1, None), (None, "a b", None, None), (2, "a", 1, "s")]
-    check(pack(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect(), rows)
+    texts += ["<|endoftext|>", " <|endoftext|><|endoftext|>\n x<|endoftext|", "a <|endoftext|> b" * 300]
+    rows += [(20 + i, t, 1, "s") for i, t in enumerate(texts[-3:])]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    check(pack(docs).collect(), rows)
+    check(pack(docs, added=False).collect(), rows, ordinary=True)
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
 

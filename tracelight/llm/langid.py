@@ -5,20 +5,21 @@ Features are the 1-, 2- and 3-grams of the lower-cased code points, hashed into
 are trained by follow-the-regularised-leader with an elastic net, which leaves most of them zero; a
 temperature fitted on a part of the sample calibrates the probabilities.
 
-The sample is about ``PER_LANGUAGE`` rows of each language with texts of up to ``LONGEST`` characters,
-none from the held-out fold.  A text that is null or has no letter is ``und`` with score 0, and so is
+The sample is about ``PER_LANGUAGE`` rows of each language that occurs outside the held-out fold, with
+texts of up to ``LONGEST`` characters, or longer ones where a language has no others.  A text that is
+null or has no letter (Unicode categories L) is ``und`` with score 0, and so is
 every text if there is nothing to learn from.  Predictions depend on the text alone.  Repeated rows get
 equal results; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ PER_LANGUAGE = 800
 LONGEST = 20_000
 EPOCHS = 3
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +43,10 @@ def grams(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     if len(c) > 2:
         parts.append(((c[:-2] * np.uint32(0x27D4EB2F) + c[1:-1]) * np.uint32(0x165667B1) + c[2:]) * np.uint32(0x9E3779B1))
     h = np.concatenate(parts)
-    counts = np.bincount((h ^ (h >> np.uint32(15))) % np.uint32(buckets), minlength=buckets)
+    h = (h ^ (h >> np.uint32(15))) % np.uint32(buckets)
+    if len(h) < buckets // 16:  # the same, without a table of all buckets for a short text
+        return np.unique(h, return_counts=True)
+    counts = np.bincount(h, minlength=buckets)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -61,17 +65,25 @@ class LanguageModel:
         size = np.linalg.norm(v)
         return at, v / size if size else v
 
-    def logits(self, text: str) -> np.ndarray:
-        at, v = self.vector(text)
-        return v @ self.weights[at] + self.bias
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not _LETTER.search(text):
-            return "und", 0.0
-        z = self.logits(text) / self.temperature
-        p = np.exp(z - z.max())
-        k = int(p.argmax())
-        return self.languages[k], float(p[k] / p.sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and probability of each text; all texts take part in one sparse product."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        told = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        if not told:
+            return out
+        parts = [grams(texts[i], len(self.idf)) for i in told]
+        sizes = np.array([len(at) for at, _ in parts])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        at, n = (np.concatenate(x) for x in zip(*parts))
+        v = (1 + np.log(n)) * self.idf[at]
+        norm = np.sqrt(np.add.reduceat(v * v, starts))
+        z = np.stack([np.add.reduceat(v * self.weights[at, k], starts) for k in range(len(self.languages))], 1)
+        z = (z / np.where(norm > 0, norm, 1)[:, None] + self.bias) / self.temperature
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        best = p.argmax(axis=1)
+        for i, k, x in zip(told, best.tolist(), (p.max(axis=1) / p.sum(axis=1)).tolist()):
+            out[i] = self.languages[k], x
+        return out
 
 
 def _ftrl(rows: list, labels: np.ndarray, buckets: int, classes: int, alpha=0.5, beta=1.0, l1=0.02, l2=0.05, epochs=EPOCHS, seed=9):
@@ -141,8 +153,8 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
-            out = [own.predict(t.as_py()) for t in batch.column("text")]
+        for batch in (whole.slice(i, 128) for whole in batches for i in range(0, len(whole), 128)):
+            out = own.predict(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")

@@ -1,12 +1,11 @@
 """Document quality by supervised subword embeddings.
 
-Words and their character n-grams (here all byte n-grams of 3, 4 and 5, and whole words between white
-space) are hashed into ``BUCKETS`` learned vectors, and so is each word that repeats the word before it,
-all such words in one; a document is their mean, and a softmax layer over it gives the probability of
-each label.  Training is plain stochastic gradient descent in numpy on a
-sample of about ``PER_LABEL`` rows of each label with texts of up to ``LONGEST`` characters, none from
-the held-out fold.  A last step fits slope and offset of the logit on a part of the sample, weighted as
-the labels occur in all rows.
+Words (what stands between white space), pairs of neighbouring words, and the n-grams of 3, 4 and 5
+characters of each word with its two borders are hashed into ``BUCKETS`` learned vectors.  A document is
+their mean, and a softmax layer over it gives the probability of each label.  Training is plain
+stochastic gradient descent in numpy on a sample of about ``PER_LABEL`` rows of each label with texts of
+up to ``LONGEST`` characters, none from the held-out fold.  A last step fits slope and offset of the
+logit on a part of the sample, weighted as the labels occur in all rows.
 
 Since the layer is linear, a bucket's vector counts only by its product with the difference of the two
 output rows; scoring looks up one number for each feature.
@@ -35,42 +34,46 @@ GRAMS = (3, 4, 5)
 PER_LABEL = 1500
 LONGEST = 20_000
 EPOCHS = 4
-RATE = 30.0
+RATE = 60.0
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACES = np.array([*range(9, 14), 32, 133, 160, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x3000], np.uint32)
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, a space before and after each, white space as spaces; and their offsets."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    sizes = np.diff(before)
+    out = np.full(len(points) + 2 * len(sizes), 32, np.uint32)
+    at = np.arange(len(points)) + np.repeat(2 * np.arange(len(sizes)) + 1, sizes)
+    out[at] = np.where(np.isin(points, _SPACES), np.uint32(32), points)
+    return out, before + 2 * np.arange(len(before))
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words, repeated words and each n-gram length: (bucket of each feature, features before each text)."""
-    prefix = prefix_hash(data)
-    gap = np.ones(len(data) + 2, bool)
-    gap[1:-1] = _SPACE[data]
-    # a word ends where its text ends
-    inner = np.zeros(len(data) + 1, bool)
-    inner[offsets] = True
-    starts = np.flatnonzero(~gap[1:-1] & (gap[:-2] | inner[:-1]))
-    ends = np.flatnonzero(~gap[1:-1] & (gap[2:] | inner[1:])) + 1
+    """For words, pairs of words and each n-gram length: (bucket of each feature, features before each text)."""
+    points, offsets = code_points(data, offsets)
+    if not len(points):
+        return [(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))] * (2 + len(GRAMS))
+    prefix = prefix_hash(points)
+    gap = points == 32
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1  # each text begins and ends with a space
+    starts, ends = edge[::2], edge[1::2]
     words = mix((prefix[ends] - prefix[starts]) * inverse_powers(len(prefix))[starts] + np.uint64(1))
     bounds = np.searchsorted(starts, offsets)
-    out = [(words & np.uint64(buckets - 1), bounds)]
-    # word bigrams of one word twice, all in one bucket
-    twice = np.zeros(len(words), bool)
-    twice[1:] = words[1:] == words[:-1]
-    twice[bounds[:-1][bounds[:-1] < len(words)]] = False
-    again = np.flatnonzero(twice)
-    out.append((np.zeros(len(again), np.uint64), np.searchsorted(again, bounds)))
+    mask = np.uint64(buckets - 1)
+    out = [(words & mask, bounds)]
+    same = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    pairs = np.flatnonzero(same[1:] == same[:-1])
+    out.append((mix(words[pairs] * np.uint64(3) + words[pairs + 1]) & mask, np.searchsorted(pairs, bounds)))
+    spaces = np.concatenate([[0], np.cumsum(gap)])
     for n in GRAMS:
-        if len(data) < n:
+        if len(points) < n:
             out.append((np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)))
             continue
-        hashes = window_hash(prefix, n) & np.uint64(buckets - 1)
-        inside = np.zeros(len(data) + 1, np.int32)
-        long = np.diff(offsets) >= n
-        np.add.at(inside, offsets[:-1][long], 1)
-        np.add.at(inside, offsets[1:][long] - n + 1, -1)
-        at = np.flatnonzero(np.cumsum(inside)[: len(hashes)] > 0)
-        out.append((hashes[at], np.searchsorted(at, offsets)))
+        last = len(points) - n + 1
+        at = np.flatnonzero(spaces[n - 1 : n - 1 + last] == spaces[1 : 1 + last])  # no space inside
+        out.append((window_hash(prefix, n)[at] & mask, np.searchsorted(at, offsets)))
     return out
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tracelight.llm.common import table
 from tracelight.llm.pii import BASE, find_pii, redact
@@ -67,6 +68,68 @@ def test_added_spans(spark):
     assert got[1] == got[4] == got[6] == ""
 
 
+def log_lines(rng):
+    """(line, kind or None, the span's text): texts of another make than those the trees learn from."""
+    digit = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    chars = lambda k: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(k))
+    name = rng.choice(["olga", "p.meyer", "jean-luc", "kim_w"])
+    host = rng.choice(["mailhost", "acme-corp", "uni-bonn"])
+    secret, tel, ssn, mail = "ghp_" + chars(36), rng.choice([f"({digit(3)}) {digit(3)}-{digit(4)}", f"{digit(3)}-{digit(3)}-{digit(4)}"]), f"{digit(3)}-{digit(2)}-{digit(4)}", f"{name} (at) {host}.org"
+    return [
+        (f"export SERVICE_TOKEN={secret} # rotate monthly", "secret", secret),
+        (f'config.password: "{chars(24)}7"', "secret", None),
+        (f"Reception can be reached by phone under {tel} until five.", "tel", tel),
+        (f"Employee record, SSN: {ssn}, full time", "ssn", ssn),
+        (f"For questions write to {mail} please", "mail", mail),
+        (f"[{digit(4)}-{digit(2)}-{digit(2)}] worker-{digit(2)} finished in {digit(3)} ms", None, ""),
+        (f"Merge commit {''.join(rng.choice('0123456789abcdef') for _ in range(40))} into main", None, ""),
+        (f"Order no {digit(10)} ships in {digit(2)} days, ISBN 978-{digit(1)}-{digit(5)}-{digit(3)}-{digit(1)}", None, ""),
+        (f"The meeting (at) noon was moved to room {digit(3)}", None, ""),
+    ]
+
+
+def test_precision_and_recall_on_other_texts(spark):
+    rng = random.Random(31)
+    rows = [x for _ in range(60) for x in log_lines(rng)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in find_pii(docs).collect()}
+    for kind in ("secret", "tel", "ssn", "mail"):
+        found = [i for i, (_, k, _) in enumerate(rows) if kind in got[i]]
+        right = [i for i in found if rows[i][1] == kind]
+        all_of_it = [i for i, (_, k, _) in enumerate(rows) if k == kind]
+        print(kind, "precision", len(right) / max(1, len(found)), "recall", len(right) / len(all_of_it))
+        assert len(right) >= (0.75 if kind == "secret" else 0.9) * len(found) and len(right) >= 0.9 * len(all_of_it), kind
+
+
+def test_many_spans_in_one_text(spark):
+    """Time grows with the text, not with spans times text."""
+    n = 50_000
+    text = "10.0.0.1 x " * n
+    took = time.time()
+    docs = spark.createDataFrame([(1, text, "", 0, len(text))], SCHEMA)
+    (r,) = find_pii(docs).collect()
+    assert r.n_ip == n and r.base_sha256 == hashlib.sha256(",".join(f"ip:{11 * i}:{11 * i + 8}" for i in range(n)).encode()).hexdigest()
+    (r,) = redact(docs).collect()
+    assert r.text == "<IP> x " * n and r.n_chars == 7 * n
+    assert time.time() - took < 240
+
+
+def test_redact_against_a_plain_loop(spark):
+    rng = random.Random(17)
+    parts = ["a@b.de", "10.0.0.1", "+1 (743) 555-3824", "4111 1111 1111 1111", "é😀", "words", " ", "token=4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e", "(212) 555-0187"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.choice([0, 3, 40, 700]))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "", 0, len(t)) for i, t in enumerate(texts)], SCHEMA)
+    spans = {r.doc_id: r.spans for r in find_pii(docs).collect()}
+    for r in redact(docs).collect():
+        text, out, p = texts[r.doc_id], "", 0
+        listed = sorted(((int(s), -int(e), f"<{k.upper()}>") for k, s, e in (x.split(":") for x in spans[r.doc_id].split(",") if x)))
+        for s, e, k in listed:
+            if s >= p:
+                out += text[p:s] + k
+            p = max(p, -e)
+        assert r.text == out + text[p:]
+
+
 def test_redact(spark):
     rows = [(1, "call +1 (743) 555-3824 or a@b.de.", "s", 1, 33), (2, "nothing", "s", 1, 7), (3, None, None, None, None)]
     got = redact(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()

@@ -10,7 +10,8 @@ threshold of its kind.
 All of this is one projection of built-in functions on the row of the document: no join, no shuffle, no
 Python.  Patterns are written so that Java's matcher needs no recursion on long texts: what a repeated
 group would decide is first decided character by character with look-around, in a copy of the text of
-equal length.  The trees are trained on the driver, in numpy, on some thousand short made-up texts whose
+equal length.  A match carries its own text and what stands next to it, and positions are summed in
+blocks, so that the work grows with the text, however many matches it has.  The trees are trained on the driver, in numpy, on some thousand short made-up texts whose
 features the same expressions compute.
 
 Positions are code points, ends exclusive.  A null text is empty and has no spans (``redact`` keeps it
@@ -46,26 +47,65 @@ _BEFORE = 24
 FEATURES = ("length", "digits", "upper", "hex", "groups", "told_secret", "told_number", "told_mail", "given", "quoted", "separators", "mixed", "kind")
 
 
+# -- arrays, in time linear in their length --------------------------------------------------------
+
+#: Elements that are folded together, and characters of a piece of a text that is cut.
+BLOCK = 256
+_NO_SPANS = "cast(array() as array<struct<s:int,e:int,h:string,b:string,a:string>>)"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often and deep the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, start: int, step) -> Column:
+    """For each number of a non-empty array, ``step`` folded over ``start`` and the numbers before it.
+
+    A fold that collects what it passes copies its list at each step, so it is done in blocks: over the
+    results of the blocks first, then inside each.
+    """
+
+    def collected(xs: Column, first: Column) -> Column:
+        empty = F.struct(first.alias("p"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(xs, empty, lambda acc, x: F.struct(step(acc["p"], x).alias("p"), F.concat(acc["out"], F.array(acc["p"])).alias("out")), lambda acc: acc["out"])
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+
+        def inside(bs: Column) -> Column:
+            folded = F.transform(bs, lambda b: F.aggregate(b, F.lit(start), step))
+            return F.flatten(F.zip_with(bs, collected(folded, F.lit(start)), collected))
+
+        return _let(blocks, inside)
+
+    return _let(values, of)
+
+
 # -- spans of a pattern ----------------------------------------------------------------------------
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """Array of (s, e) of the leftmost matches that do not overlap."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.filter(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: x["h"].isNotNull())
-    none = F.expr("named_struct('p', 0, 'out', cast(array() as array<struct<s:int,e:int>>))")
+    """Array of the leftmost matches that do not overlap: start s, end e, the match h, ``_BEFORE`` characters b before it, one a after it."""
+
+    def placed(gaps: Column, hits: Column) -> Column:
+        sizes = F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
+        tail = lambda xs: F.transform(xs, lambda x: F.right(x, F.lit(_BEFORE)))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["p"] + F.length(x["g"])
-        e = s + F.length(x["h"])
-        return F.struct(e.alias("p"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
+        def spans(at: Column, gap_ends: Column, hit_ends: Column) -> Column:
+            def span(h: Column, i: Column) -> Column:
+                # a match has 8 characters or more where b is used, so three before it reach far enough
+                near = [F.get(xs, i - k) for k in (3, 2, 1) for xs in (gap_ends, hit_ends)] + [F.get(gap_ends, i)]
+                s = F.get(at, i) + F.length(F.get(gaps, i))
+                after = F.left(F.concat_ws("", F.left(F.get(gaps, i + 1), F.lit(1)), F.left(F.get(hits, i + 1), F.lit(1))), F.lit(1))
+                return F.struct(s.alias("s"), (s + F.length(h)).alias("e"), h.alias("h"), F.right(F.concat_ws("", *near), F.lit(_BEFORE)).alias("b"), after.alias("a"))
 
-    found = F.aggregate(pairs, none, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.expr("cast(array() as array<struct<s:int,e:int>>)"))
+            return F.transform(hits, span)
 
+        return _let(_running(sizes, 0, lambda p, x: p + x), lambda at: _let(tail(gaps), lambda g: _let(tail(hits), lambda h: spans(at, g, h))))
 
-def _piece(text: Column, x: Column) -> Column:
-    return F.substring(text, x["s"] + 1, x["e"] - x["s"])
+    found = _let(F.split(text, pattern, -1), lambda g: _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: placed(g, h)))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.expr(_NO_SPANS))
 
 
 def _luhn(digits: Column) -> Column:
@@ -88,8 +128,8 @@ def _prepared(df: DataFrame) -> DataFrame:
 def _base(df: DataFrame) -> DataFrame:
     t = F.col("_t")
     small = lambda part: F.length(F.regexp_replace(part, "^0+(?=.)", "")) <= 3
-    in_range = lambda x: F.forall(F.split(_piece(t, x), r"\."), lambda p: small(p) & (F.regexp_replace(p, "^0+(?=.)", "").try_cast("long") <= 255))
-    digits = lambda x: F.regexp_replace(_piece(t, x), "[^0-9]", "")
+    in_range = lambda x: F.forall(F.split(x["h"], r"\."), lambda p: small(p) & (F.regexp_replace(p, "^0+(?=.)", "").try_cast("long") <= 255))
+    digits = lambda x: F.regexp_replace(x["h"], "[^0-9]", "")
     card = lambda x: F.length(digits(x)).between(13, 19) & _luhn(digits(x))
     df = df.withColumn("_email", _places(F.col("_m"), EMAIL))
     df = df.withColumn("_ip", F.filter(_places(t, IP), in_range))
@@ -100,11 +140,9 @@ def _base(df: DataFrame) -> DataFrame:
 # -- candidates and their features -----------------------------------------------------------------
 
 
-def _features(kind: str, text: Column, x: Column) -> Column:
-    own = _piece(text, x)
+def _features(kind: str, x: Column) -> Column:
+    own, before, after = x["h"], F.lower(x["b"]), x["a"]
     n = F.length(own).cast("double")
-    before = F.lower(F.substring(text, F.greatest(x["s"] - _BEFORE, F.lit(0)) + 1, F.least(x["s"], F.lit(_BEFORE))))
-    after = F.substring(text, x["e"] + 1, F.lit(1))
     count = lambda p: F.length(F.regexp_replace(own, p, "")).cast("double")
     flag = lambda c, p: F.regexp_like(c, F.lit(p)).cast("double")
     values = {
@@ -132,7 +170,7 @@ _HINTS = {"secret": "[0-9]", "mail": r"[\[(]at[\])]", "tel": "[0-9][ ().-]{0,3}[
 
 def _candidates(kind: str, text: Column) -> Column:
     tried = F.when(F.regexp_like(text, F.lit(_HINTS[kind])), text).otherwise("")
-    return F.transform(_places(tried, _PATTERNS[kind]), lambda x: _features(kind, text, x))
+    return F.transform(_places(tried, _PATTERNS[kind]), lambda x: _features(kind, x))
 
 
 # -- boosted trees ---------------------------------------------------------------------------------
@@ -253,7 +291,7 @@ def pii_spans(docs: DataFrame, *more: str, size: int = 160, seed: int = 3) -> Da
     df = _base(_prepared(df)).drop("_m", "_n")
     for kind, threshold in zip(MORE, thresholds):
         if threshold == float("inf"):
-            df = df.withColumn(f"_{kind}", F.expr("cast(array() as array<struct<s:int,e:int>>)"))
+            df = df.withColumn(f"_{kind}", F.expr(_NO_SPANS))
             continue
 
         def good(c: Column) -> Column:
@@ -279,6 +317,29 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", *counts, F.sha2(_told(BASE), 256).alias("base_sha256"), _told(BASE + MORE).alias("spans"))
 
 
+def _cut_out(text: Column, start: Column, end: Column, pieces: Column) -> Column:
+    """Characters ``start .. end - 1`` of the text whose pieces of ``BLOCK`` characters are given."""
+    first = F.floor(start / BLOCK).cast("int")
+    number = F.floor((end - 1) / BLOCK).cast("int") - first + 1
+    return F.when(end > start, F.substring(F.array_join(F.slice(pieces, first + 1, F.greatest(number, F.lit(0))), ""), start % BLOCK + 1, end - start)).otherwise("")
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with each of the sorted spans (s, -e, k) named; one that starts inside earlier ones goes with them."""
+
+    def named(xs: Column, reached: Column, pieces: Column) -> Column:
+        def said(x: Column, i: Column) -> Column:
+            p = F.get(reached, i)
+            return F.when(x["s"] >= p, F.concat(_cut_out(text, p, x["s"], pieces), x["k"])).otherwise("")
+
+        last = F.greatest(F.element_at(reached, -1), -F.element_at(xs, -1)["ne"])
+        return F.concat(F.array_join(F.transform(xs, said), ""), _cut_out(text, last, F.length(text), pieces))
+
+    ends = lambda xs: F.transform(xs, lambda x: -x["ne"])
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    return _let(spans, lambda xs: _let(_running(ends(xs), 0, lambda p, x: F.greatest(p, x)), lambda reached: _let(pieces, lambda ps: named(xs, reached, ps))))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in angle brackets, and ``n_chars`` to match.
 
@@ -289,16 +350,8 @@ def redact(docs: DataFrame) -> DataFrame:
     df = pii_spans(whole, "_row")
     every = F.concat(*[F.transform(F.col(f"_{k}"), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), F.lit(f"<{k.upper()}>").alias("k"))) for k in BASE + MORE])
     df = df.withColumn("_all", F.array_sort(every))
-    start = F.expr("named_struct('p', 0, 'out', cast(array() as array<string>))")
     t = F.col("_t")
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["s"] >= acc["p"]
-        said = F.concat(acc["out"], F.array(F.substring(t, acc["p"] + 1, x["s"] - acc["p"]), x["k"]))
-        return F.struct(F.greatest(acc["p"], -x["ne"]).alias("p"), F.when(new, said).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("_all", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["p"] + 1, F.length(t))))
-    df = df.withColumn("_clean", F.when(F.size("_all") > 0, clean).otherwise(t))
+    df = df.withColumn("_clean", F.when(F.size("_all") > 0, _replaced(t, F.col("_all"))).otherwise(t))
     own = {c: F.col("_row").getField(c) for c in columns}
     own["text"] = F.when(own["text"].isNotNull(), F.col("_clean"))
     if "n_chars" in own:

@@ -2,7 +2,8 @@
 
 Read: both byte orders; stripped and tiled pages; chunky and planar samples of 8 or 16 bits;
 compression none, PackBits, LZW and deflate; no or horizontal predictor.  Written: the same, as
-8-bit greyscale.  A file that is null, broken or of another kind gives one row with its ``error``; a
+8-bit greyscale.  ``tiff_media`` stores texts under all four compressions, in strips and in tiles; which,
+a checksum of the text decides.  A file that is null, broken or of another kind gives one row with its ``error``; a
 chain of directories that returns to one already seen is broken.  A null document id stays null;
 repeated rows give repeated pages; an empty table gives no rows; other columns are not read.
 """
@@ -25,9 +26,15 @@ _DEFLATES = (8, 32946)
 #: Bytes a value of each field type takes, and how struct spells it.
 _TYPES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 
+#: Bytes that one stored byte can stand for at most, by compression; a header that claims more is broken.
+_MOST = {NONE: 1, PACKBITS: 64, LZW: 2560, 8: 1032, 32946: 1032}
+#: Bytes of a page, or of a strip or tile, beyond which a file is reported as too large instead of read.
+MOST_BYTES = 1 << 30
+
 WIDTH = 576
 PAGE_ROWS = 1024
 STRIP_ROWS = 128
+TILE = (192, 16)
 
 
 class TiffError(ValueError):
@@ -48,9 +55,9 @@ class Page:
 # -- codecs ----------------------------------------------------------------------------------------
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, need: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < need:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -64,27 +71,30 @@ def unpack_bits(data: bytes) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while run < 128 and i + run < len(data) and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes([257 - run, data[i]])
-            i += run
-            continue
-        j = i + 1
-        while j < len(data) and j - i < 128 and not (j + 1 < len(data) and data[j] == data[j + 1]):
-            j += 1
-        out += bytes([j - i - 1]) + data[i:j]
-        i = j
+    """Runs of three bytes and more as runs, the rest as literals."""
+    a = np.frombuffer(data, np.uint8)
+    first = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+    sizes = np.diff(np.append(first, len(a)))
+    runs = np.flatnonzero(sizes >= 3)
+    out, at = bytearray(), 0
+    for start, size in [*zip(first[runs].tolist(), sizes[runs].tolist()), (len(data), 0)]:
+        while at < start:
+            part = data[at : min(start, at + 128)]
+            out.append(len(part) - 1)
+            out += part
+            at += len(part)
+        while size > 1:
+            n = min(size, 128)
+            out += bytes((257 - n, data[at]))
+            at, size = at + n, size - n
+        # one byte that a run of 129 leaves over starts the next literals
     return bytes(out)
 
 
-def un_lzw(data: bytes) -> bytes:
+def un_lzw(data: bytes, need: int) -> bytes:
     """Codes of 9 to 12 bits, most significant first; the width grows one code early; 256 clears, 257 ends."""
     base = [bytes([i]) for i in range(256)] + [b"", b""]
-    words, width, last, out = list(base), 9, b"", []
+    words, width, last, out, size = list(base), 9, b"", [], 0
     held = bits = 0
     for byte in data:
         held, bits = (held << 8) | byte, bits + 8
@@ -92,77 +102,79 @@ def un_lzw(data: bytes) -> bytes:
             continue
         bits -= width
         code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 257:
-            break
-        if code == 256:
+        if code < len(words) and code != 256 and code != 257:
+            word = words[code]
+            if last:
+                words.append(last + word[:1])
+            elif code > 255:
+                raise TiffError("LZW code before any word")
+        elif code == 256:
             words, width, last = list(base), 9, b""
             continue
-        if not last:
-            if code > 255:
-                raise TiffError("LZW code before any word")
-            word = words[code]
+        elif code == 257:
+            break
+        elif not last or code > len(words):
+            raise TiffError("LZW code beyond the table")
         else:
-            if code > len(words):
-                raise TiffError("LZW code beyond the table")
-            word = words[code] if code < len(words) else last + last[:1]
-            words.append(last + word[:1])
+            word = last + last[:1]
+            words.append(word)
         out.append(word)
+        size += len(word)
+        if size >= need:
+            break
         last = word
-        width = min(12, max(9, (len(words) + 1).bit_length()))
+        if len(words) + 1 >> width:
+            width = min(12, width + 1)
     return b"".join(out)
 
 
 def do_lzw(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = (held << width) | code, bits + width
+    out, held, bits = bytearray(), 256, 9
+    words: dict[int, int] = {}  # (code << 8 | byte) -> code
+    count, width, word = 258, 9, -1
+    for byte in data:
+        if word < 0:
+            word = byte
+            continue
+        key = word << 8 | byte
+        code = words.get(key)
+        if code is not None:
+            word = code
+            continue
+        held, bits = held << width | word, bits + width
         while bits >= 8:
             bits -= 8
             out.append(held >> bits)
             held &= (1 << bits) - 1
-
-    words = {bytes([i]): i for i in range(256)}
-    count, width, word = 258, 9, b""
-    put(256, width)
-    for i in range(len(data)):
-        more = word + data[i : i + 1]
-        if more in words:
-            word = more
-            continue
-        put(words[word], width)
-        words[more] = count
+        words[key] = count
         count += 1
         if count >= 4094:
-            put(256, 12)
-            words, count, width = {bytes([i]): i for i in range(256)}, 258, 9
-        else:
-            width = max(9, count.bit_length())
-        word = data[i : i + 1]
-    if word:
-        put(words[word], width)
+            held, bits = held << 12 | 256, bits + 12
+            words, count, width = {}, 258, 9
+        elif count >> width:
+            width += 1
+        word = byte
+    if word >= 0:
+        held, bits = held << width | word, bits + width
         count += 1
         width = min(12, max(9, count.bit_length()))
-    put(257, width)
-    if bits:
-        put(0, 8 - bits)
-    return bytes(out)
+    held, bits = held << width | 257, bits + width
+    held <<= -bits % 8
+    return bytes(out) + held.to_bytes(-(-bits // 8), "big")
 
 
-def _decoded(data: bytes, compression: int) -> bytes:
+def _decoded(data: bytes, compression: int, need: int) -> bytes:
+    """At least ``need`` bytes of a strip or tile, if it holds so many; little more is ever made."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, need)
     if compression == LZW:
-        return un_lzw(data)
-    if compression in _DEFLATES:
-        try:
-            return zlib.decompress(data)
-        except zlib.error as e:
-            raise TiffError(f"deflate: {e}") from e
-    raise TiffError(f"compression {compression} is not known")
+        return un_lzw(data, need)
+    try:
+        return zlib.decompressobj().decompress(data, need)
+    except zlib.error as e:
+        raise TiffError(f"deflate: {e}") from e
 
 
 # -- reading ---------------------------------------------------------------------------------------
@@ -194,9 +206,13 @@ def _page(data: bytes, fields: dict[int, tuple[int, ...]], order: str) -> Page:
     if not width or not height:
         raise TiffError("a page without width or height")
     samples, bits = one(277, 1), one(258, 1)
+    if not samples:
+        raise TiffError("a page without samples")
     compression, predictor, planar = one(259, 1), one(317, 1), one(284, 1)
     if bits not in (8, 16) or len(set(fields.get(258, (bits,)))) > 1:
         raise TiffError(f"{bits} bits a sample are not supported")
+    if compression not in _MOST:
+        raise TiffError(f"compression {compression} is not known")
     if predictor not in (1, 2):
         raise TiffError(f"predictor {predictor} is not known")
     dtype = np.dtype(np.uint8 if bits == 8 else order + "u2")
@@ -210,15 +226,19 @@ def _page(data: bytes, fields: dict[int, tuple[int, ...]], order: str) -> Page:
     columns, rows = -(-width // across), -(-height // down)
     if len(offsets) < planes * rows * columns or len(counts) < len(offsets):
         raise TiffError("strips or tiles are missing")
+    claimed = height * width * samples * dtype.itemsize
+    if max(claimed, down * across * inner * dtype.itemsize) > MOST_BYTES:
+        raise TiffError("a page or tile is too large")
+    if any(o + c > len(data) for o, c in zip(offsets, counts)):
+        raise TiffError("a strip or tile is cut off")
+    if claimed > _MOST[compression] * sum(counts[: planes * rows * columns]):
+        raise TiffError("a page is larger than its strips or tiles can hold")
     pixels = np.zeros((height, width, samples), dtype.newbyteorder("="))
     for k in range(planes * rows * columns):
         plane, row, column = k // (rows * columns), k // columns % rows, k % columns
         high = down if tiled else min(down, height - row * down)
-        raw = data[offsets[k] : offsets[k] + counts[k]]
-        if len(raw) != counts[k]:
-            raise TiffError("a strip or tile is cut off")
-        raw = _decoded(raw, compression)
         need = high * across * inner * dtype.itemsize
+        raw = _decoded(data[offsets[k] : offsets[k] + counts[k]], compression, need)
         if len(raw) < need:
             raise TiffError("a strip or tile is too short")
         block = np.frombuffer(raw[:need], dtype).astype(pixels.dtype).reshape(high, across, inner)
@@ -307,9 +327,9 @@ def features(flat: np.ndarray, shapes: list[str]) -> str:
     values = np.arange(256)
     total, square = int((counts * values).sum()), int((counts * values * values).sum())
     p = counts[counts > 0] / n
-    parts = np.array_split(flat, 64)
-    means = np.array([int(x.sum(dtype=np.int64)) * 64 // max(1, len(x)) for x in parts])
-    grey = sum(1 << i for i, m in enumerate(means.tolist()) if m > int(np.median(means)))
+    edges = np.arange(min(64, n)) * n // min(64, n)
+    means = np.add.reduceat(flat, edges, dtype=np.int64) * 64 // np.diff(np.append(edges, n))
+    grey = int.from_bytes(np.packbits(means > int(np.median(means))).tobytes(), "big")
     deviation = int((max(0, square * n - total * total)) ** 0.5 * 1000 / n)
     return f"pages={'+'.join(shapes)} mean={total * 1000 // n} sd={deviation} entropy={round(float(-(p * np.log2(p)).sum()) * 1000)} grey={grey:016x}"
 
@@ -340,42 +360,54 @@ def tiff_pages(df: DataFrame, media: str = "media", key: str = "doc_id") -> Data
     return df.select(key, media).mapInArrow(run, f"`{key}` {kind}, {PAGE_SCHEMA}")
 
 
-def store_texts(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2) -> DataFrame:
-    """``doc_id, n_bytes, media``: each whole text as a TIFF file of one or more pages."""
+def _kept_as(text: bytes) -> dict:
+    """How a text is stored: one of the four compressions, in strips or tiles, by its checksum."""
+    mark = zlib.crc32(text)
+    return {"compression": (DEFLATE, LZW, PACKBITS, NONE)[mark % 4], "predictor": 1 + mark // 8 % 2, "tile": TILE if mark // 4 % 2 else None}
+
+
+def store_texts(docs: DataFrame, **kept_as) -> DataFrame:
+    """``doc_id, n_bytes, media``: each whole text as a TIFF file of one or more pages.
+
+    ``kept_as`` are arguments of ``write_tiff``; without them a checksum of the text decides.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, len(whole), 500):
-                batch = whole.slice(a, 500)
-                texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-                files = [write_tiff(text_images(t), compression, predictor) for t in texts]
-                yield pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, len(whole), 500)):
+            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
+            files = [write_tiff(text_images(t), **(kept_as or _kept_as(t))) for t in texts]
+            yield pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def media_digests(stored: DataFrame) -> DataFrame:
-    """Reads the stored files back, page by page, and digests what they hold; one row for each file."""
-    kind = stored.schema["doc_id"].dataType.simpleString()
-    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _digest(media: bytes) -> tuple:
+    """What a stored file holds, read back page by page."""
+    read = list(pages(media))
+    flat = np.concatenate([p.pixels.ravel() for p in read])
+    payload = flat.tobytes()
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(flat, [f"{p.width}x{p.height}" for p in read])
+
+
+def tiff_media(docs: DataFrame, **kept_as) -> DataFrame:
+    """One row for each document: its text went into a TIFF file and came back.
+
+    Files are written and read in one step, so that they need not travel between the two.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for data in batch.column(2):
-                media = data.as_py()
-                read = list(pages(media))
-                flat = np.concatenate([p.pixels.ravel() for p in read])
-                payload = flat.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(flat, [f"{p.width}x{p.height}" for p in read])))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = [x.split()[0] for x in schema.split(", ")]
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(types))], ["doc_id", "n_bytes", *names])
-
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, {schema}")
-
-
-def tiff_media(docs: DataFrame) -> DataFrame:
-    """One row for each document: its text went into a TIFF file and came back."""
-    return media_digests(store_texts(docs))
+        names, types = [x.split()[0] for x in _DIGESTS.split(", ")], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, len(whole), 500)):
+            sizes, rows = [], []
+            for x in batch.column(1):
+                text = (x.as_py() or "").encode()
+                sizes.append(len(text))
+                rows.append(_digest(write_tiff(text_images(text), **(kept_as or _kept_as(text)))))
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(types))], ["doc_id", "n_bytes", *names])
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, {_DIGESTS}")

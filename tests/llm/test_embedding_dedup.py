@@ -45,8 +45,8 @@ def vectors():
 def test_against_brute_force(spark):
     key = lambda r: tuple((x is None, x or 0) for x in r)
     want = sorted(brute(vectors()), key=key)
-    for block in (1024, 7):
-        got = embedding_links(spark.createDataFrame(vectors(), SCHEMA).repartition(3), block=block).collect()
+    for block, part_rows in ((1024, 16_384), (7, 16_384), (1024, 9), (7, 9)):
+        got = embedding_links(spark.createDataFrame(vectors(), SCHEMA).repartition(3), block=block, part_rows=part_rows).collect()
         assert sorted((tuple(r) for r in got), key=key) == want
 
 

@@ -29,7 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelight-checkpoint-"))
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelight-checkpoint-"))  # all in one process
     return df.checkpoint(eager=True)
 
 
@@ -160,13 +162,19 @@ def gapless_rank(df: DataFrame, by: list[str], spread: Column, buckets: int, nam
 
     Rows are dealt by ``spread`` to ``buckets`` buckets, or more if they would hold over ``RANK_ROWS``
     rows; rows are numbered inside a bucket and shifted by the sizes of the buckets before, so that no
-    task holds all rows of a ``by`` value.  ``df`` is used three times and should be materialised.  The
-    table of sizes has a row for each value of ``by`` and bucket.
+    task holds all rows of a ``by`` value.  Repeated rows of which there are more than a bucket's share
+    go to all buckets.  ``df`` is used more than once and must be materialised.  The table of sizes has a
+    row for each value of ``by`` and bucket.
     """
     from pyspark.sql import Window
 
-    buckets = max(buckets, df.count() // RANK_ROWS)
-    dealt = df.withColumn("_b", F.pmod(spread, F.lit(buckets)).cast("int"))
+    rows = df.count()
+    buckets = max(buckets, rows // RANK_ROWS)
+    dealt = df.withColumn("_spread", spread)
+    hot = cut(dealt.groupBy("_spread").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(16, rows // buckets)).select("_spread", F.lit(True).alias("_hot")))
+    dealt = dealt.join(F.broadcast(hot), "_spread", "left")  # no more rows than buckets
+    salted = F.when(F.col("_hot"), F.xxhash64("_spread", F.monotonically_increasing_id())).otherwise(F.col("_spread"))
+    dealt = cut(dealt.withColumn("_b", F.pmod(salted, F.lit(buckets)).cast("int")).drop("_spread", "_hot"))
     sizes = dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     shifts = cut(sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s")))

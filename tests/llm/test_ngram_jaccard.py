@@ -49,6 +49,30 @@ def test_against_brute_force(spark, small):
     assert sorted(((r.doc_id, r.n_links, r.class_id) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
+def test_chained_buckets(spark):
+    """Windows that slide over one long text: neighbours are alike, and all buckets hang together."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(700)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 110]), i, i, "n") for i in range(280)]
+    rows += [(1000 + i, rows[i][1] + ".", i, i, "n") for i in range(0, 280, 9)]
+    want, _ = brute(rows)
+    got = ngram_jaccard(spark.createDataFrame(rows, SCHEMA).repartition(4), small=2, block=8).collect()
+    assert sorted((r.doc_id, r.n_links, r.class_id) for r in got) == sorted(want)
+    assert max(n for _, n, _ in want) < 30 and len({c for *_, c in want}) == 1
+
+
+def test_long_texts(spark):
+    """Two texts of a megabyte that differ in some words, among short ones."""
+    rng = random.Random(2)
+    words = [rng.choice("abcdefghij") * rng.randint(1, 6) for _ in range(250_000)]
+    other = list(words)
+    for _ in range(2000):
+        other[rng.randrange(len(other))] = "new"
+    rows = [(1, " ".join(words), 0, 0, ""), (2, " ".join(other), 0, 0, ""), (3, "one two three", 0, 0, "")]
+    got = ngram_jaccard(spark.createDataFrame(rows, SCHEMA), small=1).collect()
+    assert sorted((r.doc_id, r.n_links, r.class_id, r.kept) for r in got) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 def test_one_of_each(spark):
     rows = corpus()
     _, root = brute(rows)

@@ -8,9 +8,13 @@ Bands and rows are chosen for the target recall at the threshold (``choose_bands
 equal words are folded into a class first, so copies meet as a count.  Classes are dealt by band hash:
 
 * buckets of up to ``SMALL`` classes give candidate pairs, a bounded number for each member;
-* larger buckets are joined into groups (components of the bucket graph), and each group is compared
-  in blocks of about ``BLOCK`` classes against blocks.  A block pair gives link *counts* and a
-  spanning forest of its links, never the pairs, so what it puts out is linear in what it reads.
+* larger buckets are compared in blocks of about ``BLOCK`` classes and ``BLOCK_BYTES`` bytes against
+  blocks.  Buckets that share members are joined into a group (a component of the bucket graph) where
+  comparing the whole group takes no more pairs than comparing its buckets one by one, as with many
+  copies of one text, which share most buckets; buckets that are merely chained are compared by
+  themselves, and a pair is counted in the first large bucket that both have.  A block pair gives link
+  *counts* and a spanning forest of its links, never the pairs, so what it puts out is linear in what
+  it reads.
 
 Every candidate is verified on full n-gram sets, and no candidate is dropped.
 
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import BASE, chunks, cut, inverse_powers, keyed, mix, powers, prefix_hash, string_buffers
+from tracelight.llm.common import BASE, chunks, cut, inverse_powers, keyed, mix, powers, prefix_hash, small_side, string_buffers
 from tracelight.llm.graph import connected_components
 
 N = 5
@@ -38,6 +42,7 @@ RECALL = 0.99999
 HASHES = 160
 SMALL = 16
 BLOCK = 256
+BLOCK_BYTES = 1 << 24
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -97,9 +102,10 @@ def ngrams(words: np.ndarray, bounds: np.ndarray, n: int = N) -> tuple[np.ndarra
     return mix(out), total
 
 
-def class_hashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def class_hashes(words: np.ndarray, bounds: np.ndarray, salt: int = 0) -> np.ndarray:
     """A hash of the sequence of words of each text; 0 without words."""
     n = len(words)
+    words = mix(words + np.uint64(salt)) if salt else words
     summed = np.zeros(n + 1, np.uint64)
     np.cumsum(words * powers(BASE, n), out=summed[1:])
     shift = inverse_powers(n + 1)[bounds[:-1]]
@@ -201,18 +207,18 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 # -- Spark -----------------------------------------------------------------------------------------
 
 
-def _signatures(bands: int, rows: int, n: int):
+def _signatures(bands: int, rows: int, n: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, at = string_buffers(batch.column("text"))
             for a, b in chunks(at):
                 data, offsets = lowered(batch.column("text").slice(a, b - a))
                 words, bounds = word_hashes(data, offsets)
-                names = class_hashes(words, bounds)
+                names, second = class_hashes(words, bounds, 2 * salt), class_hashes(words, bounds, 2 * salt + 1)
                 hashes = band_hashes(*ngrams(words, bounds, n), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, bands, dtype=np.int32)), pa.array(hashes.view(np.int64).ravel()))
                 none = pa.array(names.view(np.int64), mask=names == 0)
-                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), batch.column("_k").slice(a, b - a), batch.column("_h").slice(a, b - a), none, lists], ["doc_id", "_k", "_h", "c", "bands"])
+                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), batch.column("_k").slice(a, b - a), batch.column("_h").slice(a, b - a), none, pa.array(second.view(np.int64)), lists], ["doc_id", "_k", "_h", "c", "c2", "bands"])
 
     return run
 
@@ -229,11 +235,20 @@ def _verify(threshold: float, n: int):
     return run
 
 
+def _first_shared(a: list[tuple[int, ...]], b: list[tuple[int, ...]], x: np.ndarray, y: np.ndarray, g: int) -> np.ndarray:
+    """Whether g is the least of the buckets that both classes of each pair have."""
+    sets_a, sets_b = [frozenset(v) for v in a], [frozenset(v) for v in b]
+    return np.array([min(sets_a[i] & sets_b[j]) == g for i, j in zip(x.tolist(), y.tolist())], bool)
+
+
 def _block_links(threshold: float, n: int):
-    """Rows of one (group, i, j) lie together: counts of links by class, and forest edges."""
+    """Rows of one (group, i, j) lie together: counts of links by class, and forest edges.
+
+    Where a class names its large buckets, the group is one of them.
+    """
 
     def settle(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        _, i, j = key
+        g, i, j = key
         left = [r for r in rows if r[0] == i]
         right = left if i == j else [r for r in rows if r[0] == j]
         if not left or not right:
@@ -245,6 +260,10 @@ def _block_links(threshold: float, n: int):
         name_l, name_r = np.array([r[1] for r in left]), np.array([r[1] for r in right])
         size_l, size_r = np.array([r[2] for r in left]), np.array([r[2] for r in right])
         x, y = np.nonzero(links)
+        if left[0][4] is not None:
+            first = _first_shared([r[4] for r in left], [r[4] for r in right], x, y, g)
+            links[x[~first], y[~first]] = False
+            x, y = x[first], y[first]
         edges = forest(name_l[x], name_r[y])
         counts = [(c, None, k) for c, k in zip(name_l.tolist(), (links @ size_r).tolist()) if k]
         if i != j:
@@ -255,7 +274,7 @@ def _block_links(threshold: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            for g, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "i", "j", "x", "c", "size", "text"))):
+            for g, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "i", "j", "x", "c", "size", "text", "own"))):
                 if (g, i, j) != key:
                     if rows:
                         yield settle(key, rows)
@@ -267,13 +286,13 @@ def _block_links(threshold: float, n: int):
     return run
 
 
-def in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """Deal the members (g, c, ...) of each group to pairs of blocks: adds i, j and the own block x."""
-    counts = cut(members.groupBy("g").agg(F.count(F.lit(1)).alias("k")))
-    blocks = F.ceil(F.col("k") / F.lit(float(block))).cast("int")
+def in_blocks(members: DataFrame, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Deal the members (g, c, text, ...) of each group to pairs of blocks: adds i, j and the own block x."""
+    counts = cut(members.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("text")).alias("_bytes")))
+    blocks = F.ceil(F.greatest(F.col("k") / F.lit(float(block)), F.col("_bytes") / F.lit(float(block_bytes)), F.lit(1.0))).cast("int")
     dealt = members.join(counts, "g").withColumn("_n", blocks).withColumn("x", F.pmod(F.xxhash64("c"), F.col("_n")).cast("int"))
     spread = dealt.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return spread.withColumn("i", F.least("x", "_y")).withColumn("j", F.greatest("x", "_y")).drop("_y", "_n", "k")
+    return spread.withColumn("i", F.least("x", "_y")).withColumn("j", F.greatest("x", "_y")).drop("_y", "_n", "k", "_bytes")
 
 
 def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
@@ -283,19 +302,30 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rec
     """
     bands, rows = choose_bands(threshold, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = cut(keyed(docs).mapInArrow(_signatures(bands, rows, n), f"doc_id {kind}, _k long, _h long, c long, bands array<long>"))
-    worded = signed.where("c is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_k", "_h"))
-    classes = cut(worded.groupBy("c").agg(F.count(F.lit(1)).alias("size"), first.alias("first"), F.first("bands").alias("bands")))
+    for salt in range(16):
+        signed = cut(keyed(docs).mapInArrow(_signatures(bands, rows, n, salt), f"doc_id {kind}, _k long, _h long, c long, c2 long, bands array<long>"))
+        worded = signed.where("c is not null")
+        classes = cut(worded.groupBy("c").agg(F.count(F.lit(1)).alias("size"), first.alias("first"), F.first("bands").alias("bands"), (F.min("c2") != F.max("c2")).alias("mixed")))
+        if classes.where("mixed").isEmpty():  # no two texts under one number, by a second hash
+            break
     banded = classes.select("c", F.explode("bands").alias("band"))
     buckets = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lead")).where("n > 1"))
     members = cut(banded.join(buckets, "band"))
-    hot = connected_components(members.where(F.col("n") > small).select(F.col("c").alias("a"), F.col("lead").alias("b")))
+    large = members.where(F.col("n") > small)
+    hot = connected_components(large.select(F.col("c").alias("a"), F.col("lead").alias("b")))
     hot = cut(hot.select(F.col("node").alias("c"), F.col("root").alias("g")))
+    # pairs of the group as a whole against pairs of its buckets one by one
+    whole = hot.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    apiece = large.join(hot, "c").groupBy("g").agg(F.sum(F.col("n").cast("double")).alias("s"))
+    chained = cut(whole.join(apiece, "g").where("k * k > s").select("g", F.lit(True).alias("chained")))
+    hot = cut(hot.join(small_side(chained), "g", "left").select("c", "g", F.coalesce("chained", F.lit(False)).alias("chained")))
+    own = large.join(hot.where("chained").select("c"), "c").groupBy("c").agg(F.sort_array(F.collect_set("band")).alias("own"))  # at most one for each band
+    hot = cut(hot.join(own, "c", "left"))
     few = members.where(F.col("n") <= small).select("band", "c")
     pairs = few.select("band", F.col("c").alias("a")).join(few.select("band", F.col("c").alias("b")), "band").where("a < b").select("a", "b").distinct()
-    sides = [hot.select(F.col("c").alias(s), F.col("g").alias(f"g{s}")) for s in "ab"]
-    apart = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left").where("ga is null or gb is null or ga <> gb")
+    sides = [hot.select(F.col("c").alias(s), F.col("g").alias(f"g{s}"), F.col("own").alias(f"o{s}")) for s in "ab"]
+    apart = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left").where("ga is null or gb is null or ga <> gb or not coalesce(arrays_overlap(oa, ob), true)")
     pairs = cut(apart.select("a", "b"))
     # texts of the classes that take part, one for each class
     needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(hot.select("c")).distinct()
@@ -305,8 +335,10 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rec
     texts = cut(texts)
     first_, second = (texts.select(F.col("c").alias(s), F.col("text").alias(f"t{s}")) for s in "ab")
     links = cut(pairs.join(first_, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(threshold, n), "a long, b long"))
-    grouped = in_blocks(hot.join(texts, "c"), block)
-    dense = cut(grouped.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").select("g", "i", "j", "x", "c", "size", "text").mapInArrow(_block_links(threshold, n), "a long, b long, n long"))
+    by_bucket = hot.where("chained").select(F.explode("own").alias("g"), "c", "own")
+    by_group = hot.where("not chained").select("g", "c", F.lit(None).cast("array<long>").alias("own"))
+    grouped = in_blocks(by_group.union(by_bucket).join(texts, "c"), block)
+    dense = cut(grouped.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").select("g", "i", "j", "x", "c", "size", "text", "own").mapInArrow(_block_links(threshold, n), "a long, b long, n long"))
     sizes = classes.select(F.col("c").alias("b"), F.col("size").alias("n"))
     both = links.union(links.select("b", "a"))
     counted = both.join(sizes, "b").select("a", "n").union(dense.where("n is not null").select("a", "n"))
@@ -318,7 +350,7 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, rec
         roots.join(least, "root").join(counted, "c", "left")
         .select("c", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "kept_first")
     )
-    own = signed.drop("bands").join(facts, "c", "left")
+    own = signed.drop("bands", "c2").join(facts, "c", "left")
     return own.select(
         "doc_id", "_k", "_h",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

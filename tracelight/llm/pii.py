@@ -44,7 +44,7 @@ TEL = r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3} )\(?[0-9][0-9 ().-]{6,18}[0-9](?![0-
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 
 _BEFORE = 24
-FEATURES = ("length", "digits", "upper", "hex", "groups", "told_secret", "told_number", "told_mail", "given", "quoted", "separators", "mixed", "kind")
+FEATURES = ("length", "digits", "upper", "hex", "groups", "told_secret", "told_number", "told_mail", "told_id", "given", "quoted", "separators", "mixed", "kind")
 
 
 # -- arrays, in time linear in their length --------------------------------------------------------
@@ -154,6 +154,7 @@ def _features(kind: str, x: Column) -> Column:
         "told_secret": flag(before, "token|key|secret|passw|pwd|auth|bearer|credential"),
         "told_number": flag(before, "tel|phone|call|mobile|fax|cell|ring"),
         "told_mail": flag(before, "mail|contact|write|reach"),
+        "told_id": flag(before, "ssn|social|security|insurance"),
         "given": flag(before, "[=:] ?[\"']?$"),
         "quoted": (flag(before, "[\"'`]$") + flag(after, "^[\"'`]")) / 2,
         "separators": count("[A-Za-z0-9]") / n,

@@ -200,6 +200,7 @@ def _made_up(n: int, seed: int) -> list[tuple[str, str, int]]:
             (f"{words(4)} {pick([f'({digits(3)}) {digits(3)}-{digits(4)}', f'{digits(3)}-{digits(3)}-{digits(4)}'])} {words(2)}", "tel", 1),
             (f"{words(3)} {pick(['on', 'from', 'id', 'in', 'isbn', 'no'])} {pick([f'20{digits(2)}-{digits(2)}-{digits(2)}', f'{digits(4)}.{digits(2)}.{digits(2)}', digits(10), digits(16), f'{digits(3)}-{digits(1)}-{digits(5)}-{digits(2)}', f'{digits(4)} {digits(4)}', f'{digits(2)}.{digits(2)}.{digits(2)}.{digits(2)}', f'{digits(4)} {digits(4)} {digits(4)} {digits(4)}'])} {words(3)}", "tel", 0),
             (f"{words(3)} {pick(['ssn', 'social security', 'SSN:', 'id'])} {digits(3)}-{digits(2)}-{digits(4)} {words(2)}", "ssn", 1),
+            (f"{words(3)} {pick(['ssn', 'social security', 'SSN:', 'id'])} {digits(3)}-{digits(2)}-{digits(4)} {words(2)}", "tel", 0),
             (f"{words(3)} {pick(['part', 'item', 'room'])}={digits(3)}-{digits(2)}-{digits(4)} {words(2)}", "ssn", 0),
         ]
     return out

@@ -7,7 +7,7 @@ it covers are removed.  The work goes in four steps.
    Equal windows have equal names, so only windows whose name occurs twice can repeat.  Names are
    counted over the whole corpus; about one position in eighty makes a row.
 2. *Segments.*  Neighbouring windows of one repeated name form a segment.  Segments are shuffled by
-   name.  Of equal segments a task sends two at most, so copies meet as counts, not as pairs.
+   name.  Of equal segments a task sends one, so copies do not meet as pairs.
 3. *Suffix sort.*  The suffixes that start at the windows of the segments of one name are sorted by
    mergesort.  Two suffixes are compared by the length of their common extension, which a binary
    search over prefix polynomial hashes finds in a logarithm of its length.  Neighbours in the sorted
@@ -18,7 +18,7 @@ A name that stands at more than ``PART`` places is dealt again before its segmen
 windows hold the anchor at the same offset, so a segment is sliced by that offset, ``WIDTHS[0]`` windows
 to a slice, and a slice is named by the bytes that all windows of its offsets have in common.  Slices
 whose new name still has more than ``PART`` rows are sliced finer, down to single windows, where rows of
-one name are equal and meet as counts.  Slices of every width go through the same sort.
+one name are equal.  Slices of every width go through the same sort.
 
 Null texts are empty; texts shorter than ``length`` keep every byte; rows with equal id and text are
 documents of their own and repeat each other; an empty table gives no rows.  Only ``doc_id`` and
@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from tracelight.llm.common import (
     chunks,
@@ -59,7 +59,7 @@ ANCHOR = 40
 #: Windows in a slice of a name that is dealt again, level by level.
 WIDTHS = (64, 16, 4, 1)
 #: Places of one name that are sorted together.
-PART = 2000
+PART = 4000
 #: Bytes of segments that one sort takes from several names.
 SORT_BYTES = 1 << 20
 #: Bytes of segments that a task remembers as sent; beyond it forgets them and may send them again.
@@ -296,7 +296,7 @@ def _prepare(length: int):
             new = {
                 "text": ("z", pa.array([press.compress(x.as_buffer()) for x in text.cast(pa.binary())], pa.binary())),
                 "_m": ("_m", pa.ListArray.from_arrays(ends, _signed(names))),
-                "_p": ("_p", pa.ListArray.from_arrays(ends, pa.array(places.astype(np.int64)))),
+                "_p": ("_p", pa.ListArray.from_arrays(ends, pa.array(places.astype(np.int32)))),
             }
             columns = [new.get(c, (c, batch.column(c) if c in batch.schema.names else None)) for c in [*batch.schema.names, "_m", "_p"]]
             yield pa.record_batch([x for _, x in columns], [c for c, _ in columns])
@@ -327,39 +327,38 @@ def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 class _Sender:
     """Rows of one task.
 
-    The bytes of a segment are sent with its place when it is met first, and without a place when it is
-    met again.  What was met before, byte for byte, is repeated for certain: such places need no sort and
-    travel without bytes, neighbours as one row and under a scattered key, so that a passage that every
-    document has does not heap up under its name.
+    A segment is sent with its bytes when it is met first.  What is met again, byte for byte, is repeated
+    for certain, and so is what was met first: such places need no sort and travel without bytes,
+    neighbours as one row and under a scattered key, so that a passage that every document has does not
+    heap up under its name.
     """
 
     def __init__(self):
-        self.seen: dict[bytes, bool] = {}
+        self.seen: dict[bytes, tuple | None] = {}  # the first place, until it is told that it is repeated
         self.size = 0
 
     def rows(self, pieces: Iterator[tuple]) -> Iterator[tuple]:
         """``pieces``: key, name, bytes, _k, _h, start and windows; those of a document in order."""
-        known: list[int] | None = None
-        for key, m, seg, k, h, start, windows in pieces:
-            again = self.seen.get(seg)
-            if again is None:
+        known: tuple | None = None
+        for piece in pieces:
+            seg, place = piece[2], piece[3:]
+            if seg not in self.seen:
                 if self.size > SEEN_BYTES:
                     self.seen, self.size = {}, 0
-                self.seen[seg] = False
+                self.seen[seg] = place
                 self.size += len(seg)
-                yield key, m, seg, k, h, start, windows
+                yield piece
                 continue
-            if not again:
-                self.seen[seg] = True
-                yield key, m, seg, None, None, None, None
-            if k is None:  # a copy whose place is known already
-                continue
-            if known and known[:2] == [k, h] and known[2] <= start <= known[2] + known[3]:
-                known[3] = max(known[3], start + windows - known[2])
+            if first := self.seen[seg]:
+                self.seen[seg] = None
+                yield first[1] + first[2], None, None, *first
+            k, h, start, windows = place
+            if known and known[:2] == (k, h) and known[2] <= start <= known[2] + known[3]:
+                known = k, h, known[2], max(known[3], start + windows - known[2])
                 continue
             if known:
                 yield known[1] + known[2], None, None, *known
-            known = [k, h, start, windows]
+            known = place
         if known:
             yield known[1] + known[2], None, None, *known
 
@@ -396,7 +395,7 @@ def _send(length: int, column: str, width: int = 0):
 
 
 def _send_finer(length: int, width: int):
-    """Slices of slices.  A row without a place stands for a second copy of its bytes, and so do its slices."""
+    """Slices of slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender()
@@ -410,7 +409,7 @@ def _send_finer(length: int, width: int):
             k, h, start = (batch.column(c).to_pylist() for c in ("_k", "_h", "start"))
             whole, ends = data.tobytes(), offsets.tolist()
             pieces = (
-                (to, int(m), whole[x : x + n + length - 1], k[i], h[i], None if k[i] is None else start[i] + x - ends[i], None if k[i] is None else n)
+                (to, m, whole[x : x + n + length - 1], k[i], h[i], start[i] + x - ends[i], n)
                 for i, x, n, to, m in zip(own.tolist(), begin.tolist(), windows.tolist(), key.view(np.int64).tolist(), name[own].view(np.int64).tolist())
             )
             rows = sender.rows(pieces)
@@ -425,33 +424,25 @@ def _runs(found: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
-class _Segment:
-    """Equal segments: how many, and where those stand whose place is known."""
-
-    __slots__ = ("name", "n", "places")
-
-    def __init__(self, name: int):
-        self.name, self.n, self.places = name, 0, []
-
-
 def _sort_segments(length: int, sort_bytes: int):
     """Rows arrive by key.  Gives the repeated windows of each place, as starts lo .. hi - 1 of its document."""
 
-    def settle(group: list[tuple[bytes, _Segment]]) -> Iterator[tuple]:
+    def settle(group: list[tuple[bytes, tuple]]) -> Iterator[tuple]:
         data = np.frombuffer(b"".join(seg for seg, _ in group), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(seg) for seg, _ in group])]).astype(np.int64)
-        found = repeated_windows(data, offsets, np.array([r.name for _, r in group], np.int64).view(np.uint64), length)
+        found = repeated_windows(data, offsets, np.array([m for _, (m, *_) in group], np.int64).view(np.uint64), length)
         at = 0
-        for seg, r in group:
+        for seg, (_, place) in group:
             windows = len(seg) - length + 1
-            for k, h, start in r.places:
+            if place:
+                k, h, start = place
                 for lo, hi in zip(*_runs(found[at : at + windows])):
                     yield k, h, start + lo, start + hi
             at += windows
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        ready: list[tuple[bytes, _Segment]] = []  # of whole keys
-        group: dict[bytes, _Segment] = {}  # of the key that is being read
+        ready: list[tuple[bytes, tuple]] = []  # of whole keys: bytes, name, and the place if it is not told yet
+        group: dict[bytes, tuple] = {}  # of the key that is being read
         size, name = 0, None
         for batch in batches:
             for key, m, seg, k, h, start, windows in zip(*(batch.column(c).to_pylist() for c in _SENT.names)):
@@ -466,17 +457,14 @@ def _sort_segments(length: int, sort_bytes: int):
                     name, group = key, {}
                 held = group.get(seg)
                 if held is None:
-                    held = group[seg] = _Segment(m)
+                    group[seg] = m, (k, h, start)
                     size += len(seg)
-                held.n += 1
-                if held.n > 1:  # equal in all bytes: repeated throughout
-                    for x, y, z in held.places:
-                        yield x, y, z, z + len(seg) - length + 1
-                    held.places = []
-                    if k is not None:
-                        yield k, h, start, start + windows
-                elif k is not None:
-                    held.places.append((k, h, start))
+                    continue
+                yield k, h, start, start + windows  # equal in all bytes: repeated throughout
+                if held[1]:
+                    x, y, z = held[1]
+                    yield x, y, z, z + windows
+                    group[seg] = m, None
         ready += group.items()
         if ready:
             yield from settle(ready)
@@ -520,7 +508,7 @@ def prepared(docs: DataFrame, length: int = LENGTH, *more: Column) -> DataFrame:
     """``doc_id, z, _k, _h``, the columns in ``more``, and the names ``_m`` of each text with their places ``_p``; materialised."""
     rows = keyed(docs, *more)
     fields = [StructField("z", BinaryType()) if f.name == "text" else f for f in rows.schema.fields]
-    schema = StructType([*fields, StructField("_m", ArrayType(LongType())), StructField("_p", ArrayType(LongType()))])
+    schema = StructType([*fields, StructField("_m", ArrayType(LongType())), StructField("_p", ArrayType(IntegerType()))])
     return cut(rows.mapInArrow(_prepare(length), schema))
 
 

@@ -60,6 +60,8 @@ ANCHOR = 40
 WIDTHS = (64, 16, 4, 1)
 #: Places of one name that are sorted together.
 PART = 4000
+#: Most names that are dealt again which are broadcast, eight bytes each.
+HOT_NAMES = 200_000
 #: Bytes of segments that one sort takes from several names.
 SORT_BYTES = 1 << 20
 #: Bytes of segments that a task remembers as sent; beyond it forgets them and may send them again.
@@ -367,21 +369,24 @@ def _scattered(row: tuple) -> tuple:
     return ((row[0] + 2**63) % 2**64 - 2**63, *row[1:])
 
 
-def _send(length: int, column: str, width: int = 0):
-    """Segments of the names in ``column`` of each document; slices of them if ``width`` is given."""
+def _send(length: int, width: int = 0):
+    """Segments of the names ``ms`` of each document; slices of them if ``width`` is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender()
         for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
             data, offsets = _loosened(batch.column("z"))
             k, h = batch.column("_k").to_numpy(), batch.column("_h").to_numpy()
-            lists = batch.column(column)
+            lists = batch.column("ms")
             for a, b in chunks(offsets):
                 part = data[offsets[a] : offsets[b]]
                 wanted = np.unique(lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
                 name, row, start, count, at = segments(part, offsets[a : b + 1] - offsets[a], wanted, length)
                 key = name
-                if width:
+                if width:  # a document comes once for each of its names then, and gives the segments of that name
+                    asked = {(i, m) for i, ms in enumerate(lists.slice(a, b - a).to_pylist()) for m in ms}
+                    keep = np.array([x in asked for x in zip(row.tolist(), name.view(np.int64).tolist())], bool)
+                    name, row, start, count, at = name[keep], row[keep], start[keep], count[keep], at[keep]
                     prefix = prefix_hash(part)
                     own, begin, windows, key = slices(window_hash(prefix, ANCHOR), prefix, name, at, count, width, length)
                     name, row, start, count, at = name[own], row[own], start[own] + begin - at[own], windows, begin
@@ -519,23 +524,21 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, sort_bytes: int = SOR
     """
     named = rows.select("_k", "_h", F.explode(F.arrays_zip("_m", "_p")).alias("x")).select("_k", "_h", F.col("x._m").alias("m"), F.col("x._p").alias("p"))
     counted = cut(named.groupBy("m").agg(F.sum("p").alias("n")).where("n > 1"))
-    wanted = cut(
-        named.join(counted, "m")
-        .groupBy("_k", "_h")
-        .agg(F.collect_set(F.when(F.col("n") <= part, F.col("m"))).alias("few"), F.collect_set(F.when(F.col("n") > part, F.col("m"))).alias("many"))
-    )
-    # joins of texts hash the slim side, so that no text is sorted
+    wanted = cut(named.join(counted.where(F.col("n") <= part), "m").groupBy("_k", "_h").agg(F.collect_set("m").alias("ms")))
     texts = rows.select("_k", "_h", "z")
 
-    def marked(column: str) -> DataFrame:
-        return texts.join(wanted.where(F.size(column) > 0).select("_k", "_h", column).hint("shuffle_hash"), ["_k", "_h"])
-
     def sorted_out(sent: DataFrame) -> DataFrame:
         return sent.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_segments(length, sort_bytes), "_k long, _h long, lo long, hi long")
 
-    hits = sorted_out(marked("few").mapInArrow(_send(length, "few"), _SENT_DDL))
-    if not counted.where(F.col("n") > part).isEmpty():
-        sent = cut(marked("many").mapInArrow(_send(length, "many", widths[0]), _SENT_DDL))
+    # joins of texts hash the slim side, so that no text is sorted
+    hits = sorted_out(texts.join(wanted.hint("shuffle_hash"), ["_k", "_h"]).mapInArrow(_send(length), _SENT_DDL))
+    hot = cut(counted.where(F.col("n") > part).select("m"))
+    if not hot.isEmpty():
+        if hot.limit(HOT_NAMES + 1).count() <= HOT_NAMES:  # no text is shuffled for names that all tasks know
+            many = rows.select("_k", "_h", "z", F.explode("_m").alias("m")).join(F.broadcast(hot), "m").select("_k", "_h", "z", F.array("m").alias("ms"))
+        else:
+            many = texts.join(named.join(hot, "m").groupBy("_k", "_h").agg(F.collect_set("m").alias("ms")).hint("shuffle_hash"), ["_k", "_h"])
+        sent = cut(many.mapInArrow(_send(length, widths[0]), _SENT_DDL))
         for width in (*widths[1:], 0):
             big = cut(sent.where("seg is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("key"))
             if not width or big.isEmpty():

@@ -44,7 +44,7 @@ def test_intact_copy(protected):
     assert not report["partial"] and len(report["evidence"]) == lead["sites"]
     assert protected.verify("rel-a")["verdict"] == "INTACT"
     assert protected.compliance(report)["grade"] == "FULL"
-    assert "PROVENANCE_DETECTED" in report_text(report) and EXIT_CODES[report["outcome"]] == 10
+    assert "PROVENANCE_DETECTED" in report_text(report) and EXIT_CODES[report["outcome"]] == 1
 
 
 def test_unrelated_and_unprotected_trees(protected, tmp_path):

@@ -1,6 +1,6 @@
 """``python -m tracelight.cli COMMAND``: a project's store from the command line.
 
-Exit codes: 0 nothing found or all well, 10 found, 1 open or incomplete, 2 an error.
+Exit codes: 0 nothing found or all well, 1 found, 10 open, 5 incomplete, others an error (operators/rules.py).
 """
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from difflib import SequenceMatcher
 
 from tracelight.plans.session import EXIT_CODES, Session, report_text
 from tracelight.sources.documents import Config, DocumentError, canonical_json
@@ -17,10 +16,20 @@ COMMANDS = ("init", "protect", "generate", "verify", "scan", "inspect", "report"
 VIEWS = ("store", "identity", "config", "releases", "fragments", "families", "reports", "omissions")
 
 
+def _edits(a: str, b: str) -> int:
+    """Letters to insert, remove or replace to make one word the other."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
 def nearest(typed: str) -> str | None:
-    """The command that was meant, if one is close."""
-    best = max(COMMANDS, key=lambda c: SequenceMatcher(None, typed, c).ratio())
-    return best if SequenceMatcher(None, typed, best).ratio() >= 0.7 else None
+    """The command that was meant, if one is at most two edits away."""
+    distance, best = min((_edits(typed, c), c) for c in COMMANDS)
+    return best if distance <= 2 else None
 
 
 def parser() -> argparse.ArgumentParser:
@@ -61,7 +70,7 @@ def run(args: argparse.Namespace, spark, out=print) -> int:
     if args.command in ("verify", "pre-commit"):
         d = s.verify(args.release)
         say(d, f"{d['verdict']}  {d['confirmed']} of {d['expected']} sites of {d['release_id']}")
-        return 0 if d["verdict"] == "INTACT" else 1
+        return EXIT_CODES[d["verdict"]]
     if args.command == "scan":
         report = s.scan(args.candidate, args.release, save=args.save)
         say(report, report_text(report, args.limit))

@@ -122,10 +122,21 @@ def escaped(value: Column) -> Column:
     return out
 
 
+def literal_value(token: Column, kind: Column) -> Column:
+    """``<n:value>`` or ``<s:text>`` of a literal; null for one without a plain value, which keeps its spelling.
+
+    A number is a decimal or hexadecimal integer of up to 18 or 15 digits, a string has no backslash.
+    """
+    hexed = F.conv(F.substring(token, 3, 15), 16, 10)
+    number = F.when(F.regexp_like(token, F.lit("^(0|[1-9][0-9]{0,17})$")), token).when(F.regexp_like(token, F.lit("^0[xX][0-9a-fA-F]{1,15}$")), hexed)
+    inner = F.when(~F.contains(token, F.lit("\\")), escaped(F.substring(token, F.lit(2), F.length(token) - 2)))
+    return F.when(kind == "number", F.concat(F.lit("<n:"), number, F.lit(">"))).when(kind == "string", F.concat(F.lit("<s:"), inner, F.lit(">")))
+
+
 def canonical_texts(df: DataFrame, key: str, level: int, text: str = "text") -> DataFrame:
     """``key, canonical``: token text at a level.
 
-    1 is exact; at 2 words are numbered by first use; at 3 literals are named by their class as well.
+    1 is exact; at 2 words are numbered by first use; at 3 literals are written by their value as well.
     The exact level is a projection.  The others run over exploded tokens, whose kinds and numbers are
     found once a token in generated code, and are put together again by ``key``, one row each in ``df``.
     """
@@ -134,8 +145,8 @@ def canonical_texts(df: DataFrame, key: str, level: int, text: str = "text") ->
         return own.select(key, F.array_join(F.transform("_tokens", escaped), " ").alias("canonical"))
     t = tokens(df, key, text)
     numbers = renamed_by_first_use(t, key).select(key, "token", "number")
-    literal = F.lit(level == 3) & F.col("kind").isin("number", "string")
-    piece = F.when(F.col("number").isNotNull(), F.concat(F.lit("#l"), F.col("number").cast("string"))).when(literal, F.concat(F.lit("<"), "kind", F.lit(">"))).otherwise(escaped(F.col("token")))
+    value = literal_value(F.col("token"), F.col("kind")) if level == 3 else F.lit(None)
+    piece = F.when(F.col("number").isNotNull(), F.concat(F.lit("#l"), F.col("number").cast("string"))).otherwise(F.coalesce(value, escaped(F.col("token"))))
     pieces = t.join(numbers, [key, "token"], "left").select(key, F.struct("pos", piece.alias("piece")).alias("p"))
     lines = pieces.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), " ").alias("canonical"))
     return df.select(key).join(lines, key, "left").select(key, F.coalesce("canonical", F.lit("")).alias("canonical"))

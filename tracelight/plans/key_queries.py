@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import keys as K
 from tracelight.functions import literals as L
+from tracelight.operators import ranks
 from tracelight.plans.registry import query, table
 
 ROOT = b"\x11" * 32  # a test key: queries may show it in their plans
@@ -245,5 +246,5 @@ def selection_queue(spark, sf_dir):
     df = table(spark, sf_dir, "documents").withColumn("reach", F.col("n_chars") % 5).withColumn("priority", F.md5("text"))
     best = df.groupBy("source").agg(F.min(F.struct("reach", "priority")).alias("best"))
     places = best.withColumn("file_place", F.dense_rank().over(W.orderBy("best", "source"))).select("source", "file_place")  # one row a file
-    queue = W.partitionBy("source").orderBy("reach", "priority", "doc_id")
-    return df.join(F.broadcast(places), "source").select("source", "doc_id", F.row_number().over(queue).alias("place"), "file_place")
+    queued = ranks.rank_in_group(df.select("source", "doc_id", "reach", "priority"), ["source"], F.struct("reach", F.substring("priority", 1, 2)), ["reach", "priority", "doc_id"], "place")
+    return queued.join(places, "source").select("source", "doc_id", F.col("place").cast("int").alias("place"), "file_place")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelight.operators import grade as G
+from tracelight.operators import ranks
 from tracelight.plans.registry import query, table
 from tracelight.plans.scan_queries import _HISTORY_SQL, _STATUS_SQL, _TALLY_SQL, _history, found, sites, statuses
 from tracelight.operators import detect as D
@@ -21,11 +22,13 @@ def fingerprint_check(spark, sf_dir):
     return own.join(declared, "source", "left").select("source", word.alias("fingerprint"))
 
 
-@query("SELECT source, doc_id, r::INT AS place, r <= greatest(1, ceil(48.0 / 20))::INT AS within_share FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) AS r FROM documents)")
+@query("SELECT source, doc_id, r::INT AS place, r <= greatest(1, ceil(48.0 / (SELECT count(DISTINCT source) FROM documents)))::INT AS within_share FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id) AS r FROM documents)")
 def share_ladder_rank(spark, sf_dir):
-    """A file's even share of 48 sites over 20 files bounds the greedy choice from above."""
-    r = F.row_number().over(W.partitionBy("source").orderBy(F.md5("text"), "doc_id"))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", r.alias("place")).withColumn("within_share", F.col("place") <= 3)
+    """A file's even share of 48 sites over the files bounds the greedy choice from above."""
+    df = table(spark, sf_dir, "documents").select("source", "doc_id", F.md5("text").alias("priority"))
+    share = df.agg(F.greatest(F.lit(1), F.ceil(48 / F.count_distinct("source"))).alias("share"))  # one row
+    placed = ranks.rank_in_group(df, ["source"], F.substring("priority", 1, 2), ["priority", "doc_id"], "place")
+    return placed.crossJoin(F.broadcast(share)).select("source", "doc_id", F.col("place").cast("int").alias("place"), (F.col("place") <= F.col("share")).alias("within_share"))
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS same FROM conversations) WHERE same")
@@ -35,19 +38,20 @@ def adjacent_duplicates(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("same", same).where("same").select("conv_id", "turn")
 
 
-@query("SELECT page_id, array_to_string(list_reverse(list_slice(list_reverse(string_split(url, '/')), 1, 3)), '/') AS tail FROM pages")
+@query("SELECT page_id, array_to_string(list_reverse(list_slice(list_reverse(string_split(url, '/')), 1, 5)), '/') AS tail FROM pages")
 def last_segments(spark, sf_dir):
-    """The last segments of a path."""
+    """The last five segments of a path."""
     parts = F.split("url", "/")
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(3)), F.lit(3)), "/").alias("tail"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(5)), F.lit(5)), "/").alias("tail"))
 
 
-@query("SELECT o_orderkey, array_to_string(list_concat(list_slice(f, s + 1, 4), list_slice(f, 1, s)), ',') AS families FROM (SELECT o_orderkey, ['add', 'sub', 'mul', 'radix'] AS f, (o_custkey % 4)::INT AS s FROM orders)")
+@query("SELECT o_orderkey, array_to_string(turned, ',') AS families, list_filter(turned, lambda f: CASE f WHEN 'add' THEN o_orderkey > 16 WHEN 'sub' THEN o_custkey % 3 > 0 WHEN 'mul' THEN o_orderkey % 2 = 0 ELSE o_orderkey >= 1000 END)[1] AS taken FROM (SELECT o_orderkey, o_custkey, list_concat(list_slice(f, s + 1, 4), list_slice(f, 1, s)) AS turned FROM (SELECT o_orderkey, o_custkey, ['add', 'sub', 'mul', 'radix'] AS f, (o_custkey % 4)::INT AS s FROM orders))")
 def family_rotation(spark, sf_dir):
-    """Families tried from a keyed start."""
+    """Families tried from a keyed start, and the first that will do."""
     f, s = F.array(*[F.lit(x) for x in ("add", "sub", "mul", "radix")]), (F.col("o_custkey") % 4).cast("int")
-    turned = F.concat(F.slice(f, s + 1, F.lit(4)), F.slice(f, F.lit(1), s))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(turned, ",").alias("families"))
+    fits = F.array_compact(F.array(F.when(F.col("o_orderkey") > 16, "add"), F.when(F.col("o_custkey") % 3 > 0, "sub"), F.when(F.col("o_orderkey") % 2 == 0, "mul"), F.when(F.col("o_orderkey") >= 1000, "radix")))
+    df = table(spark, sf_dir, "orders").withColumn("turned", F.concat(F.slice(f, s + 1, F.lit(4)), F.slice(f, F.lit(1), s))).withColumn("fits", fits)
+    return df.select("o_orderkey", F.array_join("turned", ",").alias("families"), F.get(F.filter("turned", lambda x: F.array_contains(F.col("fits"), x)), F.lit(0)).alias("taken"))
 
 
 @query("SELECT avg(n) AS mean, round(var_samp(n) / avg(n), 9) AS dispersion, max(n)::BIGINT AS most FROM (SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY 1)")
@@ -93,14 +97,6 @@ def site_evidence(spark, sf_dir):
     return items.withColumn("asserts", F.col("kind") != "site-elsewhere")
 
 
-@query("SELECT o_orderstatus AS status, CASE o_orderstatus WHEN 'F' THEN 10 WHEN 'O' THEN 1 ELSE 0 END AS code, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2")
-def exit_codes(spark, sf_dir):
-    """A dimension of words and codes; unknown words fall to 0."""
-    codes = spark.createDataFrame([("F", 10), ("O", 1)], "status string, code int")
-    n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(F.broadcast(codes), "status", "left").select("status", F.coalesce("code", F.lit(0)).alias("code"), "n")
-
-
 @query("SELECT doc_id, total - 24 AS omitted FROM (SELECT doc_id, count(*) OVER () AS total FROM documents ORDER BY doc_id LIMIT 24)")
 def head_with_omitted(spark, sf_dir):
     """The first rows of a listing, and how many are left out."""
@@ -117,20 +113,11 @@ def registry_search(spark, sf_dir):
     return h.crossJoin(F.broadcast(mean)).where("release_id like '%-0_' or sites > mean").select("release_id", "sites")
 
 
-@query("SELECT source, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS chars FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 3 < 1 GROUP BY source")
+@query("WITH placed AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents), picked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i) AS k FROM placed WHERE i % 3 < 2) SELECT source, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS chars FROM picked WHERE k <= greatest(ceil(n * 2 / 3.0), 1) GROUP BY source")
 def tree_fraction(spark, sf_dir):
-    """X28, whose result is a third of each tree by place: here its size."""
-    i = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    third = table(spark, sf_dir, "documents").select("source", "n_chars", i.alias("i")).where("i % 3 < 1")
-    return third.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
-
-
-@query("SELECT item_id, (item_id % 16)::INT AS expected FROM benchmark WHERE contains(text, 'the')")
-def sites_of_an_address(spark, sf_dir):
-    """Sites that one key addresses, and the codes they expect."""
-    words = D.word_list(F.col("text"))
-    own = sites(spark, sf_dir).withColumn("_w", words)
-    return own.where(F.contains("text", F.lit("the"))).select(F.col("site").alias("item_id"), "expected")
+    """X28, whose result is two thirds of each tree by place, rounded up and one at least: here its size."""
+    picked = ranks.fraction(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], F.expr("doc_id div 4096"), ["doc_id"], 2, 3)
+    return picked.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
 
 
 @query("SELECT c_custkey, CASE WHEN s.s_nationkey IS NULL THEN 'unknown' WHEN s.pin = c.pin THEN 'pinned' ELSE 'differs' END AS pin FROM (SELECT c_custkey, c_nationkey, c_custkey % 3 AS pin FROM customer) c LEFT JOIN (SELECT s_nationkey, min(s_suppkey) % 3 AS pin FROM supplier GROUP BY 1) s ON s.s_nationkey = c.c_nationkey")
@@ -163,23 +150,6 @@ def scan_totals(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.col("n_chars") > 20000).alias("unexamined"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
 
 
-@query(f"WITH {_STATUS_SQL} SELECT release_id, count(*) FILTER (WHERE rank = 0)::BIGINT AS lost, count(*)::BIGINT AS target, count_if(rank > 0)::BIGINT AS placed FROM status GROUP BY 1")
-def shortfall(spark, sf_dir):
-    """X11."""
-    return statuses(spark, sf_dir).groupBy("release_id").agg(F.count_if(F.col("rank") == 0).alias("lost"), F.count(F.lit(1)).alias("target"), F.count_if(F.col("rank") > 0).alias("placed"))
-
-
-@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 2 = 0 THEN 'statement' END, CASE WHEN p_size % 3 = 0 THEN 'scope' END], lambda x: x IS NOT NULL), '+') AS drifted FROM part WHERE p_size % 2 = 0 OR p_size % 3 = 0")
-def drifted_keys(spark, sf_dir):
-    """Which of two lists differ, place by place."""
-    old = F.array(F.lit(0), F.lit(0))
-    new = F.array(F.when(F.col("p_size") % 2 == 0, 1).otherwise(0), F.when(F.col("p_size") % 3 == 0, 1).otherwise(0))
-    names = F.array(F.lit("statement"), F.lit("scope"))
-    differ = F.filter(F.arrays_zip(names.alias("n"), old.alias("a"), new.alias("b")), lambda x: x["a"] != x["b"])
-    df = table(spark, sf_dir, "part").select("p_partkey", F.transform(differ, lambda x: x["n"]).alias("d")).where(F.size("d") > 0)
-    return df.select("p_partkey", F.array_join("d", "+").alias("drifted"))
-
-
 @query("SELECT role, CASE WHEN length(text) > 76 THEN 'long' ELSE 'short' END AS class, count(*)::BIGINT AS n, grouping(role, CASE WHEN length(text) > 76 THEN 'long' ELSE 'short' END)::BIGINT AS level FROM conversations GROUP BY GROUPING SETS ((role), (CASE WHEN length(text) > 76 THEN 'long' ELSE 'short' END), ())")
 def summary_sets(spark, sf_dir):
     """Counts of a summary by several groupings at once."""
@@ -193,15 +163,6 @@ def finding_flags(spark, sf_dir):
     return D.release_tally(statuses(spark, sf_dir)).select("release_id", ((F.col("fragments") == F.col("sites")) & (F.col("files") > 1)).alias("full"), (F.col("fragments") > 0).alias("lead"))
 
 
-@query("SELECT site, slots FROM (SELECT item_id AS site, array_to_string(list_sort(list_distinct([item_id % 4, item_id % 3, item_id % 2])), '') AS slots FROM benchmark) WHERE NOT contains(slots, '3')")
-def refactored_sites(spark, sf_dir):
-    """Sites met by abstract slots alone."""
-    k = F.col("site")
-    slots = F.array_sort(F.array_distinct(F.array(k % 4, k % 3, k % 2)))
-    df = sites(spark, sf_dir).select("site", slots.alias("s")).where(~F.exists("s", lambda x: x == 3))
-    return df.select("site", F.array_join(F.transform("s", lambda x: x.cast("string")), "").alias("slots"))
-
-
 @query("SELECT b.item_id AS site, count(DISTINCT d.doc_id % 16)::BIGINT AS codes FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def distinct_codes(spark, sf_dir):
     """A11, over word-for-word observations."""

@@ -76,9 +76,9 @@ def line_canonical_digest(spark, sf_dir):
     return X.canonical_texts(table(spark, sf_dir, "documents"), "doc_id", 1).select("doc_id", F.md5("canonical").alias("digest"))
 
 
-@query(f"WITH {_TOKENS_SQL}, u AS (SELECT id, token, min(pos) AS first FROM kinds WHERE kind = 'word' GROUP BY id, token), r AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS number FROM u) SELECT k.id::BIGINT AS id, md5(string_agg(CASE k.kind WHEN 'word' THEN '#l' || r.number WHEN 'number' THEN '<number>' WHEN 'string' THEN '<string>' ELSE replace(replace(replace(replace(k.token, chr(92), chr(92) || chr(92)), ' ', '_'), '<', chr(92) || '<'), '>', chr(92) || '>') END, ' ' ORDER BY k.pos)) AS digest FROM kinds k LEFT JOIN r ON r.id = k.id AND r.token = k.token GROUP BY k.id")
+@query(f"WITH {_TOKENS_SQL}, u AS (SELECT id, token, min(pos) AS first FROM kinds WHERE kind = 'word' GROUP BY id, token), r AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS number FROM u) SELECT k.id::BIGINT AS id, md5(string_agg(CASE WHEN k.kind = 'word' THEN '#l' || r.number WHEN k.kind = 'number' AND regexp_full_match(k.token, '0|[1-9][0-9]{{0,17}}') THEN '<n:' || k.token || '>' WHEN k.kind = 'number' AND regexp_full_match(k.token, '0[xX][0-9a-fA-F]{{1,15}}') THEN '<n:' || try_cast(lower(k.token) AS BIGINT) || '>' WHEN k.kind = 'string' AND NOT contains(k.token, chr(92)) THEN '<s:' || replace(replace(replace(replace(substr(k.token, 2, length(k.token) - 2), chr(92), chr(92) || chr(92)), ' ', '_'), '<', chr(92) || '<'), '>', chr(92) || '>') || '>' ELSE replace(replace(replace(replace(k.token, chr(92), chr(92) || chr(92)), ' ', '_'), '<', chr(92) || '<'), '>', chr(92) || '>') END, ' ' ORDER BY k.pos)) AS digest FROM kinds k LEFT JOIN r ON r.id = k.id AND r.token = k.token GROUP BY k.id")
 def abstract_canonical_digest(spark, sf_dir):
-    """F60 at level 3: words by first use, literals by class."""
+    """F60, F66 at level 3: words by first use, literals by value."""
     df = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat("text", F.lit(_EXTRA)).alias("text"))
     return X.canonical_texts(df, "id", 3).select("id", F.md5("canonical").alias("digest"))
 
@@ -350,15 +350,6 @@ def store_inventory(spark, sf_dir):
     return row(s, "private", "manifest-", "s_suppkey").unionByName(row(s, "public", "record-", "s_suppkey")).unionByName(row(n, "public", "report-", "n_name"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_acctbal <= 1000 THEN 'no-manifest' WHEN s_nationkey % 3 = 0 THEN 'digest-differs' ELSE 'agrees' END AS state FROM supplier")
-def manifest_agreement(spark, sf_dir):
-    """Records, and the manifests that some of them have."""
-    records = table(spark, sf_dir, "supplier").select("s_suppkey", F.sha2("s_name", 256).alias("digest"))
-    manifests = table(spark, sf_dir, "supplier").where("s_acctbal > 1000").select("s_suppkey", F.sha2(F.when(F.col("s_nationkey") % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name")), 256).alias("told"))
-    state = F.when(F.col("told").isNull(), "no-manifest").when(F.col("told") != F.col("digest"), "digest-differs").otherwise("agrees")
-    return records.join(manifests, "s_suppkey", "left").select("s_suppkey", state.alias("state"))
-
-
 @query("SELECT o_orderpriority AS class, NULL AS family, count(*)::BIGINT AS n FROM orders GROUP BY 1 UNION ALL SELECT NULL, o_orderstatus, count(*)::BIGINT FROM orders GROUP BY 2")
 def planned_site_tallies(spark, sf_dir):
     """Two tallies in one pass, by grouping sets."""
@@ -393,11 +384,3 @@ def ordered_fold(spark, sf_dir):
     """An ordered fold over a group."""
     roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda r: r["role"]), ">")
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), roles.alias("roles"), F.min_by("text", "turn").alias("opening"))
-
-
-@query("SELECT o_orderkey, list_filter([CASE WHEN o_custkey % 2 = 0 THEN 'a' END, CASE WHEN o_custkey % 3 = 0 THEN 'b' END, CASE WHEN o_custkey % 5 = 0 THEN 'c' END], lambda x: x IS NOT NULL)[1 + 0] AS first, len(list_filter([CASE WHEN o_custkey % 2 = 0 THEN 'a' END, CASE WHEN o_custkey % 3 = 0 THEN 'b' END, CASE WHEN o_custkey % 5 = 0 THEN 'c' END], lambda x: x IS NOT NULL))::INT AS n FROM orders")
-def violations(spark, sf_dir):
-    """Broken rules of a row, as a list."""
-    k = F.col("o_custkey")
-    broken = F.array_compact(F.array(F.when(k % 2 == 0, F.lit("a")), F.when(k % 3 == 0, F.lit("b")), F.when(k % 5 == 0, F.lit("c"))))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.try_element_at(broken, F.lit(1)).alias("first"), F.size(broken).alias("n"))

@@ -16,6 +16,7 @@ from tracelight.functions.signing import public_key
 from tracelight.operators import detect as D
 from tracelight.operators import embed as E
 from tracelight.operators import grade as G
+from tracelight.operators import rules
 from tracelight.plans.text_queries import DEFAULT_EXCLUDES, EXTENSIONS
 from tracelight.sources.archives import Limits, open_input, walk
 from tracelight.sources.documents import Config, DocumentError, Store, canonical_json, is_signed, signed
@@ -210,8 +211,7 @@ class Session:
             df = spark.createDataFrame(rows, "release_id string, site int, file string, line int, class string, family string")
             return df if name == "fragments" else df.groupBy("release_id", "class", "family").count()
         if name == "reports":
-            rows = [(n, r["outcome"], r["level"], len(r["evidence"])) for n in self.store.reports() for r in [self.store.report(n)]]
-            return spark.createDataFrame(rows, "name string, outcome string, level string, evidence int")
+            return spark.createDataFrame([(n, *self._told(n)) for n in self.store.reports()], "name string, outcome string, level string, evidence int, fault string")
         if name == "identity":
             keys = self._keys()
             return spark.createDataFrame([(keys["project"], base64.b64encode(public_key(keys["seed"])).decode())], "project_id string, verify_key string")
@@ -222,6 +222,14 @@ class Session:
             return self.files(self.store.root)[1]
         raise DocumentError(f"no view {name}")
 
+    def _told(self, name: str) -> tuple:
+        """Outcome, level and evidence of a saved report; of one that cannot be read, what is wrong with it."""
+        try:
+            r = self.store.report(name)
+            return r["outcome"], r["level"], len(r["evidence"]), None
+        except (ValueError, KeyError, TypeError, OSError) as e:
+            return None, None, None, f"{type(e).__name__}: {e}"
+
     def compliance(self, report: dict) -> dict:
         """How completely the strongest release of a report is covered."""
         lead = report["releases"][0] if report["releases"] else {"sites": 0, "fragments": 0}
@@ -251,4 +259,4 @@ def report_text(report: dict, most: int = 24) -> str:
     return "\n".join(lines)
 
 
-EXIT_CODES = {"PROVENANCE_DETECTED": 10, "INCONCLUSIVE": 1, "NO_PROVENANCE_DETECTED": 0}
+EXIT_CODES = {k: v for k, v in rules.EXIT_CODES.items() if k.isupper()}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelight.functions import text as T
+from tracelight.operators import ranks
 from tracelight.plans.registry import FILES_SQL, files, query, table
 
 # The patterns of paths that are left out by default, store folder apart.
@@ -225,9 +225,9 @@ def limit_clamp(spark, sf_dir):
 @query("SELECT source, doc_id, total::BIGINT AS total, total > 100000 AS over FROM (SELECT source, doc_id, sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id) AS total FROM documents)")
 def budget_running_total(spark, sf_dir):
     """Bytes read so far in each source, and whether the budget is gone."""
-    w = W.partitionBy("source").orderBy("doc_id")
-    df = table(spark, sf_dir, "documents").select("source", "doc_id", F.sum(F.octet_length("text")).over(w).alias("total"))
-    return df.withColumn("over", F.col("total") > 100_000)
+    df = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    df = ranks.running_sum(df, ["source"], F.expr("doc_id div 4096"), ["doc_id"], F.col("bytes"), "total")
+    return df.select("source", "doc_id", "total", (F.col("total") > 100_000).alias("over"))
 
 
 @query("SELECT o_orderkey, (o_custkey + 1)::BIGINT AS packed, (o_orderkey * 37)::BIGINT AS plain, (o_orderkey * 37) // (o_custkey + 1) > 200 AS bomb FROM orders")

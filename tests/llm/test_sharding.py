@@ -2,7 +2,7 @@ import random
 import zlib
 from collections import Counter
 
-from tracelight.llm.sharding import label_propagation_shards, placement
+from tracelight.llm.sharding import label_propagation_shards, placement, propagate, quotas
 
 SCHEMA = "doc_id long, text string, shard int, slot string"
 
@@ -78,3 +78,64 @@ def test_placement_uses_every_room():
     # first fit puts both of 4 together and leaves one of 3 over; an exchange of 4 and 3 makes its room
     inside, split, free = placement({4: 2, 3: 4}, [10, 10])
     assert not split and free == [0, 0] and inside == [{4: 1, 3: 2}] * 2
+
+
+def cuts(found, room):
+    return sum(m <= max(room) for m, _ in found[1])
+
+
+def test_even_quotas():
+    rng = random.Random(6)
+    for _ in range(300):
+        sizes = dict(Counter(rng.choice([2, 2, 3, 5, 9, 60]) for _ in range(rng.randint(1, 120))))
+        total = sum(m * n for m, n in sizes.items()) + rng.choice([0, 1, 50])
+        room = [total // 7 + (s < total % 7) for s in range(7)]
+        even, found = placement(sizes, room, True), quotas(sizes, room)
+        assert cuts(found, room) <= min(cuts(even, room), cuts(placement(sizes, room), room))
+        inside, split, free = even
+        seen, used = sum(inside, Counter()), [sum(m * n for m, n in x.items()) for x in inside]
+        seen.update(m for m, _ in split)
+        for _, pieces in split:
+            for s, n in pieces:
+                used[s] += n
+        assert {m: n for m, n in seen.items() if n} == sizes and [u + f for u, f in zip(used, free)] == room
+    # nothing is tight: every shard takes its part
+    assert [x[2] for x in placement({2: 70}, [100] * 7, True)[0]] == [10] * 7
+
+
+def test_rounds_move_groups_to_their_neighbours(spark):
+    rng = random.Random(8)
+    cells, members = {}, {}
+    for g in range(400):
+        members[g] = rng.choice([2, 3, 8, 20])
+        for _ in range(members[g]):
+            key = (g, rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 6]))  # everybody wants shard 0
+            cells[key] = cells.get(key, 0) + 1
+    inside = [Counter({2: 3, 3: 3, 8: 3, 20: 3}) for _ in range(7)]
+    before = [Counter(x) for x in inside]
+    frame = spark.createDataFrame([(g, s, n) for (g, s), n in cells.items()], "g long, shard int, n long").checkpoint()
+    groups = spark.createDataFrame(list(members.items()), "g long, members long").checkpoint()
+    moved, rest = propagate(frame, groups, inside)
+    moved = {r.g: r.shard for r in moved.collect()}
+    rest = {r.g for r in rest.collect()}
+    assert moved.keys() | rest == members.keys() and not moved.keys() & rest
+    taken = Counter((s, members[g]) for g, s in moved.items())
+    for s in range(7):
+        for m in (2, 3, 8, 20):
+            assert before[s][m] - taken[s, m] == inside[s][m] >= 0
+    # a group moves to neighbours; one that stays behind has none where there is room
+    assert all((g, s) in cells for g, s in moved.items())
+    assert not any(inside[s][members[g]] for g, s in cells if g in rest)
+    # those with the most neighbours in the shard that everybody wants are granted it
+    wanted = [g for g in members if all(cells.get((g, 0), 0) > cells.get((g, s), 0) for s in range(1, 7))]
+    for m in (2, 3, 8, 20):
+        level = {g: cells[g, 0].bit_length() for g in wanted if members[g] == m}
+        granted = [cells[g, 0].bit_length() for g, s in moved.items() if s == 0 and members[g] == m]
+        assert min(granted) >= max(x for g, x in level.items() if moved.get(g) != 0)
+
+
+def test_rounds_without_quotas(spark):
+    frame = spark.createDataFrame([(1, 0, 1), (1, 1, 1)], "g long, shard int, n long").checkpoint()
+    groups = spark.createDataFrame([(1, 2)], "g long, members long").checkpoint()
+    moved, rest = propagate(frame, groups, [Counter(), Counter()])
+    assert moved.count() == 0 and rest.count() == 1

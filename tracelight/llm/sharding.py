@@ -3,20 +3,24 @@
 Law ``rows``: shard sizes are at most one row apart.  Documents whose text occurs once have no links
 and fill whatever space the linked ones leave, so only linked documents are placed by their links.
 
-Equal texts are all linked with one another, so a label reaches its whole group in one step and groups
-do not reach each other: what is left to settle is which groups the quota of a shard grants.  That
-only depends on how many groups of each size there are, and the driver settles it from these counts
-(``placement``):
-
-1. size by size, the largest first, groups go whole into the first shards with room; a group larger
-   than any room fills whole shards and its rest counts as a group of that size;
-2. groups that then fit nowhere are tried again, after an exchange of a group of one shard with a
-   smaller one of another (or with its free room) that makes the room, until a pass gains nothing;
-3. what still fits nowhere is cut over the largest rooms.  The room left is then less than the size of
-   each of these groups, so at most ``shards - 1`` groups are cut besides those larger than a shard.
-
-No task holds a group: members of a cut group are numbered in buckets.  The driver holds a number for
-each size of group, of which n rows have less than the root of 2n, and each shard that it goes to.  A
+Equal texts are all linked with one another.  Documents start in shards by their hash; a *cell* is what
+a group has in one of them.
+
+1. The driver settles the quotas from the number of groups of each size: how many groups of each size
+   every shard may take whole (``placement``).  They are spread over the shards by their room, or dealt
+   first fit where that cuts fewer groups.  Groups that fit nowhere are tried again after an exchange of
+   a group of one shard with a smaller one of another (or with its free room); what still fits nowhere is
+   cut over the largest rooms, so at most ``shards - 1`` groups are cut besides those larger than a shard.
+2. In each round a group asks to move to the shard that holds most of its neighbours among those whose
+   quota for its size is not used up.  Quotas are granted by gain, the most neighbours there first;
+   the documents of a granted group all move.
+3. Rounds end when no group can ask.  A group only asks a shard in vain that is then full for its size,
+   so that is after ``shards`` rounds at most.  Groups without neighbours in a shard with room, and
+   those that are to be cut, are numbered by size and fill the quotas that are left.
+
+No task holds a group: cells are counts, and members of a cut group are numbered in buckets.  The driver
+holds a number for each size of group, of which n rows have less than the root of 2n, and each shard
+that it goes to, and for each power of two of neighbours.  A
 null text is empty with size 16; repeated rows are placed one by one; an empty table gives no rows;
 further columns are not read.
 """
@@ -25,6 +29,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +63,12 @@ def _make_room(size: int, free: list[int], inside: list[Counter]) -> int | None:
     return None
 
 
-def placement(sizes: dict[int, int], room: list[int]) -> tuple[list[Counter], list[tuple[int, list[tuple[int, int]]]], list[int]]:
+def placement(sizes: dict[int, int], room: list[int], even: bool = False) -> tuple[list[Counter], list[tuple[int, list[tuple[int, int]]]], list[int]]:
     """Where groups go of which there are ``sizes[m]`` of size m; they fit into ``room`` together.
 
     Gives for each shard how many whole groups of each size it takes, then the groups that are cut, each
-    with its size and (shard, rows), and the room that is left.
+    with its size and (shard, rows), and the room that is left.  ``even`` spreads the groups of a size over
+    all shards by their room instead of filling one shard after the other.
     """
     free, inside = list(room), [Counter() for _ in room]
     split: list[tuple[int, list[tuple[int, int]]]] = []
@@ -91,8 +98,14 @@ def placement(sizes: dict[int, int], room: list[int]) -> tuple[list[Counter], li
             else:
                 late.append((m, pieces))
         n = sizes.get(m, 0) if m <= max(room) else 0
-        for s in range(len(free)):
-            k = min(n, free[s] // m)
+        fits = [f // m for f in free]
+        if even and n < sum(fits):
+            take = [n * k // sum(fits) for k in fits]
+            for s in sorted((s for s in range(len(free)) if fits[s]), key=lambda s: -free[s])[: n - sum(take)]:
+                take[s] += 1
+        else:
+            take = [min(k, max(0, n - before)) for k, before in zip(fits, accumulate(fits, initial=0))]
+        for s, k in enumerate(take):
             if k:
                 inside[s][m] += k
                 free[s] -= k * m
@@ -126,6 +139,59 @@ def placement(sizes: dict[int, int], room: list[int]) -> tuple[list[Counter], li
     return inside, split, free
 
 
+def quotas(sizes: dict[int, int], room: list[int]) -> tuple[list[Counter], list[tuple[int, list[tuple[int, int]]]], list[int]]:
+    """The even ``placement``, or the one by first fit where that cuts fewer groups."""
+    even = placement(sizes, room, True)
+    if all(m > max(room) for m, _ in even[1]):
+        return even
+    return min(even, placement(sizes, room), key=lambda p: len(p[1]))
+
+
+def _granted(asked: list, inside: list[Counter]) -> list[tuple[int, int, int, int, bool]]:
+    """Grants ``(members, shard, level, groups, all of them)`` for the sums that were asked; quotas go down."""
+    out = []
+    for r in sorted(asked, key=lambda r: -r["level"]):
+        k = min(r["n"], inside[r["shard"]][r["members"]])
+        if k:
+            inside[r["shard"]][r["members"]] -= k
+            out.append((r["members"], r["shard"], r["level"], k, k == r["n"]))
+    return out
+
+
+def propagate(cells: DataFrame, groups: DataFrame, inside: list[Counter]) -> tuple[DataFrame, DataFrame]:
+    """Rounds of moves towards neighbours: ``(g, shard)`` of groups that moved, and the groups that did not.
+
+    ``cells`` has ``g, shard, n``, ``groups`` has ``g, members``; both are materialised.  ``inside`` says how
+    many groups of each size a shard may take and is lowered by what is granted.
+    """
+    spark = cells.sparkSession
+    cells = cut(cells.join(groups, "g"))
+    moved: list[DataFrame] = []
+    while True:
+        quota = [(m, s) for s, x in enumerate(inside) for m, n in x.items() if n]
+        quota = F.broadcast(spark.createDataFrame(quota, "members long, shard int"))  # sizes x shards at most
+        asked = cells.join(quota, ["members", "shard"]).groupBy("g", "members").agg(
+            F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("shard"), F.max("n").alias("there")
+        )
+        asked = cut(asked.select("g", "members", "shard", F.floor(F.log2("there")).cast("int").alias("level")))
+        keys = ["members", "shard", "level"]
+        grants = _granted(asked.groupBy(keys).agg(F.count(F.lit(1)).alias("n")).collect(), inside)  # sizes x shards x powers of two
+        if not grants:
+            break
+        table = F.broadcast(spark.createDataFrame(grants, "members long, shard int, level int, _granted long, _all boolean"))
+        taken = asked.join(table, keys)
+        whole = taken.where("_all").select("g", "shard")
+        if not all(g[-1] for g in grants):
+            some = cut(taken.where("not _all").select("g", *keys, "_granted"))
+            whole = whole.unionByName(gapless_rank(some, keys, F.col("g"), BUCKETS, "_r").where("_r < _granted").select("g", "shard"))
+        moved.append(cut(whole))
+        cells = cut(cells.join(moved[-1].select("g"), "g", "left_anti"))
+    if not moved:
+        return spark.createDataFrame([], "g long, shard int"), groups
+    settled = reduce(DataFrame.unionByName, moved)
+    return settled, cut(groups.join(settled.select("g"), "g", "left_anti"))
+
+
 def label_propagation_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for each row of ``docs``."""
     text = F.col("text")
@@ -138,12 +204,17 @@ def label_propagation_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame
     skinny = cut(skinny)
     total = skinny.count()
     room = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = cut(skinny.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    own = F.xxhash64("_h", "_k")
+    cells = cut(skinny.groupBy("g", F.pmod(own, F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n")))
+    groups = cut(cells.groupBy("g").agg(F.sum("n").alias("members")).where("members > 1"))
     spark = docs.sparkSession
     sizes = {r["members"]: r["n"] for r in groups.groupBy("members").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each size
-    inside, split, free = placement(sizes, room)
-    own = F.xxhash64("_h", "_k")
-    # groups of a size are numbered; shards take them from 0 on, and those that are cut come last
+    inside, split, free = quotas(sizes, room)
+    quota = reduce(Counter.__add__, inside)
+    moved, groups = propagate(cells, groups, inside)
+    remaining = reduce(Counter.__add__, inside)
+    sizes = {m: n - quota[m] + remaining[m] for m, n in sizes.items()}
+    # the other groups of a size are numbered; shards take them from 0 on, and those that are cut come last
     bounds: dict[int, tuple[list[int], list[int]]] = {m: ([], []) for m in sizes}
     for s in range(shards):
         for m, n in inside[s].items():
@@ -167,7 +238,8 @@ def label_propagation_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame
         .withColumn("_place", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
         .select("g", F.when(F.col("_cut_ends").isNull(), F.get("_places", F.col("_place"))).alias("shard"), "_cut_ends", "_cut_places")
     )
-    dealt = cut(skinny.join(placed.select("g", "shard", F.lit(True).alias("_linked")), "g", "left"))
+    linked = placed.select("g", "shard").unionByName(moved).withColumn("_linked", F.lit(True))
+    dealt = cut(skinny.join(linked, "g", "left"))
     together = dealt.where("shard is not null").drop("_linked")
     parts = dealt.where("_linked and shard is null").drop("_linked", "shard")
     single = dealt.where("_linked is null").drop("_linked", "shard")

@@ -1,9 +1,12 @@
 import re
 from collections import Counter
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from tracelight.llm.common import table
-from tracelight.llm.packing import encoder, piece_lengths
+from tracelight.llm.packing import piece_lengths
 
 
 def test_stages(spark, sf_dir):
@@ -34,8 +37,9 @@ def test_stages(spark, sf_dir):
                 flags[k : k + 200] = b"\1" * 200
         assert texts[3][i] == bytes(b for b, f in zip(raw, flags) if not f).decode("utf-8", "ignore")
     assert not [t for t in texts[4].values() if re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[a-z]", t)]
-    own, pieces = encoder("byte_bpe_50k.json"), Counter(r.doc_id for r in seen[5].collect())
-    assert pieces == {i: len(piece_lengths(len(own.encode_ordinary(t)) + 1)) for i, t in texts[4].items()}
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = Counter(r.doc_id for r in seen[5].collect())
+    assert pieces == {i: len(piece_lengths(len(own.encode(t, add_special_tokens=False).ids) + 1)) for i, t in texts[4].items()}
 
 
 def test_run(spark, sf_dir):

@@ -27,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PIECE = 64
-#: Rows that one recursive query may come to hold, bytes of words remembered by a worker, documents whose
-#: words are looked up together, and ids that are decoded together.
+#: Rows that one recursive query may come to hold, bytes of words remembered by a worker, bytes of
+#: documents whose words are looked up together (a longer text is taken alone), and ids decoded together.
 QUERY_ROWS = 3_000_000
 KNOWN_BYTES = 1 << 27
-DOCS = 1024
+SLICE_BYTES = 1 << 23
 DECODE_IDS = 2_000_000
 
 # every row of every round: a word's ids are its rows of its last round
@@ -57,7 +58,7 @@ WITH RECURSIVE step(wid, pos, tok, it) AS (
    WHERE prv IS NULL OR prv <> (b & 4294967295)))
 {_TAIL}"""
 
-DECODE = "SELECT wid, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM ids JOIN tokens USING (tok) GROUP BY wid"
+DECODE = "SELECT wid, unhex(array_to_string(list(hex ORDER BY pos), '')) AS bytes FROM ids JOIN tokens USING (tok) GROUP BY wid"
 
 
 @functools.cache
@@ -85,7 +86,7 @@ class Bpe:
         pair = pa.array([(a << 24) | b for a, b, _ in made], pa.int64())
         self.db.register("made", pa.table({"pair": pair, "made": pa.array([r for *_, r in made], pa.int64())}))
         self.db.execute("CREATE TABLE merges AS FROM made")
-        self.db.register("words", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int64()), "hex": [w.hex() for w in self.ranks]}))
+        self.db.register("words", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [w.hex() for w in self.ranks]}))
         self.db.execute("CREATE TABLE tokens AS FROM words")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.token = {i: w for w, i in self.ranks.items()}
@@ -97,12 +98,14 @@ class Bpe:
         pos = np.arange(sizes.sum())  # one line of positions for all words
         self.db.register("start", pa.table({"wid": wid, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]}))
         wid, pos, tok, it = (c.to_numpy() for c in self.db.sql(LEFTMOST).to_arrow_table().columns)
+        rounds = np.argsort(it, kind="stable")
         last = np.zeros(len(words), np.int64)
-        np.maximum.at(last, wid, it)
+        last[wid[rounds]] = it[rounds]  # of several values the last one stays
         final = np.flatnonzero(it == last[wid])
         final = final[np.argsort(pos[final], kind="stable")]  # positions rise from word to word
-        ends = np.cumsum(np.bincount(wid[final], minlength=len(words)))
-        return [x.tolist() for x in np.split(tok[final], ends[:-1])]
+        ends = np.cumsum(np.bincount(wid[final], minlength=len(words))).tolist()
+        ids = tok[final].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def merged(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, in as many queries as keep each in its bounds."""
@@ -182,8 +185,8 @@ class Bpe:
                 n += len(ids[b])
                 b += 1
             sizes = np.array([len(x) for x in ids[a:b]], np.int64)
-            flat = np.concatenate([np.zeros(0, np.int64), *ids[a:b]]).astype(np.int64)
-            self.db.register("ids", pa.table({"wid": np.repeat(np.arange(b - a), sizes), "pos": np.arange(len(flat)), "tok": flat}))
+            flat = np.concatenate([np.zeros(0, np.int64), *ids[a:b]]).astype(np.int32)
+            self.db.register("ids", pa.table({"wid": np.repeat(np.arange(b - a, dtype=np.int32), sizes), "pos": np.arange(len(flat)), "tok": flat}))
             table = self.db.sql(DECODE).to_arrow_table()
             found = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
             out += [found.get(i, b"") for i in range(b - a)]
@@ -223,6 +226,18 @@ class Bpe:
         return [int(i) for i in self.spelled([text])[0].split()]
 
 
+def _slices(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``batch`` in order, whose ``sizes`` add up to ``most`` at most, or one row."""
+    a = n = 0
+    for i, size in enumerate(sizes):
+        if i > a and n + size > most:
+            yield batch.slice(a, i - a)
+            a, n = i, 0
+        n += size
+    if a < len(sizes):
+        yield batch.slice(a)
+
+
 def _numbers(spelled: str) -> np.ndarray:
     return np.fromstring(spelled, np.int64, sep=" ") if spelled else np.zeros(0, np.int64)
 
@@ -237,8 +252,7 @@ def _encode(vocabulary: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared(vocabulary)
         for whole in batches:
-            for a in range(0, len(whole), DOCS):
-                batch = whole.slice(a, DOCS)
+            for batch in _slices(whole, pc.binary_length(whole.column("text")).to_pylist(), SLICE_BYTES):
                 every = own.spelled(batch.column("text").to_pylist())
                 ids = [_numbers(x) for x in every]
                 decoded = own.decode(ids)
@@ -268,8 +282,7 @@ def bpe_decode(df: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared(vocabulary)
         for whole in batches:
-            for a in range(0, len(whole), DOCS):
-                batch = whole.slice(a, DOCS)
+            for batch in _slices(whole, [x or 0 for x in pc.list_value_length(whole.column(1)).to_pylist()], DECODE_IDS):
                 lists = batch.column(1).to_pylist()
                 out = own.decode([np.array(x or [], np.int64) for x in lists])
                 yield pa.record_batch([batch.column(0), pa.array([None if x is None else b for x, b in zip(lists, out)], pa.binary())], [key, "decoded"])

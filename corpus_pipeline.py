@@ -58,17 +58,30 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the folder that the cluster shares, read again."""
+def _write(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """Path of ``df`` written as Parquet in the folder that the cluster shares."""
     cut(spark.range(1))  # sees to it that there is such a folder
     path = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other over ``documents``.
+
+    A table between two stages is deleted once the next one is written; the last of them stays, since the
+    result is read from it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = _written(spark, stage(spark, docs, sf_dir), name)
+        path = _write(spark, stage(spark, docs, sf_dir), name)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            _delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

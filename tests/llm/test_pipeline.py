@@ -1,3 +1,4 @@
+import pathlib
 import re
 from collections import Counter
 
@@ -9,11 +10,15 @@ from tracelight.llm.common import table
 from tracelight.llm.packing import piece_lengths
 
 
+def _stage(spark, name, stage, docs, sf_dir):
+    return spark.read.parquet(corpus_pipeline._write(spark, stage(spark, docs, sf_dir), name))
+
+
 def test_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     columns, seen = docs.columns, [docs]
     for name, stage in corpus_pipeline.STAGES:
-        seen.append(corpus_pipeline._written(spark, stage(spark, seen[-1], sf_dir), name))
+        seen.append(_stage(spark, name, stage, seen[-1], sf_dir))
         if name != "packing":
             assert seen[-1].columns == columns
     texts = [{r.doc_id: r.text for r in d.collect()} for d in seen[:5]]
@@ -43,4 +48,12 @@ def test_stages(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = _stage(spark, name, stage, docs, sf_dir)
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    held = set(folder.glob("pipeline-*"))
+    got = corpus_pipeline.run(spark, sf_dir)
+    key = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert key(got) == key(docs) != []
+    assert [p.name.split("-")[1] for p in set(folder.glob("pipeline-*")) - held] == ["personal_data"]

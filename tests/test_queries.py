@@ -33,6 +33,20 @@ def test_query(spark, sf_dir, oracle, name):
     assert sorted(tuple(spelled(v) for v in r) for r in df.select(*columns).collect()) == rows
 
 
+def test_families_of_large_and_odd_numbers(spark, tmp_path):
+    db = duckdb.connect()
+    large = "SELECT 1 AS o_orderkey, ((1::BIGINT << b) // 5040 - 500 + i) AS o_custkey FROM range(1000) r(i), (VALUES (53), (57), (62)) s(b)"
+    odd = "VALUES (0, 5), (1, 1), (NULL, 3), (3, NULL), (-1, 1), (-7, 3), (1, -143), (9000000, 900000)"
+    db.execute(f"CREATE VIEW orders AS {large} UNION ALL SELECT * FROM ({odd})")
+    db.execute("CREATE VIEW part AS SELECT (1::BIGINT << 40) + i AS p_partkey, CASE WHEN i > 0 THEN i END::INTEGER AS p_size FROM range(50) r(i)")
+    for t in ("orders", "part"):
+        db.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    want = db.execute(catalog.ORACLE_SQL["families_for"]).fetchall()
+    got = catalog.QUERIES["families_for"](spark, str(tmp_path)).select("v", "has_add", "has_mul", "has_radix", "families").collect()
+    assert len({r for r in want if r[0] and r[0] > 2**53 and r[2]}) > 50
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_names_agree():
     assert set(catalog.ORACLE_SQL) == set(catalog.QUERIES) and "scan_report" in catalog.QUERIES
 

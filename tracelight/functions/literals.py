@@ -111,9 +111,8 @@ def hex_letters(value: Column) -> Column:
 def _divisors(value: Column, m: int) -> Column:
     """Operands of products: divisors up to 8m and what they leave, none over half of the value."""
     tried = F.array(*[F.lit(d).cast("long") for d in range(2, 8 * m + 1)])  # a literal, made once
-    small = F.filter(tried, lambda d: value % d == 0)
-    both = F.flatten(F.transform(small, lambda d: F.array(d, ((value - value % d) / d).cast("long"))))
-    return F.filter(both, lambda d: (d >= 2) & (d * 2 <= value))
+    small = F.filter(tried, lambda d: (value % d == 0) & (d < value))  # less than the value: half of it at most
+    return F.flatten(F.transform(small, lambda d: F.array(d, F.call_function("div", value, d))))
 
 
 def supports(value: Column, family: str, width: int, dialect: Dialect = DIALECTS["generic"]) -> Column:
@@ -127,7 +126,7 @@ def supports(value: Column, family: str, width: int, dialect: Dialect = DIALECTS
     if family == "mul":
         # residue 0 needs a divisor that m divides, so only multiples of m are searched
         covered = F.size(F.array_distinct(F.transform(_divisors(value, m), lambda d: d % m))) == m
-        return F.when(exact & (value >= 2) & (value <= 2**53) & (value % m == 0), covered).otherwise(F.lit(False))
+        return F.when(exact & (value >= 2) & (value % m == 0), covered).otherwise(F.lit(False))
     if family == "radix":
         return exact & (hex_letters(value) >= width)
     raise ValueError(f"{family} does not spell numbers")

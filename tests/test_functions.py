@@ -105,6 +105,23 @@ def test_numbers_carry_every_code(spark, width):
         assert all(len(s) == 1 << width for s in whole.values())
 
 
+@pytest.mark.parametrize("width", [2, 3, 4, 5, 6, 7, 8])
+def test_products_equal_a_plain_search(spark, width):
+    m, rng = 1 << width, random.Random(width)
+    whole = math.lcm(*range(1, 41)) // 3  # near 2**50
+    numbers = [0, 1, 2, m, 12, 720720 * m, whole, *(5040 * m * rng.randrange(1, 2**40) for _ in range(60)), *(m * rng.randrange(1, 4000) for _ in range(60))]
+    numbers += [whole // d * k for d in (1, 2, 3, 5) for k in (16, 48, 210, 1001)]
+
+    def covered(v):
+        pairs = [(d, v // d) for d in range(2, 8 * m + 1) if d <= v // 2 and v % d == 0]
+        return len({x % m for p in pairs for x in p if 2 <= x <= v // 2}) == m
+
+    numbers = [v for v in numbers if v < 2**63 - m]
+    got = dict(values(spark, [(v,) for v in numbers], "v long", "v", L.supports(F.col("v"), "mul", width, L.DIALECTS["python"])))
+    assert got == {v: covered(v) for v in numbers}
+    assert width > 6 or any(v > 2**53 for v in got if got[v])
+
+
 def test_strings_carry_every_code(spark):
     texts = ["the quick brown fox jumps over", "ünïcode letters are here too", "short"]
     df = spark.createDataFrame([(t, c, q) for t in texts for c in range(8) for q in "\"'"], "s string, c int, q string")

@@ -38,7 +38,7 @@ def test_families_of_large_and_odd_numbers(spark, tmp_path):
     large = "SELECT 1 AS o_orderkey, ((1::BIGINT << b) // 5040 - 500 + i) AS o_custkey FROM range(1000) r(i), (VALUES (53), (57), (62)) s(b)"
     odd = "VALUES (0, 5), (1, 1), (NULL, 3), (3, NULL), (-1, 1), (-7, 3), (1, -143), (9000000, 900000)"
     db.execute(f"CREATE VIEW orders AS {large} UNION ALL SELECT * FROM ({odd})")
-    db.execute("CREATE VIEW part AS SELECT (1::BIGINT << 40) + i AS p_partkey, CASE WHEN i > 0 THEN i END::INTEGER AS p_size FROM range(50) r(i)")
+    db.execute("CREATE VIEW part AS SELECT (1::BIGINT << 40) + i AS p_partkey, CASE WHEN i > 0 THEN i END::INTEGER AS p_size FROM range(50) r(i) UNION ALL SELECT m // 7919, (m % 7919 - i)::INTEGER FROM range(50) r(i), (SELECT 9223372036854775807 AS m)")
     for t in ("orders", "part"):
         db.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
     want = db.execute(catalog.ORACLE_SQL["families_for"]).fetchall()

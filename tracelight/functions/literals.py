@@ -108,13 +108,26 @@ def hex_letters(value: Column) -> Column:
     return F.length(F.regexp_replace(F.lower(F.hex(value)), "[0-9]", ""))
 
 
+def _tried(m: int) -> Column:
+    return F.array(*[F.lit(d).cast("long") for d in range(2, 8 * m + 1)])  # a literal, made once
+
+
 def _divisors(value: Column, m: int) -> Column:
     """Operands of products: divisors up to 8m and what they leave, none over half of the value."""
-    tried = F.array(*[F.lit(d).cast("long") for d in range(2, 8 * m + 1)])  # a literal, made once
-    small = F.filter(tried, lambda d: (value % d == 0) & (d < value))  # less than the value: half of it at most
+    small = F.filter(_tried(m), lambda d: (value % d == 0) & (d < value))  # less than the value: half of it at most
     return F.flatten(F.transform(small, lambda d: F.array(d, F.call_function("div", value, d))))
 
 
+def _covers(value: Column, m: int) -> Column:
+    """Whether the operands have every residue mod m; up to 64 residues are the bits of one number."""
+    if m > 64:
+        return F.size(F.array_distinct(F.transform(_divisors(value, m), lambda d: d % m))) == m
+    bit = lambda d: F.call_function("shiftleft", F.lit(1).cast("long"), (d % m).cast("int"))
+    both = lambda d: bit(d).bitwiseOR(bit(F.call_function("div", value, d)))
+    seen = F.aggregate(_tried(m), F.lit(0).cast("long"), lambda s, d: F.when((value % d == 0) & (d < value), s.bitwiseOR(both(d))).otherwise(s))
+    return seen == (-1 if m == 64 else (1 << m) - 1)
+
+
 def supports(value: Column, family: str, width: int, dialect: Dialect = DIALECTS["generic"]) -> Column:
     """Whether a number can carry every code of ``width`` bits in a family."""
     m = 1 << width
@@ -122,11 +135,11 @@ def supports(value: Column, family: str, width: int, dialect: Dialect = DIALECTS
     if family == "add":
         return exact & (value > m)
     if family == "sub":
-        return exact & (value <= dialect.max_exact - m)
+        # where a language has no largest number, the sum may pass BIGINT
+        return exact if dialect.max_exact == LARGEST else exact & (value <= dialect.max_exact - m)
     if family == "mul":
         # residue 0 needs a divisor that m divides, so only multiples of m are searched
-        covered = F.size(F.array_distinct(F.transform(_divisors(value, m), lambda d: d % m))) == m
-        return F.when(exact & (value >= 2) & (value % m == 0), covered).otherwise(F.lit(False))
+        return F.when(exact & (value >= 2) & (value % m == 0), _covers(value, m)).otherwise(F.lit(False))
     if family == "radix":
         return exact & (hex_letters(value) >= width)
     raise ValueError(f"{family} does not spell numbers")

@@ -2,6 +2,9 @@ import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from tracelight.llm.common import gapless_rank
 from tracelight.llm.sharding import label_propagation_shards, placement, propagate, quotas
 
 SCHEMA = "doc_id long, text string, shard int, slot string"
@@ -139,3 +142,32 @@ def test_rounds_without_quotas(spark):
     groups = spark.createDataFrame([(1, 2)], "g long, members long").checkpoint()
     moved, rest = propagate(frame, groups, [Counter(), Counter()])
     assert moved.count() == 0 and rest.count() == 1
+
+
+def test_jobs(spark):
+    """A job is paid for by every partition, so their number bounds the time on a small table in many partitions."""
+    docs = spark.createDataFrame(rows(), SCHEMA).repartition(6).checkpoint()
+    sc = spark.sparkContext
+    sc.setJobGroup("op2-jobs", "")
+    try:
+        assert label_propagation_shards(docs).count() == len(rows())
+        jobs = len(sc.statusTracker().getJobIdsForGroup("op2-jobs"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 100
+
+
+def test_linked_rows_are_spread_over_their_shard(spark):
+    docs = [(i, f"text {i}", 1, "x") for i in range(4000)] + [(4000 + i, f"pair {i // 2}", 1, "x") for i in range(4000)]
+    got = label_propagation_shards(spark.createDataFrame(docs, SCHEMA).repartition(6)).collect()
+    early = [r.doc_id >= 4000 for r in got if r.slot < 100]
+    assert 0.35 < sum(early) / len(early) < 0.65
+
+
+def test_numbers_of_repeated_rows(spark):
+    rows = [(1, "same")] * 5000 + [(1, f"row {i}") for i in range(3000)] + [(2, "same")] * 1500 + [(3, "row")]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(7).checkpoint()
+    got = gapless_rank(df, ["k"], F.xxhash64("t"), 16, "n").collect()
+    for k, n in ((1, 8000), (2, 1500), (3, 1)):
+        assert sorted(r.n for r in got if r.k == k) == list(range(n))
+    assert gapless_rank(df.limit(0).checkpoint(), ["k"], F.xxhash64("t"), 16, "n").collect() == []

@@ -155,6 +155,8 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 #: Rows that one task numbers at a time, about.
 RANK_ROWS = 500_000
+#: Rows of a bucket that are never too many, however small its share.
+BUCKET_ROWS = 1_000
 
 
 def gapless_rank(df: DataFrame, by: list[str], spread: Column, buckets: int, name: str) -> DataFrame:
@@ -162,26 +164,36 @@ def gapless_rank(df: DataFrame, by: list[str], spread: Column, buckets: int, nam
 
     Rows are dealt by ``spread`` to ``buckets`` buckets, or more if they would hold over ``RANK_ROWS``
     rows; rows are numbered inside a bucket and shifted by the sizes of the buckets before, so that no
-    task holds all rows of a ``by`` value.  Repeated rows of which there are more than a bucket's share
-    go to all buckets.  ``df`` is used more than once and must be materialised.  The table of sizes has a
+    task holds all rows of a ``by`` value.  Where a bucket comes to hold far more than its share, repeated
+    rows of which there are more than such a share go to all buckets.  ``df`` is used more than once and must be materialised.  The table of sizes has a
     row for each value of ``by`` and bucket.
     """
     from pyspark.sql import Window
 
     rows = df.count()
     buckets = max(buckets, rows // RANK_ROWS)
-    dealt = df.withColumn("_spread", spread)
-    hot = cut(dealt.groupBy("_spread").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(16, rows // buckets)).select("_spread", F.lit(True).alias("_hot")))
-    dealt = dealt.join(F.broadcast(hot), "_spread", "left")  # no more rows than buckets
-    salted = F.when(F.col("_hot"), F.xxhash64("_spread", F.monotonically_increasing_id())).otherwise(F.col("_spread"))
-    dealt = cut(dealt.withColumn("_b", F.pmod(salted, F.lit(buckets)).cast("int")).drop("_spread", "_hot"))
-    sizes = dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = cut(sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s")))
+
+    def shifted(dealt: DataFrame) -> DataFrame:
+        sizes = dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+        return cut(sizes.select(*by, "_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s")))
+
+    dealt = df.withColumn("_b", F.pmod(spread, F.lit(buckets)).cast("int"))
+    shifts = shifted(dealt)
+    count, largest = shifts.agg(F.count(F.lit(1)), F.max("_n")).first()
+    if (largest or 0) > max(BUCKET_ROWS, 4 * (rows // buckets)):
+        dealt = df.withColumn("_spread", spread)
+        hot = cut(dealt.groupBy("_spread").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(16, rows // buckets)).select("_spread", F.lit(True).alias("_hot")))
+        dealt = dealt.join(F.broadcast(hot), "_spread", "left")  # no more rows than buckets
+        salted = F.when(F.col("_hot"), F.xxhash64("_spread", F.monotonically_increasing_id())).otherwise(F.col("_spread"))
+        dealt = cut(dealt.withColumn("_b", F.pmod(salted, F.lit(buckets)).cast("int")).drop("_spread", "_hot"))
+        shifts = shifted(dealt)
+        count = shifts.count()
+    shifts = shifts.drop("_n")
     inside = Window.partitionBy(*by, "_b").orderBy(*[c for c in df.columns if c not in by])
     numbered = dealt.withColumn("_r", F.row_number().over(inside) - 1)
     return (
-        numbered.join(small_side(shifts), [*by, "_b"])
+        numbered.join(F.broadcast(shifts) if count <= BROADCAST_ROWS else shifts, [*by, "_b"])
         .withColumn(name, (F.col("_s") + F.col("_r")).cast("long"))
         .drop("_b", "_s", "_r")
     )

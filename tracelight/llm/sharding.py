@@ -18,6 +18,9 @@ a group has in one of them.
    so that is after ``shards`` rounds at most.  Groups without neighbours in a shard with room, and
    those that are to be cut, are numbered by size and fill the quotas that are left.
 
+Rows are numbered once, by *lot*: the whole groups of a shard, each cut group, and the rows without links.
+Since the driver knows how many rows of each lot a shard takes, a number gives shard and slot.
+
 No task holds a group: cells are counts, and members of a cut group are numbered in buckets.  The driver
 holds a number for each size of group, of which n rows have less than the root of 2n, and each shard
 that it goes to, and for each power of two of neighbours.  A
@@ -31,11 +34,12 @@ from bisect import bisect_left
 from collections import Counter
 from functools import reduce
 from itertools import accumulate
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import cut, gapless_rank, keyed
+from tracelight.llm.common import BROADCAST_ROWS, cut, gapless_rank, keyed
 
 SHARDS = 40
 BUCKETS = 256
@@ -158,38 +162,54 @@ def _granted(asked: list, inside: list[Counter]) -> list[tuple[int, int, int, in
     return out
 
 
+def gathered(cells: DataFrame) -> DataFrame:
+    """``g, members, cells``: a row for each group, with its cells (at most one for each shard) in an array."""
+    cell = F.struct("n", F.xxhash64("g", "shard").alias("h"), "shard")
+    return cells.groupBy("g").agg(F.sum("n").alias("members"), F.collect_list(cell).alias("cells"))
+
+
 def propagate(cells: DataFrame, groups: DataFrame, inside: list[Counter]) -> tuple[DataFrame, DataFrame]:
     """Rounds of moves towards neighbours: ``(g, shard)`` of groups that moved, and the groups that did not.
 
     ``cells`` has ``g, shard, n``, ``groups`` has ``g, members``; both are materialised.  ``inside`` says how
     many groups of each size a shard may take and is lowered by what is granted.
     """
-    spark = cells.sparkSession
-    cells = cut(cells.join(groups, "g"))
-    moved: list[DataFrame] = []
+    state = rounds(cut(groups.join(gathered(cells).drop("members"), "g")), inside)
+    return state.where("shard is not null").select("g", "shard"), state.where("shard is null").select("g", "members")
+
+
+def rounds(groups: DataFrame, inside: list[Counter]) -> DataFrame:
+    """``g, members, cells, shard`` for each of ``groups``; ``shard`` is null (and ``cells`` kept) if it did not move.
+
+    ``groups`` has ``g, members, cells`` and is materialised.  A group sees its own cells, so asking takes no
+    shuffle; a round counts what is asked and writes one table, in which settled groups have no cells.
+    """
+    spark, parts = groups.sparkSession, groups.rdd.getNumPartitions()
+    state = groups.select("g", "members", "cells", F.lit(None).cast("int").alias("shard"))
+    keys = ["members", "_to", "_level"]
     while True:
-        quota = [(m, s) for s, x in enumerate(inside) for m, n in x.items() if n]
-        quota = F.broadcast(spark.createDataFrame(quota, "members long, shard int"))  # sizes x shards at most
-        asked = cells.join(quota, ["members", "shard"]).groupBy("g", "members").agg(
-            F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("shard"), F.max("n").alias("there")
-        )
-        asked = cut(asked.select("g", "members", "shard", F.floor(F.log2("there")).cast("int").alias("level")))
-        keys = ["members", "shard", "level"]
-        grants = _granted(asked.groupBy(keys).agg(F.count(F.lit(1)).alias("n")).collect(), inside)  # sizes x shards x powers of two
+        open_ = {}
+        for s, x in enumerate(inside):
+            for m, n in x.items():
+                if n:
+                    open_.setdefault(m, []).append(s)
+        quota = F.broadcast(spark.createDataFrame(list(open_.items()), "members long, _open array<int>"))  # one row for each size
+        best = F.array_max(F.filter("cells", lambda c: F.array_contains("_open", c["shard"])))
+        asked = state.join(quota, "members", "left").withColumn("_best", best).drop("_open")
+        asked = asked.withColumn("_to", F.col("_best.shard")).withColumn("_level", F.floor(F.log2("_best.n")).cast("int")).drop("_best")
+        counted = asked.where("_to is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()  # sizes x shards x powers of two
+        grants = _granted([{"members": r["members"], "shard": r["_to"], "level": r["_level"], "n": r["n"]} for r in counted], inside)
         if not grants:
-            break
-        table = F.broadcast(spark.createDataFrame(grants, "members long, shard int, level int, _granted long, _all boolean"))
-        taken = asked.join(table, keys)
-        whole = taken.where("_all").select("g", "shard")
+            return state
+        table = F.broadcast(spark.createDataFrame(grants, "members long, _to int, _level int, _grant long, _all boolean"))
+        taken = asked.join(table, keys, "left")
+        some = taken.where("not _all").select("g", *keys, "cells", "_grant")
+        won = taken.where("_all is null or _all").withColumn("_to", F.when(F.col("_all"), F.col("_to")))
+        won = won.select("g", "members", "cells", F.coalesce("shard", "_to").alias("shard"))
         if not all(g[-1] for g in grants):
-            some = cut(taken.where("not _all").select("g", *keys, "_granted"))
-            whole = whole.unionByName(gapless_rank(some, keys, F.col("g"), BUCKETS, "_r").where("_r < _granted").select("g", "shard"))
-        moved.append(cut(whole))
-        cells = cut(cells.join(moved[-1].select("g"), "g", "left_anti"))
-    if not moved:
-        return spark.createDataFrame([], "g long, shard int"), groups
-    settled = reduce(DataFrame.unionByName, moved)
-    return settled, cut(groups.join(settled.select("g"), "g", "left_anti"))
+            ranked = gapless_rank(cut(some), keys, F.col("g"), BUCKETS, "_rank")
+            won = won.unionByName(ranked.select("g", "members", "cells", F.when(F.col("_rank") < F.col("_grant"), F.col("_to")).alias("shard")))
+        state = cut(won.withColumn("cells", F.when(F.col("shard").isNull(), F.col("cells"))).coalesce(parts))
 
 
 def label_propagation_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -205,13 +225,14 @@ def label_propagation_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame
     total = skinny.count()
     room = [total // shards + (s < total % shards) for s in range(shards)]
     own = F.xxhash64("_h", "_k")
-    cells = cut(skinny.groupBy("g", F.pmod(own, F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n")))
-    groups = cut(cells.groupBy("g").agg(F.sum("n").alias("members")).where("members > 1"))
+    cells = skinny.groupBy("g", F.pmod(own, F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    groups = cut(gathered(cells).where("members > 1"))
     spark = docs.sparkSession
     sizes = {r["members"]: r["n"] for r in groups.groupBy("members").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each size
+    few_groups = sum(sizes.values()) <= BROADCAST_ROWS
     inside, split, free = quotas(sizes, room)
     quota = reduce(Counter.__add__, inside)
-    moved, groups = propagate(cells, groups, inside)
+    state = rounds(groups, inside)
     remaining = reduce(Counter.__add__, inside)
     sizes = {m: n - quota[m] + remaining[m] for m, n in sizes.items()}
     # the other groups of a size are numbered; shards take them from 0 on, and those that are cut come last
@@ -222,39 +243,43 @@ def label_propagation_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame
                 ends, places = bounds[m]
                 ends.append((ends[-1] if ends else 0) + n)
                 places.append(s)
+    # rows are numbered by lot: those of a shard's whole groups, those of each cut group, and those without links
+    lots = [(s, [], [s], [0]) for s in range(shards)]
+    at = [r - f for r, f in zip(room, free)]
+    for _, pieces in split:
+        for s, n in pieces:
+            at[s] -= n
     cuts = []
-    for m, pieces in split:
-        ends, taken = [], 0
-        for _, n in pieces:
+    for m, pieces in [*split, (0, list(enumerate(free)))]:
+        ends, first, taken = [], [], 0
+        for s, n in pieces:
+            first.append(at[s] - taken)
+            at[s] += n
             taken += n
             ends.append(taken)
-        sizes[m] -= 1
-        cuts.append((m, sizes[m], ends, [s for s, _ in pieces]))
-    numbered = gapless_rank(groups, ["members"], F.col("g"), BUCKETS, "_rank")
-    whole = F.broadcast(spark.createDataFrame([(m, *b) for m, b in bounds.items()], "members long, _ends array<long>, _places array<int>"))  # one row for each size
-    few = F.broadcast(spark.createDataFrame(cuts, "members long, _rank long, _cut_ends array<long>, _cut_places array<int>"))  # under 2 x shards
-    placed = cut(
-        numbered.join(whole, "members").join(few, ["members", "_rank"], "left")
-        .withColumn("_place", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
-        .select("g", F.when(F.col("_cut_ends").isNull(), F.get("_places", F.col("_place"))).alias("shard"), "_cut_ends", "_cut_places")
-    )
-    linked = placed.select("g", "shard").unionByName(moved).withColumn("_linked", F.lit(True))
-    dealt = cut(skinny.join(linked, "g", "left"))
-    together = dealt.where("shard is not null").drop("_linked")
-    parts = dealt.where("_linked and shard is null").drop("_linked", "shard")
-    single = dealt.where("_linked is null").drop("_linked", "shard")
-    if cuts:
-        members = gapless_rank(cut(parts), ["g"], own, BUCKETS, "r")
-        pieces = F.broadcast(placed.where("_cut_ends is not null").drop("shard"))  # under 2 x shards
-        spread = members.join(pieces, "g").withColumn("_place", F.size(F.filter("_cut_ends", lambda e: e <= F.col("r"))))
-        together = together.unionByName(spread.withColumn("shard", F.get("_cut_places", F.col("_place"))).select(together.columns))
-    bounds_left, at = [], 0
-    for x in free:
-        at += x
-        bounds_left.append(at)
-    ranked = gapless_rank(cut(single), [], own, BUCKETS, "r")
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds_left])
-    rest = ranked.withColumn("shard", F.size(F.filter(edges, lambda e: e <= F.col("r"))).cast("int")).drop("r")
-    everyone = cut(together.unionByName(rest))
-    slotted = gapless_rank(everyone, ["shard"], own, BUCKETS, "slot")
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        if m:
+            sizes[m] -= 1
+            cuts.append((m, sizes[m], len(lots)))
+        lots.append((len(lots), ends, [s for s, _ in pieces], first))
+    unlinked = lots[-1][0]
+    linked = state.where("shard is not null").select("g", F.col("shard").alias("_lot"))
+    if any(sizes.values()) or cuts:
+        numbered = gapless_rank(state.where("shard is null").select("g", "members"), ["members"], F.col("g"), BUCKETS, "_rank")
+        whole = F.broadcast(spark.createDataFrame([(m, *b) for m, b in bounds.items()], "members long, _ends array<long>, _places array<int>"))  # one row for each size
+        few = F.broadcast(spark.createDataFrame(cuts, "members long, _rank long, _cut int"))  # under 2 x shards
+        placed = (
+            numbered.join(whole, "members").join(few, ["members", "_rank"], "left")
+            .withColumn("_place", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
+            .select("g", F.coalesce("_cut", F.get("_places", F.col("_place"))).alias("_lot"))
+        )
+        linked = linked.unionByName(placed)
+    dealt = skinny.join(F.broadcast(linked) if few_groups else linked, "g", "left").withColumn("_lot", F.coalesce("_lot", F.lit(unlinked))).drop("g")
+    ranked = gapless_rank(cut(dealt), ["_lot"], own, BUCKETS, "_rank")
+    table = F.broadcast(spark.createDataFrame(lots, "_lot int, _ends array<long>, _places array<int>, _first array<long>"))  # under 4 x shards
+    found = ranked.join(table, "_lot").withColumn("_place", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
+    found = found.withColumn("shard", F.get("_places", F.col("_place"))).withColumn("_at", F.col("_rank") + F.get("_first", F.col("_place")))
+    # whole groups come first in ``_at``; a step that has no factor in common with the rows spreads them over the shard
+    step = [next((k for k in range(int(n * 0.618) + 1, n) if gcd(k, n) == 1), 1) for n in room]
+    room_, step_ = (F.array(*[F.lit(x).cast("long") for x in xs]) for xs in (room, step))
+    slot = F.pmod(F.col("_at") * F.get(step_, F.col("shard")), F.get(room_, F.col("shard")))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

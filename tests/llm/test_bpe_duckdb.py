@@ -1,12 +1,14 @@
 import hashlib
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import tiktoken
 
-from tracelight.llm.bpe_duckdb import VOCABULARY, _ranks, bpe_decode, bpe_round_trip, shared
+from tracelight.llm import bpe_duckdb
+from tracelight.llm.bpe_duckdb import LEFTMOST, VOCABULARY, Bpe, _ranks, bpe_decode, bpe_round_trip, shared
 from tracelight.llm.common import table
 
 SCHEMA = "doc_id long, text string, ids string, n_tokens int"
@@ -65,3 +67,23 @@ def test_very_long_words():
 
 def test_decoding_is_of_the_ids():
     assert shared(VOCABULARY).decode([np.array([64, 65]), np.array([], int), np.array([64])]) == [b"ab", b"", b"a"]
+    assert shared(VOCABULARY).decode([np.array([64, (1 << 32) + 64, -1, 10**6, 65])]) == [b"ab"]
+
+
+def test_only_final_rows_leave_the_query():
+    own = Bpe()
+    words = [b" unhappily", b"zqxj", b"tokenisation", b"a"]
+    own.contracted(words)
+    assert own.db.sql(LEFTMOST).to_arrow_table().num_rows == sum(map(len, own.merged(words)))
+
+
+def test_words_met_again_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(bpe_duckdb, "KNOWN_BYTES", 20_000)
+    own, other, learned = Bpe(), library(), Counter()
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda words: (learned.update(words), learn(words)))
+    rng = random.Random(2)
+    for _ in range(30):
+        text = "qwzx vbnmk " + " ".join("".join(rng.choices("bcdfgjkqxz", k=7)) for _ in range(12))
+        assert own.spelled([text]) == [" ".join(map(str, other.encode_ordinary(text)))]
+    assert own.older and learned["qwzx"] == learned[" vbnmk"] == 1

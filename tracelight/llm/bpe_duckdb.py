@@ -11,8 +11,12 @@ every two neighbours, contracted alone, stay these two (a contraction that cross
 first to do so in those two alone as well).  Where two do not, the tokens around the seam are contracted
 again as one stretch, a wider one each time, until all seams hold.  The work grows with the length.
 
-Decoding takes the ids of the documents, not their words: token bytes are joined to each position and
-aggregated in the order of positions.  DuckDB stays in memory and writes no files.
+Decoding takes the ids of the documents, not their words: they are aggregated in the order of positions,
+a list for each document, and the bytes of a list's tokens are put together.  What is no id gives no bytes.
+DuckDB stays in memory and writes no files.
+
+Words are remembered in two generations: when the younger one is full, it takes the place of the older one,
+and words that are met again come back from there without a query.
 
 Null texts are empty; an empty text has no ids; repeated rows are encoded each by itself; an empty
 table gives no rows; other columns than ``doc_id`` and ``text`` are not read.
@@ -31,6 +35,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelight.llm.common import string_buffers
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PIECE = 64
 #: Rows that one recursive query may come to hold, bytes of words remembered by a worker, bytes of
@@ -40,25 +46,25 @@ KNOWN_BYTES = 1 << 27
 SLICE_BYTES = 1 << 23
 DECODE_IDS = 2_000_000
 
-# every row of every round: a word's ids are its rows of its last round
-_TAIL = "SELECT wid, pos, tok, it FROM step"
+# a word that has no pair left is passed on once more, as done; only those rows leave the query
+_TAIL = "SELECT wid, pos, tok FROM step WHERE done"
 
 LEFTMOST = f"""
-WITH RECURSIVE step(wid, pos, tok, it) AS (
-  SELECT wid, pos, tok, 0 FROM start
+WITH RECURSIVE step(wid, pos, tok, done) AS (
+  SELECT wid, pos, tok, false FROM start
   UNION ALL
   (WITH near AS (
-     SELECT wid, pos, tok, it, lead(tok) OVER w AS nxt, lead(wid) OVER w AS nxt_wid, lag(pos) OVER w AS prv
-     FROM step WINDOW w AS (ORDER BY pos)),
+     SELECT wid, pos, tok, lead(tok) OVER w AS nxt, lead(wid) OVER w AS nxt_wid, lag(pos) OVER w AS prv
+     FROM step WHERE NOT done WINDOW w AS (ORDER BY pos)),
    best AS (
      SELECT near.wid, min((m.made << 32) | near.pos) AS b
-     FROM near JOIN merges m ON m.pair = (near.tok << 24) | near.nxt WHERE near.wid = near.nxt_wid GROUP BY near.wid)
-   SELECT near.wid, pos, CASE WHEN pos = (b & 4294967295) THEN b >> 32 ELSE tok END, it + 1
-   FROM near JOIN best USING (wid)
-   WHERE prv IS NULL OR prv <> (b & 4294967295)))
+     FROM near JOIN merges m ON m.pair = (near.tok::BIGINT << 24) | near.nxt WHERE near.wid = near.nxt_wid GROUP BY near.wid)
+   SELECT near.wid, pos, CASE WHEN pos = (b & 4294967295) THEN (b >> 32)::INTEGER ELSE tok END, b IS NULL
+   FROM near LEFT JOIN best USING (wid)
+   WHERE b IS NULL OR prv IS NULL OR prv <> (b & 4294967295)))
 {_TAIL}"""
 
-DECODE = "SELECT wid, unhex(array_to_string(list(hex ORDER BY pos), '')) AS bytes FROM ids JOIN tokens USING (tok) GROUP BY wid"
+DECODE = "SELECT wid, list(tok ORDER BY pos) AS toks FROM ids GROUP BY wid"
 
 
 @functools.cache
@@ -80,45 +86,46 @@ class Bpe:
         self.ranks = _ranks(vocabulary)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.known: dict[str, str] = {}  # ids of a word, as text
+        self.older: dict[str, str] = {}
         self.size = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         made = [(a, b, r) for word, r in self.ranks.items() for k in range(1, len(word)) if (a := self.ranks.get(word[:k])) is not None and (b := self.ranks.get(word[k:])) is not None]
         pair = pa.array([(a << 24) | b for a, b, _ in made], pa.int64())
         self.db.register("made", pa.table({"pair": pair, "made": pa.array([r for *_, r in made], pa.int64())}))
         self.db.execute("CREATE TABLE merges AS FROM made")
-        self.db.register("words", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [w.hex() for w in self.ranks]}))
-        self.db.execute("CREATE TABLE tokens AS FROM words")
-        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.token = {i: w for w, i in self.ranks.items()}
+        self.numeral = pa.array([str(i) for i in range(max(self.token) + 1)])
+        self.spelling = pa.array([self.token.get(i, b"") for i in range(max(self.token) + 2)], pa.large_binary())  # the last is for what is no id
 
-    def contracted(self, words: list[bytes]) -> list[list[int]]:
+    def contracted(self, words: list[bytes]) -> pa.ListArray:
         """Ids of each word, in one recursive query; every word has at least one byte."""
         sizes = np.array([len(w) for w in words])
-        wid = np.repeat(np.arange(len(words)), sizes)
-        pos = np.arange(sizes.sum())  # one line of positions for all words
+        wid = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = np.arange(sizes.sum(), dtype=np.int32)  # one line of positions for all words
         self.db.register("start", pa.table({"wid": wid, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]}))
-        wid, pos, tok, it = (c.to_numpy() for c in self.db.sql(LEFTMOST).to_arrow_table().columns)
-        rounds = np.argsort(it, kind="stable")
-        last = np.zeros(len(words), np.int64)
-        last[wid[rounds]] = it[rounds]  # of several values the last one stays
-        final = np.flatnonzero(it == last[wid])
-        final = final[np.argsort(pos[final], kind="stable")]  # positions rise from word to word
-        ends = np.cumsum(np.bincount(wid[final], minlength=len(words))).tolist()
-        ids = tok[final].tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        wid, pos, tok = (c.to_numpy() for c in self.db.sql(LEFTMOST).to_arrow_table().columns)
+        ends = np.cumsum(np.bincount(wid, minlength=len(words)), dtype=np.int32)
+        return pa.ListArray.from_arrays(np.concatenate([np.zeros(1, np.int32), ends]), tok[np.argsort(pos, kind="stable")])  # positions rise from word to word
 
-    def merged(self, words: list[bytes]) -> list[list[int]]:
+    def parts(self, words: list[bytes]) -> Iterator[pa.ListArray]:
         """Ids of each word, in as many queries as keep each in its bounds."""
-        out: list[list[int]] = []
         a = 0
         while a < len(words):
             b, rows = a, 0
             while b < len(words) and (b == a or rows < QUERY_ROWS):
                 rows += len(words[b]) * (len(words[b]) + 1) // 2  # rows of all rounds, at most
                 b += 1
-            out += self.contracted(words[a:b])
+            yield self.contracted(words[a:b])
             a = b
-        return out
+
+    def merged(self, words: list[bytes]) -> list[list[int]]:
+        return [ids for part in self.parts(words) for ids in part.to_pylist()]
+
+    def numerals_of(self, words: list[bytes]) -> Iterator[str]:
+        """Ids of each word as text."""
+        for part in self.parts(words):
+            yield from pc.binary_join(pa.ListArray.from_arrays(part.offsets, self.numeral.take(part.values)), " ").to_pylist()
 
     def _stays(self, pairs: set[tuple[int, int]], held: dict[tuple[int, int], bool]) -> None:
         """Adds to ``held`` whether two neighbouring tokens stay these two when they are contracted alone."""
@@ -185,10 +192,16 @@ class Bpe:
                 n += len(ids[b])
                 b += 1
             sizes = np.array([len(x) for x in ids[a:b]], np.int64)
-            flat = np.concatenate([np.zeros(0, np.int64), *ids[a:b]]).astype(np.int32)
-            self.db.register("ids", pa.table({"wid": np.repeat(np.arange(b - a, dtype=np.int32), sizes), "pos": np.arange(len(flat)), "tok": flat}))
-            table = self.db.sql(DECODE).to_arrow_table()
-            found = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+            flat = np.concatenate([np.zeros(0, np.int64), *ids[a:b]])
+            none = len(self.spelling) - 1
+            flat = np.where((flat >= 0) & (flat < none), flat, none).astype(np.int32)
+            self.db.register("ids", pa.table({"wid": np.repeat(np.arange(b - a, dtype=np.int32), sizes), "pos": np.arange(len(flat), dtype=np.int32), "tok": flat}))
+            found = {}
+            for part in self.db.sql(DECODE).to_arrow_table().to_batches():
+                lists = part.column(1)
+                data, starts = string_buffers(self.spelling.take(lists.values))  # the bytes of a list stand one after the other
+                ends = starts[lists.offsets.to_numpy()].tolist()
+                found.update(zip(part.column(0).to_pylist(), [data[x:y].tobytes() for x, y in zip(ends, ends[1:])]))
             out += [found.get(i, b"") for i in range(b - a)]
             a = b
         return out
@@ -203,9 +216,9 @@ class Bpe:
                 self.known[w] = str(rank)
             else:
                 (long if len(b) > PIECE else short).append((w, b))
-        for kind, query in ((short, self.merged), (long, self.long_words)):
-            for (w, _), x in zip(kind, query([b for _, b in kind])):
-                self.known[w] = " ".join(map(str, x))
+        self.known.update(zip([w for w, _ in short], self.numerals_of([b for _, b in short])))
+        for (w, _), x in zip(long, self.long_words([b for _, b in long])):
+            self.known[w] = " ".join(map(str, x))
 
     def spelled(self, texts: list[str]) -> list[str]:
         """For each text, its ids as text."""
@@ -213,14 +226,14 @@ class Bpe:
         every = set()
         for ws in split:
             every.update(ws)
+        if self.size > KNOWN_BYTES // 2:
+            self.older, self.known, self.size = self.known, {}, 0
         new = every.difference(self.known)
-        if self.size > KNOWN_BYTES:
-            self.known, self.size, new = {}, 0, every
-        self.size += sum(150 + 4 * len(w) for w in new)  # with what a dictionary takes for each
-        if new:
-            self.learn(sorted(new))
-        known = self.known
-        return [" ".join([known[w] for w in ws]) for ws in split]
+        self.size += sum([150 + 4 * len(w) for w in new])  # with what a dictionary takes for each
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self.learn(sorted(new - again))
+        return [" ".join(map(self.known.__getitem__, ws)) for ws in split]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.spelled([text])[0].split()]
